@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +20,27 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors' Python, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        own = tempfile.mkdtemp(prefix="code-")  # Spark serves the archive from here to whatever executor starts later
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        made = shutil.make_archive(f"{own}/{package.name}_code", "zip", package.parent, package.name)
+        spark.sparkContext.addPyFile(made)
+        _shipped.add(app)
+
+
+def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow with this package at hand on every executor."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a local one only where the session names none."""
     told = spark.conf.get("spark.checkpoint.dir", None)

@@ -26,6 +26,8 @@ SHARE = 1.5
 MOST = 2.0
 #: Documents of one source that are rounded together.
 BUCKET_ROWS = 1024
+#: Sources whose multipliers are broadcast at most (some 10 MB); with more, rows are dealt anew by source and bucket.
+BROADCAST_SOURCES = 100_000
 #: Units of a rate, so that running sums are exact.
 UNIT = 1 << 30
 
@@ -110,11 +112,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if carry else []
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("k"), words.alias("size"), *whole)
     sizes = cut(rows.groupBy("k", "size").agg(F.count("*").alias("docs")))
-    state = balance(sizes, source_targets(sizes, weights, share, most), most)
+    state = cut(balance(sizes, source_targets(sizes, weights, share, most), most))
     rate = F.when(F.col("target") <= 0, 0.0).when(F.col("tilt").isNull(), F.lit(most)).otherwise(_rate(F.col("tilt"), F.col("size"), F.col("mean"), most))
-    rows = rows.join(state, "k").withColumn("units", F.round(rate * UNIT).cast("long"))
+    few = state.count() <= BROADCAST_SOURCES
+    rows = rows.join(F.broadcast(state) if few else state, "k").withColumn("units", F.round(rate * UNIT).cast("long"))
     spread = F.xxhash64(F.col("doc_id"), F.col("size"))
     rows = rows.withColumn("bucket", F.pmod(spread, F.ceil(F.col("docs") / BUCKET_ROWS)))
+    rows = rows if few else rows.repartition("k", "bucket")
     run = Window.partitionBy("k", "bucket").orderBy(F.desc("size"), spread, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("sum", F.sum("units").over(run))
     rounded = lambda c: F.shiftright(c + UNIT // 2, 30)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .frames import read
+from .minhash import near_duplicates
 from .mixing import mix
 
 ORACLES: dict[str, str] = {}
@@ -15,6 +16,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 QUERIES = {
     "op4_mix_sources": op4_mix_sources,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode_decode
 from .frames import read
 from .minhash import near_duplicates
 from .mixing import mix
+from .token_counts import token_counts
+from .token_files import write_and_read
 
 ORACLES: dict[str, str] = {}
 
@@ -20,7 +23,30 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return encode_decode(read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), limit=2048)
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_and_read(read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=0, vocabulary=50257)
+
+
 QUERIES = {
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_mix_sources": op4_mix_sources,
+    "op7_token_counts": op7_token_counts,
+    "op8_token_files": op8_token_files,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }

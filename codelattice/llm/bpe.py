@@ -17,17 +17,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
-import re
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import map_batches
+from .pretokens import Known, split
 from .words import pieces
 
 #: Pre-tokens that a worker remembers (some 250 MB); when they are full, it begins anew.
@@ -145,53 +144,33 @@ class BacktrackingBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_encoders: dict[str, tuple[BacktrackingBpe, dict[str, bytes]]] = {}
+_encoders: dict[str, tuple[BacktrackingBpe, Known]] = {}
 
 
-def encoder(path: str) -> tuple[BacktrackingBpe, dict[str, bytes]]:
-    """The encoder of a rank file, and the packed ids of the pre-tokens it met; kept by the worker."""
+def encoder(path: str) -> tuple[BacktrackingBpe, Known]:
+    """The encoder of a rank file, and the ids of the pre-tokens it met; kept by the worker."""
     if path not in _encoders:
-        _encoders[path] = (BacktrackingBpe(read_ranks(path)), {})
+        bpe = BacktrackingBpe(read_ranks(path))
+        _encoders[path] = (bpe, Known(bpe.encode_all, REMEMBERED))
     return _encoders[path]
 
 
-def splitter(pattern: str) -> regex.Pattern:
-    r"""pattern compiled with \s as Unicode's White_Space, which is what the libraries in use take it for."""
-    space = r"\t-\r\x20\x85\xa0  -     　"
-    pattern = re.sub(r"\[([^\]]*)\]", lambda m: "[" + m[1].replace(r"\s", space) + "]", pattern)
-    return regex.compile(pattern.replace(r"\s", f"[{space}]").replace(r"\S", f"[^{space}]"))
-
-
-def encode_piece(texts: list[str], pattern: regex.Pattern, known: dict[str, bytes], learn) -> Iterator[bytes]:
-    """Packed ids of each text; learn(pre-tokens) gives the packed ids of new ones."""
-    if len(known) > REMEMBERED:
-        known.clear()
-    split = [pattern.findall(t) for t in texts]
-    new = list({w for ws in split for w in ws if w not in known})
-    for i in range(0, len(new), 20_000):
-        some = new[i : i + 20_000]
-        known.update(zip(some, learn(some)))
-    for words in split:
-        yield b"".join(map(known.__getitem__, words))
-
-
-def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row per row of docs: (doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]).
 
-    path: a rank file that every executor can read. ids (with keep_ids) are little-endian unsigned
+    Texts are split by the pattern of pretokens.split() with spaces. path: a rank file that every executor can read. ids (with keep_ids) are little-endian unsigned
     32-bit integers, as in the first digest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, known = encoder(path)
-        split = splitter(pattern)
-        learn = lambda words: [np.array(x, "<u4").tobytes() for x in bpe.encode_all([w.encode() for w in words])]
         for batch in batches:
-            for at, to, _, _ in pieces(batch.column(1)):
-                texts = [t or "" for t in batch.column(1).slice(at, to - at).to_pylist()]
-                ids = list(encode_piece(texts, split, known, learn))
+            for at, to, data, offsets in pieces(batch.column(1)):
+                starts, ends, firsts = split(data, offsets, spaces=True)
+                values, places = known.expand(known.rows(data, starts, ends), firsts)
+                ids = [values[a:b].astype("<u4").tobytes() for a, b in itertools.pairwise(places.tolist())]
                 back = [hashlib.sha256(bpe.decode(np.frombuffer(x, "<u4").tolist())).hexdigest() for x in ids]
-                made = [batch.column(0).slice(at, to - at), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array(back, pa.string())]
+                made = [batch.column(0).slice(at, to - at), pa.array(np.diff(places)), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array(back, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
                     made.append(pa.array(ids, pa.binary()))

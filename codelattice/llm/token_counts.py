@@ -21,18 +21,24 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import REMEMBERED, splitter
+from .bpe import REMEMBERED
 from .frames import map_batches
+from .pretokens import Known, split
 from .words import pieces
 
 #: Characters that the library splits by itself: beyond the older blocks, unassigned in some Unicode version.
 _ODD = re.compile("[ࡰ-࢟Ⰰ-⹿꟎-ꟿ\U00010000-\U0010ffff]")
 
 
+#: The only pattern that pretokens.split() knows without spaces.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class WordCounter:
     def __init__(self, path: str):
         from tokenizers import Regex, Tokenizer, pre_tokenizers
@@ -44,46 +50,64 @@ class WordCounter:
         self.special = [t["content"] for t in told["added_tokens"]]
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         pattern = told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.split = splitter(pattern)
+        if pattern != _PATTERN:
+            raise ValueError("the file splits text by another pattern")
         self.by_library = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
         self.whole = self._whole_tokens()
-        self.known = dict(self.whole)
+        self.known = Known(self._merge, REMEMBERED)
 
-    def _whole_tokens(self) -> dict[str, int]:
+    def _whole_tokens(self) -> set[bytes]:
         """Pre-tokens proven to encode alone as one token."""
         of = {c: b for b, c in _byte_letters().items()}
-        strings = []
+        strings = set()
         for token in self.library.get_vocab(with_added_tokens=False):
             try:
                 word = bytes(of[c] for c in token.removesuffix("</w>")).decode()
             except (KeyError, UnicodeDecodeError):
                 continue
-            if word and self.split.findall(word) == [word] and word == word.lower():
-                strings.append(word)
-        strings = sorted(set(strings))
-        return {w: 1 for w, e in zip(strings, self.library.encode_batch(strings, add_special_tokens=False)) if len(e.ids) == 1}
-
-    def _words(self, part: str) -> list[str]:
-        if _ODD.search(part):
-            return [w for w, _ in self.by_library.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
-        if not unicodedata.is_normalized("NFC", part):
-            part = unicodedata.normalize("NFC", part)
-        return self.split.findall(part.replace("Σ", "σ").lower())  # the library lowers each sigma alone
-
-    def counts(self, texts: list[str]) -> list[int]:
-        if len(self.known) > REMEMBERED:
-            self.known = dict(self.whole)
-        split, specials = [], []
-        for text in texts:
-            parts = self.specials.split(text) if self.specials else [text]
-            specials.append(len(parts) - 1)
-            split.append(self._words(text) if len(parts) == 1 else [w for part in parts for w in self._words(part)])
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
-            known.update(zip(some, map(len, self.library.encode_batch(some, add_special_tokens=False))))
-        return [n + sum(map(known.__getitem__, words)) for n, words in zip(specials, split)]
+            if word and word == word.lower():
+                strings.add(word)
+        ordered = sorted(strings)
+        return {w.encode() for w, e in zip(ordered, self.library.encode_batch(ordered, add_special_tokens=False)) if len(e.ids) == 1}
+
+    def _merge(self, words: list[bytes]) -> list[list[int]]:
+        """The count of each pre-token: 1 for whole tokens, else what the library's merges leave."""
+        rest = [w for w in words if w not in self.whole]
+        merged: dict[bytes, int] = {}
+        for i in range(0, len(rest), 10_000):
+            some = rest[i : i + 10_000]
+            merged.update(zip(some, map(len, self.library.encode_batch([w.decode() for w in some], add_special_tokens=False))))
+        return [[merged.get(w, 1)] for w in words]
+
+    def _normal(self, text: str) -> str:
+        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        return text.replace("Σ", "σ").lower()  # the library lowers each sigma alone
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        total = np.zeros(len(texts), np.int64)
+        parts: list[str] = []
+        of: list[int] = []
+        for i, text in enumerate(texts):
+            if self.specials and self.specials.search(text):
+                cut = self.specials.split(text)
+                total[i] += len(cut) - 1
+            else:
+                cut = [text]
+            for part in cut:
+                if _ODD.search(part):
+                    words = [w.encode() for w, _ in self.by_library.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
+                    total[i] += sum(n for (n,) in self._merge(words))
+                else:
+                    parts.append(self._normal(part))
+                    of.append(i)
+        raw = [p.encode() for p in parts]
+        data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+        starts, ends, firsts = split(data, offsets, spaces=False)
+        rows = self.known.rows(data, starts, ends)
+        sums = np.concatenate([[0], np.cumsum(self.known.values[self.known.first[rows]].astype(np.int64))])
+        np.add.at(total, np.array(of, np.int64), sums[firsts[1:]] - sums[firsts[:-1]])
+        return total
 
 
 def _byte_letters() -> dict[int, str]:
@@ -108,7 +132,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
                 texts = [t or "" for t in batch.column(1).slice(at, to - at).to_pylist()]
                 n = counter.counts(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, to - at), pa.array(offsets[1:] - offsets[:-1]), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
+                    [batch.column(0).slice(at, to - at), pa.array(offsets[1:] - offsets[:-1]), pa.array(n), pa.array(n > limit)],
                     ["doc_id", "n_bytes", "n_tokens", "over_limit"],
                 )
 

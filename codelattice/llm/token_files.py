@@ -17,6 +17,7 @@ other in the order of their ids' bytes; null ids come first; an empty table give
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import struct
@@ -28,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encode_piece, splitter
+from .bpe import REMEMBERED
 from .frames import drop_stored, map_batches, stored
+from .pretokens import Known, split
 from .words import pieces
 
 MAGIC = 0x31534E52
@@ -120,19 +122,41 @@ _libraries: dict[str, tuple] = {}
 
 
 def _library(path: str):
-    """(tokenizer, splitter of its special strings, their ids, splitter into pre-tokens, known pre-tokens)."""
+    """(tokenizer, splitter of its special strings, their ids, known pre-tokens)."""
     if path not in _libraries:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         t = Tokenizer.from_file(path)
-        special = {a.content: i for i, a in t.get_added_tokens_decoder().items()}
-        cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        _libraries[path] = (t, cut, {s: np.array([i], "<u2").tobytes() for s, i in special.items()}, splitter(pattern), {})
+        special = {a.content.encode(): i for i, a in t.get_added_tokens_decoder().items()}
+        cut = re.compile(b"|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+        learn = lambda words: [e.ids for i in range(0, len(words), 20_000) for e in t.encode_batch([w.decode() for w in words[i : i + 20_000]], add_special_tokens=False)]
+        _libraries[path] = (t, cut, special, Known(learn, REMEMBERED))
     return _libraries[path]
 
 
+def _ids(data: np.ndarray, offsets: np.ndarray, path: str) -> list[np.ndarray]:
+    """The ids of each text of a piece; special strings are cut out before the rest is split."""
+    _, cut, special, known = _library(path)
+    found = [(m.start(), m.end(), special[m[0]]) for m in cut.finditer(data.tobytes())] if cut else []
+    found = [x for x in found if np.searchsorted(offsets, x[0], side="right") == np.searchsorted(offsets, x[1] - 1, side="right")]
+    if not found:
+        starts, ends, firsts = split(data, offsets, spaces=True)
+        values, places = known.expand(known.rows(data, starts, ends), firsts)
+        return [values[a:b] for a, b in itertools.pairwise(places.tolist())]
+    at, to, ids = (np.array(x, np.int64) for x in zip(*found))
+    borders = np.unique(np.concatenate([offsets, at, to]))
+    starts, ends, firsts = split(data, borders, spaces=True)
+    values, places = known.expand(known.rows(data, starts, ends), firsts)
+    parts = {int(b): values[places[k] : places[k + 1]] for k, b in enumerate(borders[:-1])}
+    parts.update({int(b): np.array([i], np.uint32) for b, i in zip(at, ids)})
+    out = []
+    for a, b in itertools.pairwise(offsets.tolist()):
+        own = borders[np.searchsorted(borders, a) : np.searchsorted(borders, b)].tolist() if b > a else []
+        out.append(np.concatenate([parts[x] for x in own]) if own else np.zeros(0, np.uint32))
+    return out
+
+
 def token_ids(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n, ids): ids as packed 16-bit integers with the end id, by the byte-level file at path.
 
@@ -140,21 +164,12 @@ def token_ids(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, cut, special, split, known = _library(path)
-        if t.get_vocab_size() > 1 << 16:
+        if _library(path)[0].get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary need more than 16 bits")
-        learn = lambda words: [np.array(e.ids, "<u2").tobytes() for e in t.encode_batch(words, add_special_tokens=False)]
         end = np.array([end_id], "<u2").tobytes()
         for batch in batches:
-            for at, to, _, _ in pieces(batch.column(1)):
-                texts = [x or "" for x in batch.column(1).slice(at, to - at).to_pylist()]
-                odd = {i: cut.split(x) for i, x in enumerate(texts) if cut and cut.search(x)}
-                flat = [x if i not in odd else "" for i, x in enumerate(texts)] + [p for ps in odd.values() for p in ps[::2]]
-                ids = list(encode_piece(flat, split, known, learn))
-                left = iter(ids[len(texts) :])
-                for i, ps in odd.items():
-                    ids[i] = b"".join(next(left) if k % 2 == 0 else special[p] for k, p in enumerate(ps))
-                ids = [x + end for x in ids[: len(texts)]]
+            for at, to, data, offsets in pieces(batch.column(1)):
+                ids = [x.astype("<u2").tobytes() + end for x in _ids(data, offsets, path)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_decode
 from .frames import read
+from .language_id import identify
 from .minhash import near_duplicates
 from .mixing import mix
+from .suffix_dedup import repeated_passages
 from .token_counts import token_counts
 from .token_files import write_and_read
 
@@ -29,10 +31,17 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = identify(read(spark, sf_dir, "documents"))
+    return got.select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+    return encode_decode(read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"))
+
 
-    return encode_decode(read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read(spark, sf_dir, "documents"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,8 +53,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_mix_sources": op4_mix_sources,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_token_files": op8_token_files,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,

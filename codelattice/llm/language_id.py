@@ -292,3 +292,22 @@ def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     learn = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
     got = predict(docs, train(learn, sample_docs))
     return got.withColumn("held_out", held_out(F.col("doc_id")))
+
+
+def recognised(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
+    """docs, whatever their columns, without the documents that the models reject."""
+    other = [c for c in docs.columns if c != text_col]
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in other]).alias("row"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to, _, _ in pieces(batch.column(1)):
+                own = batch.slice(at, to - at)
+                entropy, n = models.cross_entropies(own.column(1).to_pylist())
+                keep = n > 0
+                if models.languages:
+                    keep &= ~models.rejects(entropy.argmin(axis=1), entropy.min(axis=1), n)
+                yield own.filter(pa.array(keep))
+
+    kept = map_batches(whole, run, f"row {whole.schema['row'].dataType.simpleString()}, text string")
+    return kept.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])

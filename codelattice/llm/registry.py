@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_decode
+from .fingerprints import fingerprints
 from .frames import read
 from .language_id import identify
 from .minhash import near_duplicates
 from .mixing import mix
+from .preferences import conversation_pairs, format_preferences
+from .quality import judge
 from .suffix_dedup import repeated_passages
 from .token_counts import token_counts
 from .token_files import write_and_read
@@ -25,39 +28,54 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = identify(read(spark, sf_dir, "documents"))
     return got.select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_decode(read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"))
+    return encode_decode(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(read(spark, sf_dir, "documents"))
 
 
+def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_preferences(conversation_pairs(read(spark, sf_dir, "conversations")))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), limit=2048)
+    return token_counts(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return write_and_read(read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=0, vocabulary=50257)
+    return write_and_read(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, vocabulary=50257)
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_order_minhash": op1_order_minhash,
     "op2_language_id": op2_language_id,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_mix_sources": op4_mix_sources,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_preference_format": op6_preference_format,
     "op7_token_counts": op7_token_counts,
     "op8_token_files": op8_token_files,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }

@@ -116,8 +116,8 @@ def shingles(h: np.ndarray, firsts: np.ndarray, k: int) -> tuple[np.ndarray, np.
     full = np.repeat(counts >= k, size)
     out[full] = g[first[full]]
     for d in np.flatnonzero((counts < k) & (counts > 0)):
-        short = np.uint64(counts[d])
+        short = np.array([counts[d]], np.uint64)
         for x in h[firsts[d] : firsts[d + 1]]:
-            short = mix(np.array([short], np.uint64))[0] + x
-        out[at[d]] = mix(np.array([short], np.uint64))[0]
+            short = mix(short) + x
+        out[at[d]] = mix(short)[0]
     return out, at

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 
 def edge_weights(imports: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     return imports.where(F.col(src) != F.col(dst)).groupBy(src, dst).agg(F.count("*").alias("n"))
@@ -39,7 +41,7 @@ def _extreme_labels(edges: DataFrame, nodes: DataFrame, a: str, b: str) -> DataF
     labels = nodes.select("node", F.col("node").alias("label"))
     while True:
         reach = edges.join(labels.withColumnRenamed("node", a), a).groupBy(F.col(b).alias("node")).agg(F.min("label").alias("near"))
-        moved = labels.join(reach, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label")).checkpoint()
+        moved = cut(labels.join(reach, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label")))
         labels = moved.select("node", "label")
         if not moved.where("label <> was").limit(1).count():
             return labels
@@ -52,25 +54,25 @@ def strong_components(edges: DataFrame) -> DataFrame:
     reached from and reaches the same least node belongs to that node's component. Found ones leave
     the graph, and so do edges between nodes of different colours, until no edge is left.
     """
-    edges = edges.where("src <> dst").select("src", "dst").distinct().checkpoint()
+    edges = cut(edges.where("src <> dst").select("src", "dst").distinct())
     found = None
     while True:
         while True:  # trim
             before = edges.count()
             edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-            edges = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst").checkpoint()
+            edges = cut(edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
             if edges.count() == before:
                 break
         if not before:
             break
-        nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().checkpoint()
+        nodes = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
         ahead = _extreme_labels(edges, nodes, "src", "dst")
         colour = ahead.withColumnRenamed("label", "colour")
-        inner = edges.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("__x")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("__y")), "dst").where("__x = __y").select("src", "dst").checkpoint()
+        inner = cut(edges.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("__x")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("__y")), "dst").where("__x = __y").select("src", "dst"))
         back = _extreme_labels(inner, nodes, "dst", "src").withColumnRenamed("label", "back")
-        own = colour.join(back, "node").where("back = colour").select("node", F.col("colour").alias("component")).checkpoint()
+        own = cut(colour.join(back, "node").where("back = colour").select("node", F.col("colour").alias("component")))
         found = own if found is None else found.union(own)
-        edges = inner.join(own.select(F.col("node").alias("src")), "src", "left_anti").join(own.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst").checkpoint()
+        edges = cut(inner.join(own.select(F.col("node").alias("src")), "src", "left_anti").join(own.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
     if found is None:
         found = edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
     sizes = found.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
@@ -83,19 +85,19 @@ def shortest_loops(edges: DataFrame, components: DataFrame) -> DataFrame:
     A search by levels inside each component keeps, for every node, the least path that reaches it first.
     """
     of = components.select("node", "component")
-    inner = edges.select("src", "dst").distinct().join(of.select(F.col("node").alias("src"), "component"), "src").join(of.select(F.col("node").alias("dst"), F.col("component").alias("__c")), "dst").where("component = __c").select("component", "src", "dst").checkpoint()
+    inner = cut(edges.select("src", "dst").distinct().join(of.select(F.col("node").alias("src"), "component"), "src").join(of.select(F.col("node").alias("dst"), F.col("component").alias("__c")), "dst").where("component = __c").select("component", "src", "dst"))
     paths = inner.select("component").distinct().select("component", F.col("component").alias("node"), F.array("component").alias("path"))
     seen = paths.select("component", "node")
     loops = None
     while True:
         step = paths.join(inner.withColumnRenamed("src", "node"), ["component", "node"]).select("component", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        step = step.groupBy("component", "node").agg(F.min("path").alias("path")).checkpoint()
+        step = cut(step.groupBy("component", "node").agg(F.min("path").alias("path")))
         closed = step.where("node = component").select("component", F.col("path").alias("loop"))
         loops = closed if loops is None else loops.union(closed.join(loops, "component", "left_anti"))
-        paths = step.join(seen, ["component", "node"], "left_anti").join(loops, "component", "left_anti").checkpoint()
+        paths = cut(step.join(seen, ["component", "node"], "left_anti").join(loops, "component", "left_anti"))
         if not paths.limit(1).count():
             return loops
-        seen = seen.union(paths.select("component", "node")).checkpoint()
+        seen = cut(seen.union(paths.select("component", "node")))
 
 
 def group_degrees(edges: DataFrame, members: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.text import CALLABLE_KINDS
 
 
@@ -22,7 +23,7 @@ def ancestors(nodes: DataFrame, key: list[str], parent: str, child: str) -> Data
         more = more.select(*key, "node", "ancestor", (F.col("depth") + F.col("__far")).alias("depth"))
         if not more.limit(1).count():
             return known
-        known = known.union(more).checkpoint()
+        known = cut(known.union(more))
         deepest *= 2
 
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
+
 
 def churn(touches: DataFrame, repo: str = "repo") -> DataFrame:
     """(repo, path, churn, last): commits that touched what is called path today, and the newest one's time.
@@ -33,6 +35,7 @@ def churn(touches: DataFrame, repo: str = "repo") -> DataFrame:
                     called[path] = None
         return pd.DataFrame({"repo": rows["repo"].iloc[0], "path": list(count), "churn": list(count.values()), "last": [last[p] for p in count]})
 
+    ship(touches.sparkSession)
     numbered = touches.select(F.col(repo).alias("repo"), "pos", "time", "status", "path", "old_path", F.col("k") if "k" in touches.columns else F.lit(0).alias("k"))
     return numbered.groupBy("repo").applyInPandas(fold, "repo string, path string, churn bigint, last bigint")
 

@@ -73,7 +73,7 @@ def external_type(receiver: Column) -> Column:
 
 
 def split_words(name: Column) -> Column:
-    """The words of an identifier, lower-cased: `parseURLv2` is `parse url v 2`."""
+    """The words of an identifier, lower-cased: `parseHTTPName2` is `parse http name 2`."""
     return F.array_join(F.transform(F.regexp_extract_all(name, F.lit(WORD), F.lit(0)), F.lower), " ")
 
 

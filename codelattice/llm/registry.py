@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import encode_decode
 from .fingerprints import fingerprints
@@ -10,14 +11,13 @@ from .frames import read
 from .language_id import identify
 from .minhash import near_duplicates
 from .mixing import mix
+from .oracles import ORACLES
 from .preferences import conversation_pairs, format_preferences
 from .quality import judge
 from .suffix_dedup import repeated_passages
 from .token_counts import token_counts
 from .token_files import write_and_read
 
-ORACLES: dict[str, str] = {}
-
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mix(read(spark, sf_dir, "documents"))
@@ -52,7 +52,9 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_preferences(conversation_pairs(read(spark, sf_dir, "conversations")))
+    got = format_preferences(conversation_pairs(read(spark, sf_dir, "conversations")))
+    spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), " ")
+    return got.withColumns({c: spans(c) for c in ("chosen_mask", "rejected_mask")})
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +69,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "documents"))
 
 
+__all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
+
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_language_id": op2_language_id,

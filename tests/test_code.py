@@ -164,5 +164,15 @@ def test_history_impact_and_refresh(code):
     assert set(code.refresh()) <= {"unchanged", "stat"}
     hot = code.hotspots()
     assert "inv/shop.py: 8" in hot or "inv/shop.py: 10" in hot
+    from codelattice.sources import datasource, git as vcs
+
+    datasource.register(code.spark)
+    log = code.spark.read.format("git_log").option("root", str(root)).option("since", "2026-01-01").load()
+    assert {(r["status"], r["path"], r["old_path"]) for r in log.where("pos = 0").collect()} == {("M", "inv/util.py", None), ("R", "inv/shop.py", "inv/store.py")}
+    tree = code.spark.read.format("git_tree").option("root", str(root)).option("commit", "HEAD~1").load()
+    assert {r["path"] for r in tree.collect()} == set(FILES)
+    assert {bytes(r["content"]).decode() for r in vcs.blobs(tree, str(root)).collect()} == set(FILES.values())
+    with pytest.raises(ValueError):
+        vcs.commit_of(str(root), "--output=x")
     impact = code.diff_impact("HEAD~1")
     assert "[removed] inv.store.Store: " in impact and "[signature] inv.util.norm: " in impact

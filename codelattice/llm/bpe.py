@@ -29,8 +29,8 @@ from .frames import map_batches
 from .pretokens import Known, split
 from .words import pieces
 
-#: Pre-tokens that a worker remembers (some 250 MB); when they are full, it begins anew.
-REMEMBERED = 1_000_000
+#: Pre-tokens that a worker remembers (some 50 MB); when they are full, it begins anew.
+REMEMBERED = 500_000
 #: Between pre-tokens that are searched together; no Latin-1 character.
 _BETWEEN = "Ā"
 _FAR = 1 << 60
@@ -100,7 +100,7 @@ class BacktrackingBpe:
                     i -= 1
                 else:
                     j -= 1
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > 200_000:
                 self._fits.clear()
             self._fits[pair] = ok
         return self._fits[pair]

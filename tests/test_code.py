@@ -174,5 +174,8 @@ def test_history_impact_and_refresh(code):
     assert {bytes(r["content"]).decode() for r in vcs.blobs(tree, str(root)).collect()} == set(FILES.values())
     with pytest.raises(ValueError):
         vcs.commit_of(str(root), "--output=x")
-    impact = code.diff_impact("HEAD~1")
+    impact = code.diff_impact("HEAD~1", "HEAD")
     assert "[removed] inv.store.Store: " in impact and "[signature] inv.util.norm: " in impact
+    (root / "core/Base.java").write_bytes(FILES["core/Base.java"].replace("\n", "\r\n").encode())  # other line ends only
+    (root / "inv/util.py").write_text("def norm(v, w=2):\n    return v\n")
+    assert "1 files, 1 symbols changed: 1 signature" in code.diff_impact("HEAD")

@@ -31,6 +31,8 @@ SKIP_DIRS = (
 )
 MAX_FILE_BYTES = 1_000_000
 BINARY_PROBE = 8192
+#: Files changed so shortly before a run may change again with the same time.
+RACY_NS = 2_000_000_000
 
 
 def language(path):
@@ -49,33 +51,50 @@ def has_nul(content):
     return F.position(F.unhex(F.lit("00")), probe) > 0
 
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
-    """(path, language, content, size, mtime_ns) of the source files below root: tracked or not ignored if it is a git repository.
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """(path, language) of the source files below root: tracked or not ignored if it is a git repository, else all but skipped folders."""
+    names = tracked(root)
+    rows = spark.createDataFrame([(n,) for n in (walked(root) if names is None else names)], "path string")
+    return rows.where(is_source(F.col("path"), F.lit(0))).withColumn("language", language(F.col("path")))
+
 
-    Names are listed on the driver; the executors, which must see root, read the files.
+def read_files(paths: DataFrame, root: str, contents: bool = True) -> DataFrame:
+    """paths with size, mtime_ns and, if asked for, content of what is a regular file of no more than MAX_FILE_BYTES.
+
+    The executors, which must see root, look at the files.
     """
     root = os.path.abspath(root)
-    names = tracked(root)
-    listed = spark.createDataFrame([(n,) for n in (walked(root) if names is None else names)], "path string")
-    listed = listed.where(is_source(F.col("path"), F.lit(0)))
+    rest = [c for c in paths.columns if c != "path"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path in batch.column(0).to_pylist():
+            keep, rows = [], []
+            for i, path in enumerate(batch.column(0).to_pylist()):
                 try:
                     stat = os.lstat(f"{root}/{path}")
                     if not S_ISREG(stat.st_mode) or stat.st_size > MAX_FILE_BYTES:
                         continue
-                    with open(f"{root}/{path}", "rb") as f:
-                        rows.append((path, f.read(), stat.st_size, stat.st_mtime_ns))
+                    data = None
+                    if contents:
+                        with open(f"{root}/{path}", "rb") as f:
+                            data = f.read()
+                    rows.append((stat.st_size, stat.st_mtime_ns, data))
+                    keep.append(i)
                 except OSError:
                     continue
-            columns = list(zip(*rows)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.int64(), pa.int64()))], ["path", "content", "size", "mtime_ns"])
+            some = batch.take(pa.array(keep, pa.int64()))
+            columns = list(zip(*rows)) or [(), (), ()]
+            made = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64())] + [pa.array(columns[2], pa.binary())] * contents
+            yield pa.RecordBatch.from_arrays([*some.columns, *made], [*some.schema.names, "size", "mtime_ns", *["content"] * contents])
+
+    given = paths.select("path", *rest)
+    more = "size bigint, mtime_ns bigint" + ", content binary" * contents
+    return given.mapInArrow(read, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema) + ", " + more)
 
-    files = listed.mapInArrow(read, "path string, content binary, size bigint, mtime_ns bigint")
-    return files.withColumn("language", language(F.col("path")))
+
+def discover(spark: SparkSession, root: str) -> DataFrame:
+    """(path, language, size, mtime_ns, content) of the source files below root."""
+    return read_files(listed(spark, root), root)
 
 
 def walked(root: str) -> list[str]:
@@ -141,7 +160,8 @@ def relation(rows: DataFrame, name: str, key: list[str] | None = None) -> DataFr
 
 def tables_of(files: DataFrame) -> dict[str, DataFrame]:
     """The four relations of discovered files; binary ones are left out."""
-    files = with_modules(files.where(~has_nul(F.col("content"))))
+    files = files.where(~has_nul(F.col("content")))
+    files = files if "module" in files.columns else with_modules(files)
     rows = cut(extracted(files))
     facts = files.select("path", F.sha2("content", 256).alias("hash"), "size", "mtime_ns", line_count(F.decode("content", "utf-8")).cast("int").alias("line_count"))
     columns = [p.split(" ")[0] for p in FILES.split(", ")]
@@ -180,6 +200,9 @@ class Index:
         version = f"v-{started_ns}-{uuid.uuid4().hex[:8]}"
         for name, rows in tables.items():
             rows.write.parquet(f"{self.folder}/{version}/{name}")
+        self._point(version, root, started_ns)
+
+    def _point(self, version: str, root: str, started_ns: int) -> None:
         with open(f"{self.folder}/manifest.new", "w", encoding="utf-8") as f:
             json.dump({"schema_version": SCHEMA_VERSION, "version": version, "root": root, "last_indexed_ns": started_ns}, f)
         os.replace(f"{self.folder}/manifest.new", f"{self.folder}/manifest.json")
@@ -188,35 +211,45 @@ class Index:
         """Bring the index up to date; files by action. Rows of unchanged files are carried over as they are."""
         started = time.time_ns()
         os.makedirs(self.folder, exist_ok=True)
-        found = cut(discover(self.spark, root))
+        found = listed(self.spark, root)
         m = self.manifest()
         if m is None or m["schema_version"] != SCHEMA_VERSION:
-            new = tables_of(found)
-            self._publish(new, root, started)
+            self._publish(tables_of(cut(read_files(with_modules(found), root))), root, started)
             return {"parse": self.tables()["files"].count()}
         old = self.tables()
-        text = with_modules(found.where(~has_nul(F.col("content"))))
-        java = old["files"].select("path", F.col("module").alias("__m"), F.col("hash").alias("__h"))
-        now = text.withColumn("hash", F.sha2("content", 256)).join(java, "path", "left")
-        # a Java file's module is written in it, so it is as before if the content is
-        now = now.withColumn("module", F.when(F.col("language") == "java", F.when(F.col("hash") == F.col("__h"), F.col("__m"))).otherwise(F.col("module")))
-        actions = refresh_cascade(old["files"], now.select("path", "module", "hash", "size", "mtime_ns"), last_run_ns=m["last_indexed_ns"])
+        was = old["files"].select("path", *[F.col(c).alias(f"__{c}") for c in ("module", "hash", "size", "mtime_ns")])
+        seen = cut(read_files(with_modules(found), root, contents=False).join(was, "path", "left"))
+        # a Java file's module is written in it: what it was, if nothing else has changed
+        module = F.when(F.col("language") == "java", F.col("__module")).otherwise(F.col("module"))
+        same = (F.col("size") == F.col("__size")) & (F.col("mtime_ns") == F.col("__mtime_ns")) & module.eqNullSafe(F.col("__module")) & (F.col("mtime_ns") < m["last_indexed_ns"] - RACY_NS)
+        same = F.coalesce(same, F.lit(False))
+        doubtful = read_files(seen.where(~same).select("path", "language", "module", "is_package"), root)
+        doubtful = cut(doubtful.where(~has_nul(F.col("content"))).withColumn("hash", F.sha2("content", 256)))
+        sure = seen.where(same).select("path", module.alias("module"), F.col("__hash").alias("hash"), "size", "mtime_ns")
+        read = doubtful.join(was.select("path", "__module", "__hash"), "path", "left")
+        read_module = F.when(F.col("language") == "java", F.when(F.col("hash") == F.col("__hash"), F.col("__module"))).otherwise(F.col("module"))
+        now = sure.union(read.select("path", read_module, "hash", "size", "mtime_ns"))
+        actions = refresh_cascade(old["files"], now, last_run_ns=m["last_indexed_ns"], racy_ns=RACY_NS)
+        # a doubtful file that turned out to be the same in all respects needs no new row
+        alike = now.join(was, (now["path"] == was["path"]) & (F.col("size") == F.col("__size")) & (F.col("mtime_ns") == F.col("__mtime_ns"))).select(now["path"], F.lit(True).alias("__alike"))
+        actions = actions.join(alike, "path", "left").select("path", F.when((F.col("action") == "stat") & F.col("__alike"), "unchanged").otherwise(F.col("action")).alias("action"))
         decided = {r["path"]: r["action"] for r in actions.collect()}  # one short row a file
         counts: dict[str, int] = {}
         for a in decided.values():
             counts[a] = counts.get(a, 0) + 1
         if set(decided.values()) <= {"unchanged"}:
+            self._point(m["version"], root, started)
             return counts
         paths = self.spark.createDataFrame(list(decided.items()), "path string, action string")
         parse = paths.where("action = 'parse'").select("path")
         gone = paths.where("action in ('parse', 'remove')").select("path")
-        fresh = tables_of(found)
+        fresh = tables_of(doubtful.join(parse, "path", "left_semi").drop("hash"))
         merged = {}
         for name in TABLES:
             kept = old[name].join(gone, "path", "left_anti")
             if name == "files":
                 stat = now.join(paths.where("action = 'stat'"), "path", "left_semi").select("path", F.col("size").alias("__s"), F.col("mtime_ns").alias("__t"))
                 kept = kept.join(stat, "path", "left").withColumns({"size": F.coalesce("__s", "size"), "mtime_ns": F.coalesce("__t", "mtime_ns")}).drop("__s", "__t")
-            merged[name] = kept.select(*old[name].columns).unionByName(fresh[name].join(parse, "path", "left_semi").select(*old[name].columns))
+            merged[name] = kept.select(*old[name].columns).unionByName(fresh[name].select(*old[name].columns))
         self._publish(merged, root, started)
         return counts

@@ -231,7 +231,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     suffixes = stored(map_batches(rows, _choose, "gram bigint, doc_id bigint, place int"), "suffixes")
-    shared = suffixes.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # written out, so that the join deals both sides anew and may split a gram that very many documents share
+    shared = stored(suffixes.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "shared-grams")
     asked = suffixes.join(shared, "gram").groupBy("doc_id").agg(F.collect_set(F.struct("gram", "place")).alias("places"))
     near = map_batches(rows.join(asked, "doc_id").select("doc_id", "text", "places"), _contexts, "key binary, left binary, doc_id bigint, place int")
     order = ["key", "left", "doc_id", "place"]

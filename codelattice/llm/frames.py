@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +22,31 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch, where the session has Spark's own number: texts are long, so its batches would be large.
+BATCH_ROWS = "1000"
+
+
 def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
-    """mapInArrow with this package at hand on every executor."""
-    ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    """mapInArrow with this package at hand on every executor, in small batches; workers give memory back after a task."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+    def trimmed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(trimmed, schema)
+
+
+def _give_back() -> None:
+    """Hand free memory to the system: a worker lives on, and its executor has a limit for all of its processes."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:

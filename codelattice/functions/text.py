@@ -100,6 +100,14 @@ def package_of(language: Column, path: Column, module: Column) -> Column:
     return F.when(inner, F.regexp_replace(module, r"\.?[^.]*$", "")).otherwise(module)
 
 
+def source_root(directory: Column, package: Column) -> Column:
+    """`java/src/` for directory `java/src/com/x/` and package `com.x`; null if the folders don't end in the package."""
+    tail = F.concat(F.lit("/"), F.replace(package, F.lit("."), F.lit("/")), F.lit("/"))
+    whole = F.concat(F.lit("/"), directory)
+    root = F.substring(whole, F.lit(2), F.length(whole) - F.length(tail))
+    return F.when((package != "") & F.endswith(whole, tail), F.when(root == "", "./").otherwise(root))
+
+
 def external_name(module: Column, language: Column) -> Column:
     return F.when(language == "java", F.substring_index(module, ".", 2)).otherwise(F.substring_index(module, ".", 1))
 

@@ -123,6 +123,21 @@ def split(data: np.ndarray, offsets: np.ndarray, spaces: bool) -> tuple[np.ndarr
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in vocabulary files of byte-level BPE."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+_LETTERS = byte_letters()
+
+
+def in_letters(word: bytes) -> str:
+    """A pre-token as the library's model takes it: a letter for each byte."""
+    return word.decode("latin-1").translate(_LETTERS)
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = powers(_P, len(data))
     run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * up)])
@@ -159,40 +174,62 @@ class _Table:
 
 
 class Known:
-    """What each pre-token stands for: a run of 32-bit values. learn(pre-tokens) gives those of new ones."""
+    """What each pre-token stands for: a run of 32-bit values. learn(pre-tokens) gives those of new ones.
+
+    New pre-tokens make a table of their own; tables of like size are merged, so that each pre-token is sorted a few times only.
+    """
 
     def __init__(self, learn: Callable[[list[bytes]], list[list[int]]], most: int):
         self.learn, self.most = learn, most
         self._clear()
 
     def _clear(self) -> None:
-        none = np.zeros(0, np.uint64)
-        self.base, self.recent = _Table(none, none), _Table(none, none)
-        self.first, self.values = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.tables: list[_Table] = []
+        self.n = self.used = 0
+        self._first, self._values = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.uint32)
+
+    @property
+    def first(self) -> np.ndarray:
+        return self._first[: self.n + 1]
+
+    @property
+    def values(self) -> np.ndarray:
+        return self._values[: self.used]
+
+    def _add(self, keys: np.ndarray, got: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        total = int(sizes.sum())
+        while self.n + len(keys) + 1 > len(self._first):
+            self._first = np.concatenate([self._first, np.zeros_like(self._first)])
+        while self.used + total > len(self._values):
+            self._values = np.concatenate([self._values, np.zeros_like(self._values)])
+        self._first[self.n + 1 : self.n + 1 + len(keys)] = self.used + np.cumsum(sizes)
+        self._values[self.used : self.used + total] = np.fromiter((v for x in got for v in x), np.uint32, total)
+        table = _Table(keys, np.arange(self.n, self.n + len(keys)))
+        while self.tables and len(self.tables[-1].keys) <= 2 * len(table.keys):
+            last = self.tables.pop()
+            table = _Table(np.concatenate([last.keys, table.keys]), np.concatenate([last.rows, table.rows]))
+        self.tables.append(table)
+        self.n += len(keys)
+        self.used += total
 
     def rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if len(self.first) > self.most:
+        if self.n > self.most:
             self._clear()
         h = hashes(data, starts, ends)
-        row = self.base.find(h)
-        miss = np.flatnonzero(row < 0)
-        if len(miss):
-            row[miss] = self.recent.find(h[miss])
+        row = np.full(len(h), -1, np.int32)
+        miss = np.arange(len(h))
+        for table in self.tables:
+            row[miss] = table.find(h[miss] if len(miss) < len(h) else h)
             miss = miss[row[miss] < 0]
+            if not len(miss):
+                break
         if len(miss):
             keys, first, inverse = np.unique(h[miss], return_index=True, return_inverse=True)
             raw = data.tobytes()
             words = [raw[a:b] for a, b in zip(starts[miss[first]].tolist(), ends[miss[first]].tolist())]
-            got = self.learn(words)
-            n = len(self.first) - 1
-            row[miss] = n + inverse
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in got])])
-            self.values = np.concatenate([self.values, np.fromiter((v for x in got for v in x), np.uint32)])
-            rows = np.arange(n, n + len(keys))
-            self.recent = _Table(np.concatenate([self.recent.keys, keys]), np.concatenate([self.recent.rows, rows]))
-            if len(self.recent.keys) > 20_000 + len(self.base.keys) // 4:
-                self.base = _Table(np.concatenate([self.base.keys, self.recent.keys]), np.concatenate([self.base.rows, self.recent.rows]))
-                self.recent = _Table(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            row[miss] = self.n + inverse
+            self._add(keys, self.learn(words))
         return row
 
     def expand(self, row: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .bpe import REMEMBERED
 from .frames import map_batches
-from .pretokens import Known, split
+from .pretokens import Known, byte_letters, in_letters, split
 from .words import pieces
 
 #: Characters that the library splits by itself: beyond the older blocks, unassigned in some Unicode version.
@@ -58,7 +58,7 @@ class WordCounter:
 
     def _whole_tokens(self) -> set[bytes]:
         """Pre-tokens proven to encode alone as one token."""
-        of = {c: b for b, c in _byte_letters().items()}
+        of = {c: b for b, c in byte_letters().items()}
         strings = set()
         for token in self.library.get_vocab(with_added_tokens=False):
             try:
@@ -72,12 +72,8 @@ class WordCounter:
 
     def _merge(self, words: list[bytes]) -> list[list[int]]:
         """The count of each pre-token: 1 for whole tokens, else what the library's merges leave."""
-        rest = [w for w in words if w not in self.whole]
-        merged: dict[bytes, int] = {}
-        for i in range(0, len(rest), 10_000):
-            some = rest[i : i + 10_000]
-            merged.update(zip(some, map(len, self.library.encode_batch([w.decode() for w in some], add_special_tokens=False))))
-        return [[merged.get(w, 1)] for w in words]
+        tokenize, whole = self.library.model.tokenize, self.whole
+        return [[1 if w in whole else len(tokenize(in_letters(w)))] for w in words]
 
     def _normal(self, text: str) -> str:
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
@@ -110,13 +106,6 @@ class WordCounter:
         return total
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in vocabulary files of byte-level BPE."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
-
-
 _counters: dict[str, WordCounter] = {}
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .bpe import REMEMBERED
 from .frames import drop_stored, map_batches, stored
-from .pretokens import Known, split
+from .pretokens import Known, in_letters, split
 from .words import pieces
 
 MAGIC = 0x31534E52
@@ -130,7 +130,8 @@ def _library(path: str):
         t = Tokenizer.from_file(path)
         special = {a.content.encode(): i for i, a in t.get_added_tokens_decoder().items()}
         cut = re.compile(b"|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-        learn = lambda words: [e.ids for i in range(0, len(words), 20_000) for e in t.encode_batch([w.decode() for w in words[i : i + 20_000]], add_special_tokens=False)]
+        tokenize = t.model.tokenize
+        learn = lambda words: [[x.id for x in tokenize(in_letters(w))] for w in words]
         _libraries[path] = (t, cut, special, Known(learn, REMEMBERED))
     return _libraries[path]
 

@@ -238,7 +238,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     order = ["key", "left", "doc_id", "place"]
     compared = map_batches(stored(near, "contexts").repartitionByRange(*order).sortWithinPartitions(*order), _compare, "task bigint, run bigint, doc_id bigint, place int, to_left int, to_right int, edge int, context binary")
     runs = stored(_join_tasks(stored(compared, "neighbours")), "runs")
-    first = runs.groupBy("run_of").agg(F.min(F.struct("doc_id", "place")).alias("least"))
+    first = stored(runs.groupBy("run_of").agg(F.min(F.struct("doc_id", "place")).alias("least")), "run-firsts")
     spans = runs.join(first, "run_of").select(
         "doc_id",
         F.struct(

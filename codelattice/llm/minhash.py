@@ -6,14 +6,16 @@ m * m tables. Two sets at a similarity s meet in some table with probability
 (1 - (1 - s**g)**m)**2; with g = 2 and m = 8 that is 0.99993 at 0.85 and 0.999997 at 0.9.
 
 Equal sets become one class first, so that copies never meet each other again. In each table bucket a
-class is compared with the bucket's smallest one; then two members of each component that is left in a
-bucket are compared with two of another component there, all drawn by a hash. Two alike classes share
-some thirty of the 64 tables, with other smallest classes and other draws in most. A group of any
-size costs rows in proportion to its size and never its square, and no bucket has a limit. All
-aggregates combine before they shuffle; joins on hot keys are left to adaptive skew splitting.
+class is compared with the bucket's smallest one. Of the buckets whose other classes are then not yet one
+component, every pair that still lies in two components is compared on full sets, in parts of bounded
+size, so all pairs that share a table are settled, and no bucket has a limit. That last step costs
+comparisons with the square of a group only as far as the group falls into several components; its rows
+are as many as the group has, times the blocks of PART_SHINGLES that it fills. All aggregates combine
+before they shuffle; joins on hot keys are left to adaptive skew splitting.
 
-Before full sets are fetched, an odd sketch (the parity of the shingles that fall on each of ODD_BITS bits)
-bounds the symmetric difference; pairs go on unless it is more than ODD_SD deviations too large.
+In the comparisons with smallest classes, an odd sketch (the parity of the shingles that fall on each of
+ODD_BITS bits) bounds the symmetric difference before full sets are fetched; pairs go on unless it is more
+than ODD_SD deviations too large.
 
 Defined results: null, empty or blank texts have no shingles and are linked with nothing; rows with
 one doc_id count as one document; a row without doc_id keeps no component; an empty table gives an
@@ -29,11 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from .frames import cut, map_batches, stored
 from .words import mix, pieces, shingles, word_hashes
 
 GROUPS, IN_GROUP = 8, 2
 ODD_BITS, ODD_SD = 2048, 4.5
+#: Shingles of a block of rows that are compared in one task.
+PART_SHINGLES = 250_000
 #: Ids that are broadcast at most (8 MB); beyond that, the texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -138,6 +143,61 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return got.where(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("a", "b")
 
 
+def _links(part: pa.Table, percent: int) -> pa.Table:
+    """Links (a, b) that join all labels of a part which its pairs join: those that share a table, and `group` as their first group.
+
+    A pair is skipped only if its labels are one already, by the input or by links found here.
+    """
+    group, p, q = (part[c][0].as_py() for c in ("group", "p", "q"))
+    node, label, block = part["node"].to_numpy(), part["label"].to_numpy().copy(), part["block"].to_numpy()
+    sets = part["set"].combine_chunks()
+    n = sets.value_lengths().to_numpy().astype(np.int64)
+    ends = np.cumsum(n)
+    vocabulary, ids = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    sig = part["sig"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+    half = sig.shape[1] // 2
+    mark = np.zeros(len(vocabulary), bool)
+    found = []
+    for x in np.flatnonzero(block == p):
+        may = (label != label[x]) & (block == q) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+        if p == q:
+            may[: x + 1] = False
+        ys = np.flatnonzero(may)
+        same = sig[ys] == sig[x]
+        ys = ys[(same[:, :half].argmax(axis=1) == group) & same[:, half:].any(axis=1)]
+        if not len(ys):
+            continue
+        own = ids[ends[x] - n[x] : ends[x]]
+        mark[own] = True
+        starts = np.cumsum(n[ys]) - n[ys]
+        at = np.repeat(ends[ys] - n[ys] - starts, n[ys]) + np.arange(n[ys].sum())
+        both = np.add.reduceat(mark[ids[at]], starts, dtype=np.int64)
+        mark[own] = False
+        for y in ys[100 * both >= percent * (n[x] + n[ys] - both)]:
+            if label[y] != label[x]:
+                found.append((min(node[x], node[y]), max(node[x], node[y])))
+                label[label == label[y]] = label[x]
+    found = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+
+def _links_left(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between labels of rows (node, n, label, sig): every pair of rows that shares a table is compared.
+
+    Such a pair shares a group of the first collection. The rows of each group value are dealt into blocks,
+    and each two blocks form a part; a row has as many copies as its group value has blocks, mostly one.
+    """
+    wide = stored(rows.select("node", "n", "label", "sig", F.posexplode(F.slice("sig", 1, F.size("sig") / 2)).alias("group", "value")), "groups-left")
+    sizes = wide.groupBy("group", "value").agg(F.sum("n").alias("all"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    sizes = stored(sizes.where("lo <> hi").select("group", "value", F.ceil(F.col("all") / PART_SHINGLES).alias("blocks")), "group-sizes")
+    dealt = wide.join(sizes, ["group", "value"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    dealt = dealt.select("group", "value", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "label", "sig")
+    parts = dealt.join(sets.select("node", "set"), "node").groupBy("group", "value", "p", "q")
+    ship(rows.sparkSession)
+    return parts.applyInArrow(lambda part: _links(part, percent), "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 85, lower: bool = True) -> DataFrame:
     """One row per row of docs: (doc_id, n_shingles, component_id, kept)."""
     sig = stored(signatures(docs, id_col, text_col, k, lower), "signatures")
@@ -157,18 +217,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tested = rows.where("node <> least").join(hub, "key").where(could(F.col("n"), F.col("hub_n")))
     tested = cut(tested.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
     labels = components(cut(_confirmed(tested, sets, percent)))
-    rows = rows.select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = rows.where("node <> least").select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    rows = stored(rows.join(mixed, "key"), "mixed-buckets")
-    drawn = lambda c: F.xxhash64(c, "key").alias("h")
-    member = F.struct(drawn("node"), "node", "n")
-    picks = rows.groupBy("key", "label").agg(F.min(member).alias("pick"), F.max(member).alias("pick_2"))
-    hubs = picks.groupBy("key").agg(F.min(F.struct(drawn("label"), "label", "pick", "pick_2")).alias("hub"))
-    new = picks.join(hubs, "key").where(F.col("label") != F.col("hub.label"))
-    new = new.select(F.explode(F.array(F.struct(F.col("pick").alias("x"), F.col("hub.pick").alias("y")), F.struct(F.col("pick_2").alias("x"), F.col("hub.pick_2").alias("y")))).alias("p"))
-    new = new.where(could(F.col("p.x.n"), F.col("p.y.n"))).select(F.least("p.x.node", "p.y.node").alias("a"), F.greatest("p.x.node", "p.y.node").alias("b")).distinct()
-    found = cut(_confirmed(new.join(tested, ["a", "b"], "left_anti"), sets, percent))
-    of = rows.select("node", "label").distinct()
+    rows = cut(rows.join(mixed, "key").select("node", "n", "label").distinct())
+    found = cut(_links_left(rows.join(classes.select("node", "sig"), "node"), sets, percent))
+    of = rows.select("node", "label")
     ends = found.join(of.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
     merged = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("new"))
     alone = merged.select(F.col("label").alias("node"), F.col("new").alias("label")).join(labels, "node", "left_anti")

@@ -251,6 +251,49 @@ def test_near_duplicate_groups_without_a_common_neighbour(spark):
     assert without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count() == 1
 
 
+def spread_copies(n, edits, seed):
+    """n copies of one text under random ids, each with up to so many words of its own, spread out."""
+    rng = np.random.RandomState(seed)
+    rows = []
+    for i in rng.permutation(10 * n)[:n].tolist():
+        words = [f"w{j}" for j in range(402)]
+        for j in rng.permutation(np.arange(5, 395, 6))[: rng.randint(1, edits + 1)]:
+            words[j] = f"own{i}x{j}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def least_of_components(rows, k, percent):
+    sets = shingle_sets(rows, k)
+    order = sorted(sets)
+    columns = {w: c for c, w in enumerate(sorted(set().union(*sets.values())))}
+    has = np.zeros((len(order), len(columns)), np.float32)
+    for r, i in enumerate(order):
+        has[r, [columns[w] for w in sets[i]]] = 1
+    both = has @ has.T
+    alike = 100 * both >= percent * (has.sum(1)[:, None] + has.sum(1)[None, :] - both)
+    label = np.arange(len(order))
+    while True:
+        new = np.where(alike, label[None, :], len(order)).min(1)
+        if (new == label).all():
+            return {i: order[x] for i, x in zip(order, label)}
+        label = new
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicates_in_a_large_group_of_spread_copies(spark, monkeypatch, seed):
+    """Many members are linked with few others, and hardly ever with a bucket's least one."""
+    from codelattice.llm import minhash
+
+    rows = spread_copies(600, 10, seed)
+    want = least_of_components(rows, 3, 85)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(df).collect()} == want
+    if seed == 1:
+        monkeypatch.setattr(minhash, "PART_SHINGLES", 20_000)
+        assert {r["doc_id"]: r["component_id"] for r in near_duplicates(df).collect()} == want
+
+
 def test_quality(docs, raw, empty):
     got = {r["doc_id"]: r for r in quality.judge(docs).collect()}
     for i, x, *_ in raw:

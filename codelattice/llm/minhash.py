@@ -3,7 +3,8 @@
 Two small collections of minhash groups are computed for each distinct shingle set. The key of table
 (i, j) combines group i of the first collection with group j of the second, so 2 * m groups serve
 m * m tables. Two sets at a similarity s meet in some table with probability
-(1 - (1 - s**g)**m)**2; with g = 2 and m = 8 that is 0.99993 at 0.85 and 0.999997 at 0.9.
+(1 - (1 - s**g)**m)**2. With g = 2, the least m that misses at most MISSED of the pairs at the threshold
+is 8 at 0.85 (0.99993, and 0.999997 at 0.9) and 10 at 0.8 (0.99993).
 
 Equal sets become one class first, so that copies never meet each other again. In each table bucket a
 class is compared with the bucket's smallest one. Of the buckets whose other classes are then not yet one
@@ -35,7 +36,9 @@ from ..functions.shipping import ship
 from .frames import cut, map_batches, stored
 from .words import mix, pieces, shingles, word_hashes
 
-GROUPS, IN_GROUP = 8, 2
+IN_GROUP = 2
+#: Most pairs, as a share of those at the threshold, that may meet in no table.
+MISSED = 1e-4
 ODD_BITS, ODD_SD = 2048, 4.5
 #: Shingles of a block of rows that are compared in one task.
 PART_SHINGLES = 250_000
@@ -43,6 +46,14 @@ PART_SHINGLES = 250_000
 BROADCAST_IDS = 500_000
 
 
+def groups_for(percent: int) -> int:
+    """The least number of groups of each collection with which pairs at the threshold meet."""
+    m = 1
+    while 1 - (1 - (1 - (percent / 100) ** IN_GROUP) ** m) ** 2 > MISSED:
+        m += 1
+    return m
+
+
 def _factors(n: int) -> np.ndarray:
     rng = np.random.RandomState(77)
     return ((rng.randint(0, 1 << 32, n).astype(np.uint64) << np.uint64(32)) | rng.randint(0, 1 << 32, n).astype(np.uint64)) | np.uint64(1)
@@ -71,9 +82,9 @@ def _sums(values: np.ndarray, places: np.ndarray, how) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, lower: bool = True) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, sig): sig holds the 2 * GROUPS group hashes."""
-    n = 2 * GROUPS * IN_GROUP
+def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, groups: int, lower: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, set_a, set_b, sig): sig holds the 2 * groups group hashes."""
+    n = 2 * groups * IN_GROUP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = _factors(n)
@@ -82,11 +93,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, lower: bool
                 least = np.zeros((to - at, n), np.uint64)
                 for j in range(n):
                     least[:, j] = _sums((values ^ by[j]) * by[n - 1 - j], places, np.minimum)
-                groups = least[:, ::IN_GROUP].copy()
+                of = least[:, ::IN_GROUP].copy()
                 for j in range(1, IN_GROUP):
-                    groups = mix(groups) + least[:, j::IN_GROUP]
-                flat = mix(groups).view(np.int64).reshape(-1)
-                sig = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 2 * GROUPS, dtype=np.int32)), pa.array(flat))
+                    of = mix(of) + least[:, j::IN_GROUP]
+                flat = mix(of).view(np.int64).reshape(-1)
+                sig = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 2 * groups, dtype=np.int32)), pa.array(flat))
                 sums = [_sums(mix(values ^ x), places, np.add).view(np.int64) for x in by[:2]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(np.diff(places)), *map(pa.array, sums), sig], ["doc_id", "n_shingles", "set_a", "set_b", "sig"])
 
@@ -200,12 +211,13 @@ def _links_left(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 85, lower: bool = True) -> DataFrame:
     """One row per row of docs: (doc_id, n_shingles, component_id, kept)."""
-    sig = stored(signatures(docs, id_col, text_col, k, lower), "signatures")
+    groups = groups_for(percent)
+    sig = stored(signatures(docs, id_col, text_col, k, groups, lower), "signatures")
     classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = stored(classes, "classes")
-    table = F.explode(F.sequence(F.lit(0), F.lit(GROUPS * GROUPS - 1))).alias("table")
+    table = F.explode(F.sequence(F.lit(0), F.lit(groups * groups - 1))).alias("table")
     keys = classes.select("node", "n", "sig", table)
-    key = F.xxhash64(F.get("sig", F.floor(F.col("table") / GROUPS).cast("int")), F.get("sig", F.lit(GROUPS) + F.col("table") % GROUPS), "table")
+    key = F.xxhash64(F.get("sig", F.floor(F.col("table") / groups).cast("int")), F.get("sig", F.lit(groups) + F.col("table") % groups), "table")
     keys = keys.select(key.alias("key"), F.struct("node", "n").alias("at"))
     ends = keys.groupBy("key").agg(F.min("at.node").alias("least"), F.max("at.node").alias("most"))
     # written out, so that the join deals both sides anew and may split the bucket of a very large group

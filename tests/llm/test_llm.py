@@ -294,6 +294,18 @@ def test_near_duplicates_in_a_large_group_of_spread_copies(spark, monkeypatch, s
         assert {r["doc_id"]: r["component_id"] for r in near_duplicates(df).collect()} == want
 
 
+def test_near_duplicate_stage_against_brute_force(spark):
+    """The pipeline's stage keeps the least of each component at 0.8, and few pairs at 0.8 meet in no table."""
+    import corpus_pipeline as pipeline
+    from codelattice.llm import minhash
+
+    rows = spread_copies(500, 8, 3)
+    want = least_of_components(rows, 5, 80)
+    df = spark.createDataFrame([(i, x, "en", "src1", len(x)) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in pipeline.drop_near_duplicates(spark, df, DATA).collect()} == set(want.values())
+    assert {p: minhash.groups_for(p) for p in (80, 85, 100)} == {80: 10, 85: 8, 100: 1}
+
+
 def test_quality(docs, raw, empty):
     got = {r["doc_id"]: r for r in quality.judge(docs).collect()}
     for i, x, *_ in raw:

@@ -179,3 +179,30 @@ def test_history_impact_and_refresh(code):
     (root / "core/Base.java").write_bytes(FILES["core/Base.java"].replace("\n", "\r\n").encode())  # other line ends only
     (root / "inv/util.py").write_text("def norm(v, w=2):\n    return v\n")
     assert "1 files, 1 symbols changed: 1 signature" in code.diff_impact("HEAD")
+
+
+@pytest.fixture
+def small(spark, tmp_path):
+    """A repository in which p.a only imports from p.b, and p.b and p.c import each other."""
+    root = tmp_path / "repo"
+    (root / "p").mkdir(parents=True)
+    (root / "p/__init__.py").write_text("")
+    (root / "p/a.py").write_text("from p.b import Kept\nfrom p.b import Gone\n")
+    (root / "p/b.py").write_text("import p.c\nclass Gone:\n    pass\nclass Kept:\n    pass\nclass Alone:\n    pass\n")
+    (root / "p/c.py").write_text("import p.b\n" + "".join(f"def thing_{i}(): pass\n" for i in range(205)))
+    git(root, "init", "-q")
+    git(root, "add", "-A")
+    git(root, "commit", "-qm", "one")
+    index = CodeIndex(spark, str(tmp_path / "index"), str(root))
+    index.refresh()
+    return index
+
+
+def test_impact_counts_imports_of_removed_symbols(small):
+    with open(f"{small.root}/p/b.py", "w") as f:
+        f.write("import p.c\nclass Kept:\n    pass\n")
+    git(small.root, "commit", "-qam", "two")
+    small.refresh()
+    impact = small.diff_impact("HEAD~1", "HEAD")
+    assert "[removed] p.b.Gone: 0 strong, 0 weak; still imported 1 times (p/a.py:2)" in impact
+    assert "[removed] p.b.Alone: 0 strong, 0 weak\n" in impact + "\n" and impact.index("p.b.Gone") < impact.index("p.b.Alone")

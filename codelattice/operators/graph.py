@@ -79,20 +79,23 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return found.join(sizes, "component").select("node", "component", "size")
 
 
-def shortest_loops(edges: DataFrame, components: DataFrame) -> DataFrame:
+def shortest_loops(edges: DataFrame, components: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """(component, loop): for each component, the least of the shortest loops through its least node.
 
+    With starts (component, start), only their components have loops, through these nodes.
     A search by levels inside each component keeps, for every node, the least path that reaches it first.
     """
     of = components.select("node", "component")
     inner = cut(edges.select("src", "dst").distinct().join(of.select(F.col("node").alias("src"), "component"), "src").join(of.select(F.col("node").alias("dst"), F.col("component").alias("__c")), "dst").where("component = __c").select("component", "src", "dst"))
-    paths = inner.select("component").distinct().select("component", F.col("component").alias("node"), F.array("component").alias("path"))
+    if starts is None:
+        starts = inner.select("component", F.col("component").alias("start")).distinct()
+    paths = starts.select("component", F.col("start").alias("node"), F.array("start").alias("path"))
     seen = paths.select("component", "node")
     loops = None
     while True:
         step = paths.join(inner.withColumnRenamed("src", "node"), ["component", "node"]).select("component", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         step = cut(step.groupBy("component", "node").agg(F.min("path").alias("path")))
-        closed = step.where("node = component").select("component", F.col("path").alias("loop"))
+        closed = step.where("node = path[0]").select("component", F.col("path").alias("loop"))
         loops = closed if loops is None else loops.union(closed.join(loops, "component", "left_anti"))
         paths = cut(step.join(seen, ["component", "node"], "left_anti").join(loops, "component", "left_anti"))
         if not paths.limit(1).count():

@@ -206,3 +206,12 @@ def test_impact_counts_imports_of_removed_symbols(small):
     impact = small.diff_impact("HEAD~1", "HEAD")
     assert "[removed] p.b.Gone: 0 strong, 0 weak; still imported 1 times (p/a.py:2)" in impact
     assert "[removed] p.b.Alone: 0 strong, 0 weak\n" in impact + "\n" and impact.index("p.b.Gone") < impact.index("p.b.Alone")
+
+
+def test_cycles_of_a_module_and_bounded_word_hits(small):
+    assert "\ncycle: p.c -> p.b -> p.c\n" in small.module_dependencies("p.c") + "\n"
+    assert "\ncycle: p.b -> p.c -> p.b\n" in small.module_dependencies("p.*") + "\n"
+    assert "\ncycles: none\n" in small.module_dependencies("p.a") + "\n"
+    found = small.search_symbols("thing")
+    assert found.startswith("200+ symbols match thing\n") and "of 200+ shown" in found and "shows all" not in found
+    assert small.search_symbols("Gone").startswith("1 symbols match Gone\n")

@@ -2,7 +2,9 @@
 
 The tables hold no source code, so each operator runs on the closest relation: documents stand for files
 (path = source/lang/doc_id), events for commits and call sites, lineitem for references,
-parts and suppliers for candidates, nations for modules. Each query covers its whole tables.
+parts and suppliers for candidates, nations for modules. Each query covers its whole tables, but for
+common_prefix (documents with doc_id % 40 < 25 only) and strong_components and shortest_loop (the two
+heaviest edges of each node); the operators themselves have no such cut.
 """
 
 from __future__ import annotations

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import map_batches
-from .pretokens import Known, split
+from .pretokens import WITH_SPACES, Known, class_runs, class_table, split
 from .words import pieces
 
 #: Pre-tokens that a worker remembers (some 50 MB); when they are full, it begins anew.
@@ -155,18 +155,22 @@ def encoder(path: str) -> tuple[BacktrackingBpe, Known]:
     return _encoders[path]
 
 
-def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, pattern: str = WITH_SPACES) -> DataFrame:
     """One row per row of docs: (doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]).
 
-    Texts are split by the pattern of pretokens.split() with spaces. path: a rank file that every executor can read. ids (with keep_ids) are little-endian unsigned
-    32-bit integers, as in the first digest.
+    path: a rank file that every executor can read; pattern: what cuts a text into pre-tokens, which must be the one that
+    split() follows with spaces. ids (with keep_ids) are little-endian unsigned 32-bit integers, as in the first digest.
     """
+    if pattern != WITH_SPACES:
+        raise ValueError("texts are to be split by another pattern")
+    runs = class_runs("tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, known = encoder(path)
+        table = class_table("tiktoken", runs)
         for batch in batches:
             for at, to, data, offsets in pieces(batch.column(1)):
-                starts, ends, firsts = split(data, offsets, spaces=True)
+                starts, ends, firsts = split(data, offsets, True, table)
                 values, places = known.expand(known.rows(data, starts, ends), firsts)
                 ids = [values[a:b].astype("<u4").tobytes() for a, b in itertools.pairwise(places.tolist())]
                 back = [hashlib.sha256(bpe.decode(np.frombuffer(x, "<u4").tolist())).hexdigest() for x in ids]

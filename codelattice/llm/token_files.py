@@ -18,6 +18,7 @@ other in the order of their ids' bytes; null ids come first; an empty table give
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 import struct
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .bpe import REMEMBERED
 from .frames import drop_stored, map_batches, stored
-from .pretokens import Known, in_letters, split
+from .pretokens import Known, class_runs, class_table, in_letters, split
 from .words import pieces
 
 MAGIC = 0x31534E52
@@ -136,18 +137,18 @@ def _library(path: str):
     return _libraries[path]
 
 
-def _ids(data: np.ndarray, offsets: np.ndarray, path: str) -> list[np.ndarray]:
+def _ids(data: np.ndarray, offsets: np.ndarray, path: str, table: np.ndarray) -> list[np.ndarray]:
     """The ids of each text of a piece; special strings are cut out before the rest is split."""
     _, cut, special, known = _library(path)
     found = [(m.start(), m.end(), special[m[0]]) for m in cut.finditer(data.tobytes())] if cut else []
     found = [x for x in found if np.searchsorted(offsets, x[0], side="right") == np.searchsorted(offsets, x[1] - 1, side="right")]
     if not found:
-        starts, ends, firsts = split(data, offsets, spaces=True)
+        starts, ends, firsts = split(data, offsets, True, table)
         values, places = known.expand(known.rows(data, starts, ends), firsts)
         return [values[a:b] for a, b in itertools.pairwise(places.tolist())]
     at, to, ids = (np.array(x, np.int64) for x in zip(*found))
     borders = np.unique(np.concatenate([offsets, at, to]))
-    starts, ends, firsts = split(data, borders, spaces=True)
+    starts, ends, firsts = split(data, borders, True, table)
     values, places = known.expand(known.rows(data, starts, ends), firsts)
     parts = {int(b): values[places[k] : places[k + 1]] for k, b in enumerate(borders[:-1])}
     parts.update({int(b): np.array([i], np.uint32) for b, i in zip(at, ids)})
@@ -161,16 +162,22 @@ def _ids(data: np.ndarray, offsets: np.ndarray, path: str) -> list[np.ndarray]:
 def token_ids(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n, ids): ids as packed 16-bit integers with the end id, by the byte-level file at path.
 
-    Each distinct pre-token that a worker meets is encoded by the library once.
+    Each distinct pre-token that a worker meets is encoded by the library once. The file must split texts as split() does.
     """
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    by = told["pre_tokenizer"] or {}
+    if told["normalizer"] is not None or (by.get("type"), by.get("add_prefix_space"), by.get("use_regex")) != ("ByteLevel", False, True):
+        raise ValueError("the file splits text in another way")
+    runs = class_runs("tokenizers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if _library(path)[0].get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary need more than 16 bits")
-        end = np.array([end_id], "<u2").tobytes()
+        end, table = np.array([end_id], "<u2").tobytes(), class_table("tokenizers", runs)
         for batch in batches:
             for at, to, data, offsets in pieces(batch.column(1)):
-                ids = [x.astype("<u2").tobytes() + end for x in _ids(data, offsets, path)]
+                ids = [x.astype("<u2").tobytes() + end for x in _ids(data, offsets, path, table)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -1,12 +1,13 @@
 """Word hashes of whole Arrow batches, without a Python step for each word.
 
 A batch is cut into pieces of about PIECE bytes at document borders, so memory follows the piece and
-the longest single text. In a piece, words are runs of bytes that are no white space; the hash of
-each is a difference of two running sums of (table value of the byte) * P**place, mixed at the end.
+the longest single text. In a piece, words are runs of bytes that are no white space; all are hashed
+side by side, eight bytes a step.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +16,11 @@ import pyarrow as pa
 PIECE = 1 << 19
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[32, *range(9, 14)]] = True
-_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_rng = np.random.RandomState(20240607)
-_VALUE = (_rng.randint(0, 1 << 32, 256).astype(np.uint64) << np.uint64(32)) | _rng.randint(0, 1 << 32, 256).astype(np.uint64)
-_LOWER = _VALUE.copy()
-_LOWER[65:91] = _VALUE[97:123]
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_ODD, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Masks of the first 0 to 8 bytes.
+_MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+#: From so many bytes on, a span is hashed by BLAKE2b.
+LONG = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -33,17 +33,43 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse modulo 2**64 for i below n at least."""
-    key = int(base)
-    if key not in _powers or len(_powers[key][0]) < n:
-        room = max(n, PIECE + 1024)
-        back = np.uint64(pow(key, -1, 1 << 64))
-        up, down = np.full(room, base), np.full(room, back)
-        up[0] = down[0] = 1
-        _powers[key] = (np.cumprod(up), np.cumprod(down))
-    up, down = _powers[key]
-    return up[:n], down[:n]
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one integer; zeros follow the data."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; spans of up to 7 bytes have hashes of their own.
+
+    Eight bytes at a time go through a bijection that is not linear, so that no family of texts collides by its form.
+    """
+    n, eight, own = ends - starts, eights(data), np.uint64(seed)
+    h = eight[starts] & _MASK[np.minimum(n, 8)]
+    h = mix((h | (np.where(n < 8, n, 0).astype(np.uint64) << np.uint64(56))) ^ own)
+    wide = np.flatnonzero((n >= 8) & (n < LONG))
+    todo, at = wide[n[wide] > 8], 8
+    while len(todo):
+        h[todo] = mix(h[todo] * _ODD + (eight[starts[todo] + at] & _MASK[np.minimum(n[todo] - at, 8)]))
+        at += 8
+        todo = todo[n[todo] > at]
+    h[wide] = mix(h[wide] + n[wide].astype(np.uint64) * _ODD2)
+    for i in np.flatnonzero(n >= LONG):
+        h[i] = np.frombuffer(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=int(own).to_bytes(8, "little")).digest(), "<u8")[0]
+    return h
+
+
+def same_bytes(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the n bytes from each pair of places are equal."""
+    same, x, y = np.ones(len(n), bool), eights(a), eights(b)
+    todo, at = np.flatnonzero((n > 0) & (n < LONG)), 0
+    while len(todo):
+        same[todo] &= ((x[a_starts[todo] + at] ^ y[b_starts[todo] + at]) & _MASK[np.minimum(n[todo] - at, 8)]) == 0
+        at += 8
+        todo = todo[n[todo] > at]
+    for i in np.flatnonzero(n >= LONG):
+        same[i] = np.array_equal(a[a_starts[i] : a_starts[i] + n[i]], b[b_starts[i] : b_starts[i] + n[i]])
+    return same
 
 
 def pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -67,8 +93,11 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         at = to
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, its first byte, its end, for each document the place of its first word, and one more)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, its first byte, its end, for each document the place of its first word, and one more).
+
+    With lower, A-Z count as a-z.
+    """
     if not len(data):
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
@@ -81,25 +110,28 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     inked = ~blank
     starts = np.flatnonzero(inked & border[:-1])
     ends = np.flatnonzero(inked & np.concatenate([border[1:-1] | blank[1:], [True]])) + 1
-    up, down = powers(_P, len(data))
-    run = np.cumsum((_LOWER if lower else _VALUE)[data] * up)
-    h = run[ends - 1] - np.where(starts > 0, run[starts - 1], np.uint64(0))
-    h = mix(h * down[starts] + (ends - starts).astype(np.uint64))
-    return h, starts, ends, np.searchsorted(starts, offsets)
+    if lower:
+        data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+    return hash_spans(data, starts, ends, seed), starts, ends, np.searchsorted(starts, offsets)
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k words from each place on; len(h) - k + 1 of them (none if there are fewer words)."""
+    """Hash of the k words from each place on; len(h) - k + 1 of them (none if there are fewer words).
+
+    Runs of 1, 2, 4, ... words are joined as the bits of k ask.
+    """
     if len(h) < k:
         return np.zeros(0, np.uint64)
-    if k <= 4:
-        g = h[: len(h) - k + 1].copy()
-        for j in range(1, k):
-            g = mix(g) + h[j : len(h) - k + 1 + j]
-        return mix(g)
-    up, down = powers(_Q, len(h) + 1)
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)])])
-    return mix((run[k:] - run[:-k]) * down[: len(h) - k + 1])
+    out, done, run, size = np.zeros(len(h), np.uint64), 0, h, 1
+    while done < k:
+        if k & size:
+            own = run[done : len(run)]
+            out = mix(out[: len(own)] * _ODD + own)
+            done += size
+        if 2 * size <= k:
+            run = mix(mix(run[: len(run) - size]) + run[size:])
+        size *= 2
+    return mix(out[: len(h) - k + 1] + np.uint64(k))
 
 
 def shingles(h: np.ndarray, firsts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -15,12 +15,16 @@ are as many as the group has, times the blocks of PART_SHINGLES that it fills. A
 before they shuffle; joins on hot keys are left to adaptive skew splitting.
 
 In the comparisons with smallest classes, an odd sketch (the parity of the shingles that fall on each of
-ODD_BITS bits) bounds the symmetric difference before full sets are fetched; pairs go on unless it is more
-than ODD_SD deviations too large.
+ODD_BITS bits) comes before full sets: it differs in no more bits than the sets have shingles of their own,
+so a pair is left out only if it surely isn't alike enough.
 
-Defined results: null, empty or blank texts have no shingles and are linked with nothing; rows with
-one doc_id count as one document; a row without doc_id keeps no component; an empty table gives an
-empty one.
+Words and shingles are told apart by 64-bit hashes that are not linear, whole sets by two sums over
+independent ones (128 bits): two given sets of 10,000 shingles meet a false equal shingle with a
+probability of 5e-12.
+
+Defined results: null, empty or blank texts have no shingles and are linked with nothing; rows are told
+apart by id and text, so an id with two texts is two documents; rows without an id are linked with
+nothing and have a null component; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -33,13 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
-from .frames import cut, map_batches, stored
+from .frames import cut, drop_stored, map_batches, stored
 from .words import mix, pieces, shingles, word_hashes
 
 IN_GROUP = 2
 #: Most pairs, as a share of those at the threshold, that may meet in no table.
 MISSED = 1e-4
-ODD_BITS, ODD_SD = 2048, 4.5
+ODD_BITS = 2048
 #: Shingles of a block of rows that are compared in one task.
 PART_SHINGLES = 250_000
 #: Ids that are broadcast at most (8 MB); beyond that, the texts are joined by a shuffle.
@@ -59,19 +63,35 @@ def _factors(n: int) -> np.ndarray:
     return ((rng.randint(0, 1 << 32, n).astype(np.uint64) << np.uint64(32)) | rng.randint(0, 1 << 32, n).astype(np.uint64)) | np.uint64(1)
 
 
-def _sets(text: pa.Array, k: int, lower: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Pieces of documents with their distinct shingles, sorted: (first, end, values, places)."""
+#: Seeds of the two hashes of a word.
+_SEEDS = (0, 0x6A09E667F3BCC908)
+
+
+def _sets(text: pa.Array, k: int, lower: bool, twice: bool = False) -> Iterator[tuple[int, int, list[np.ndarray], np.ndarray]]:
+    """Pieces of documents with their distinct shingles, sorted: (first, end, hashes by one or two seeds, places)."""
     for at, to, data, offsets in pieces(text):
-        h, _, _, firsts = word_hashes(data, offsets, lower)
-        values, places = shingles(h, firsts, k)
+        found = []
+        for seed in _SEEDS[: 1 + twice]:
+            h, _, _, firsts = word_hashes(data, offsets, lower, seed)
+            values, places = shingles(h, firsts, k)
+            found.append(values)
+        values = found[0]
+        order = np.arange(len(values)) if twice else None
         for d in np.flatnonzero(np.diff(places) > 1):
-            values[places[d] : places[d + 1]].sort()
+            own = slice(places[d], places[d + 1])
+            if twice:
+                order[own] = places[d] + np.argsort(values[own])
+            else:
+                values[own].sort()
+        if twice:
+            found = [x[order] for x in found]
+            values = found[0]
         new = np.ones(len(values), bool)
         if len(values):
             new[1:] = values[1:] != values[:-1]
             new[places[:-1][np.diff(places) > 0]] = True
         sums = np.concatenate([[0], np.cumsum(new)])
-        yield at, to, values[new], sums[places]
+        yield at, to, [x[new] for x in found], sums[places]
 
 
 def _sums(values: np.ndarray, places: np.ndarray, how) -> np.ndarray:
@@ -83,13 +103,13 @@ def _sums(values: np.ndarray, places: np.ndarray, how) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, groups: int, lower: bool = True) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, sig): sig holds the 2 * groups group hashes."""
+    """(doc_id, tie, n_shingles, set_a, set_b, sig): tie is a hash of the text, sig holds the 2 * groups group hashes."""
     n = 2 * groups * IN_GROUP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = _factors(n)
         for batch in batches:
-            for at, to, values, places in _sets(batch.column(1), k, lower):
+            for at, to, (values, others), places in _sets(batch.column(1), k, lower, twice=True):
                 least = np.zeros((to - at, n), np.uint64)
                 for j in range(n):
                     least[:, j] = _sums((values ^ by[j]) * by[n - 1 - j], places, np.minimum)
@@ -98,19 +118,20 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, groups: int,
                     of = mix(of) + least[:, j::IN_GROUP]
                 flat = mix(of).view(np.int64).reshape(-1)
                 sig = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 2 * groups, dtype=np.int32)), pa.array(flat))
-                sums = [_sums(mix(values ^ x), places, np.add).view(np.int64) for x in by[:2]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(np.diff(places)), *map(pa.array, sums), sig], ["doc_id", "n_shingles", "set_a", "set_b", "sig"])
+                sums = [_sums(mix(x ^ salt), places, np.add).view(np.int64) for x, salt in zip((values, others), by)]
+                own = [batch.column(c).slice(at, to - at) for c in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(places)), *map(pa.array, sums), sig], ["doc_id", "tie", "n_shingles", "set_a", "set_b", "sig"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_batches(rows, run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sig array<bigint>")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("tie"))
+    return map_batches(rows, run, "doc_id bigint, tie bigint, n_shingles bigint, set_a bigint, set_b bigint, sig array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int, lower: bool = True) -> DataFrame:
-    """(node, n, odd, set) for the documents whose id is in ids; odd is the set's odd sketch."""
+    """(node, n, odd, set) for the documents (doc_id, tie) of ids, each once; odd is the set's odd sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, values, places in _sets(batch.column(1), k, lower):
+            for at, to, (values,), places in _sets(batch.column(1), k, lower):
                 sets = pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(values.view(np.int64)))
                 bit = (mix(values) >> np.uint64(16)) % np.uint64(ODD_BITS)
                 own = np.repeat(np.arange(to - at, dtype=np.int64), np.diff(places)) * ODD_BITS
@@ -118,10 +139,15 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k:
                 odd = pa.ListArray.from_arrays(pa.array(np.arange(0, len(odd) + 1, ODD_BITS // 64, dtype=np.int32)), pa.array(odd))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(np.diff(places)), odd, sets], ["node", "n", "odd", "set"])
 
-    few = ids.count() <= BROADCAST_IDS
-    rows = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(ids) if few else ids, "node", "left_semi")
-    return map_batches(rows, run, "node bigint, n bigint, odd array<bigint>, set array<bigint>")
+    asked = ids.count()
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).alias("text"))
+    rows = rows.join(F.broadcast(ids) if asked <= BROADCAST_IDS else ids, ["doc_id", "tie"]).select("node", "text")
+    sets = stored(map_batches(rows, run, "node bigint, n bigint, odd array<bigint>, set array<bigint>"), "sets")
+    if sets.count() == asked:
+        return sets
+    once = stored(sets.dropDuplicates(["node"]), "sets")  # some of these rows stand in the table more than once
+    drop_stored(sets)
+    return once
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -146,9 +172,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     of = lambda x, *columns: sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
     near = pairs.join(of("a", "n", "odd"), "a").join(of("b", "n", "odd"), "b")
     most = (F.col("n_a") + F.col("n_b")) * F.lit((100 - percent) / (100 + percent))
-    expected = F.lit(ODD_BITS / 2) * (1 - F.exp(-2 * most / ODD_BITS))
     ones = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    near = near.where((most > ODD_BITS / 2) | (ones <= expected + ODD_SD * F.sqrt(expected) + 4)).select("a", "b")
+    near = near.where(ones <= most).select("a", "b")
     got = near.distinct().join(of("a", "set"), "a").join(of("b", "set"), "b")
     got = got.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("both"), (F.size("set_a") + F.size("set_b")).alias("all"))
     return got.where(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("a", "b")
@@ -206,15 +231,17 @@ def _links_left(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     dealt = dealt.select("group", "value", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "label", "sig")
     parts = dealt.join(sets.select("node", "set"), "node").groupBy("group", "value", "p", "q")
     ship(rows.sparkSession)
-    return parts.applyInArrow(lambda part: _links(part, percent), "a bigint, b bigint").distinct()
+    found = cut(parts.applyInArrow(lambda part: _links(part, percent), "a bigint, b bigint").distinct())
+    drop_stored(wide, sizes)
+    return found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 85, lower: bool = True) -> DataFrame:
-    """One row per row of docs: (doc_id, n_shingles, component_id, kept)."""
+def _labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, lower: bool) -> DataFrame:
+    """(doc_id, tie, n_shingles, first) of each row; first is the least (doc_id, tie) of its component, null for rows that are linked with nothing."""
     groups = groups_for(percent)
     sig = stored(signatures(docs, id_col, text_col, k, groups, lower), "signatures")
-    classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    classes = stored(classes, "classes")
+    classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "tie")).alias("least"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbers are read from this table only
     table = F.explode(F.sequence(F.lit(0), F.lit(groups * groups - 1))).alias("table")
     keys = classes.select("node", "n", "sig", table)
     key = F.xxhash64(F.get("sig", F.floor(F.col("table") / groups).cast("int")), F.get("sig", F.lit(groups) + F.col("table") % groups), "table")
@@ -222,29 +249,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = keys.groupBy("key").agg(F.min("at.node").alias("least"), F.max("at.node").alias("most"))
     # written out, so that the join deals both sides anew and may split the bucket of a very large group
     shared = stored(ends.where("least <> most").select("key", "least"), "shared-keys")
-    rows = stored(keys.join(shared, "key").select("key", "at.node", "at.n", "least"), "buckets")
-    sets = stored(shingle_sets(docs, cut(rows.select("node").distinct()), id_col, text_col, k, lower), "sets")
+    buckets = stored(keys.join(shared, "key").select("key", "at.node", "at.n", "least"), "buckets")
+    ids = cut(classes.select("node", "least.*").join(buckets.select("node").distinct(), "node", "left_semi"))
+    sets = shingle_sets(docs, ids, id_col, text_col, k, lower)
     could = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)  # noqa: E731  sets of such sizes can be as alike
-    hub = rows.where("node = least").select("key", F.col("n").alias("hub_n"))
-    tested = rows.where("node <> least").join(hub, "key").where(could(F.col("n"), F.col("hub_n")))
+    hub = buckets.where("node = least").select("key", F.col("n").alias("hub_n"))
+    tested = buckets.where("node <> least").join(hub, "key").where(could(F.col("n"), F.col("hub_n")))
     tested = cut(tested.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
     labels = components(cut(_confirmed(tested, sets, percent)))
-    rows = rows.where("node <> least").select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = buckets.where("node <> least").select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     rows = cut(rows.join(mixed, "key").select("node", "n", "label").distinct())
-    found = cut(_links_left(rows.join(classes.select("node", "sig"), "node"), sets, percent))
+    found = _links_left(rows.join(classes.select("node", "sig"), "node"), sets, percent)
     of = rows.select("node", "label")
     ends = found.join(of.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
     merged = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("new"))
     alone = merged.select(F.col("label").alias("node"), F.col("new").alias("label")).join(labels, "node", "left_anti")
     labels = cut(labels.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label")).union(alone))
-    of = classes.select("set_a", "set_b", "node").join(labels, "node", "left").select("set_a", "set_b", F.coalesce("label", "node").alias("label"))
-    out = sig.select("doc_id", "n_shingles", "set_a", "set_b").join(of, ["set_a", "set_b"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    of = cut(classes.select("set_a", "set_b", "node", "least").join(labels, "node", "left"))
+    firsts = of.where("label is not null").groupBy("label").agg(F.min("least").alias("first"))
+    of = of.join(firsts, "label", "left").select("set_a", "set_b", F.coalesce("first", "least").alias("first"))
+    linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    out = sig.select("doc_id", "tie", "n_shingles", "set_a", "set_b").join(of, ["set_a", "set_b"], "left")
+    out = stored(out.select("doc_id", "tie", "n_shingles", F.when(linked, F.col("first")).alias("first")), "components")
+    drop_stored(sig, classes, shared, buckets, sets)
+    return out
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 85, lower: bool = True) -> DataFrame:
+    """One row per row of docs: (doc_id, n_shingles, component_id, kept); component_id is the least id of the component."""
+    rows = _labelled(docs, id_col, text_col, k, percent, lower)
+    component = F.coalesce("first.doc_id", "doc_id")
+    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """docs, whatever their columns, with one document of each component: the one with the least id."""
-    gone = cut(near_duplicates(docs, id_col, text_col, k, percent).where("not kept").select(F.col("doc_id").alias(id_col)).distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs, whatever their columns, with one row of each component.
+
+    Defined results: the row of the least id stays (of one id with two texts, that of the lesser hash of the text; of
+    rows that agree in id and text, any one); texts without a word and rows without an id all stay; a unique
+    text always stays, also under an id that another text has; an empty table gives an empty one.
+    """
+    rows = _labelled(docs, id_col, text_col, k, percent, True).where("first is not null")
+    each = cut(rows.groupBy("doc_id", "tie").agg(F.count("*").alias("times"), F.first("first").alias("first")))
+    own = F.struct("doc_id", "tie") == F.col("first")
+    gone = each.where(~own).select("doc_id", "tie")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tie"))
+    left = whole.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, ["doc_id", "tie"], "left_anti")
+    again = each.where(own & (F.col("times") > 1)).select("doc_id", "tie")
+    n = again.count()
+    if n:
+        again = F.broadcast(again) if n <= BROADCAST_IDS else again
+        one = left.join(again, ["doc_id", "tie"], "left_semi").groupBy("doc_id", "tie").agg(F.first("row").alias("row"))
+        left = left.join(again, ["doc_id", "tie"], "left_anti").select("row").union(one.select("row"))
+    return left.select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -50,7 +50,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(read(spark, sf_dir, "documents"))
+    return repeated_passages(read(spark, sf_dir, "documents")).drop("tie")
 
 
 def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 The k-mers of a text are its windows of K words (fewer words: the whole text is one). Each is numbered by its
 occurrence, so repeats count, and hashed with that number. The leading bits of the hash deal the
-k-mers into BINS; in each bin the two least hashes are kept, put back into the order in which their k-mers stand
+k-mers into BINS; in each bin the two least hashes are kept (of a bin with one k-mer: it and the least hash of
+the next bin in use, going around), put back into the order in which their k-mers stand
 in the text, and hashed as a pair. A pair changes when one of its k-mers is edited and also when the two
-change places, so the share of equal pairs follows the edit distance rather than the set overlap. One
-permutation with bins serves in place of BINS permutations; bins that are empty in both texts don't
-count. All of it is DataFrame expressions inside one row, linear in the text but for the sorts.
+change places, so the share of equal pairs follows the edit distance rather than the set overlap, also in
+texts of a few words. One permutation with bins serves in place of BINS permutations; bins that are empty in
+both texts don't count. All of it is DataFrame expressions inside one row, linear in the text but for the sorts.
 
 The next document in descending order of id is found without a global sort: ids are dealt into
 ranges by approximate quantiles, texts are shuffled once by range, and each range also gets the
@@ -14,7 +15,8 @@ first document of the range below, so that a window inside the range sees every
 
 Defined results: a null text is empty; a text without a word has an empty fingerprint, which is like
 another empty one (1.0) and unlike all others (0.0); rows with one id follow each other in the order of
-their text's hash; rows without id come last; one document alone is its own next one; an empty table
+their text's hash; rows without id come last; one document alone is its own next one; a text of K words or
+fewer has one k-mer, which is its own pair; places of k-mers count modulo 2**PLACE_BITS; an empty table
 gives an empty one.
 """
 
@@ -74,7 +76,7 @@ def _numbered(hashes: Column) -> Column:
         firsts = F.filter(F.sequence(F.lit(0), F.size(packed) - 1), lambda i: ~F.coalesce(name(_at(packed, i)) == name(_at(packed, i - 1)), F.lit(False)))
         return F.when(F.size(packed) == 0, packed).otherwise(_bind(firsts, by_run))
 
-    packed = F.sort_array(F.transform(hashes, lambda h, i: name(h).bitwiseOR(i.cast("long"))))
+    packed = F.sort_array(F.transform(hashes, lambda h, i: name(h).bitwiseOR(i.cast("long").bitwiseAND(F.lit(low)))))
     return F.sort_array(_bind(packed, of))
 
 
@@ -90,8 +92,7 @@ def order_minhash(text: Column) -> Column:
 
     def pairs(least: Column) -> Column:
         def pair(x: Column, i: Column) -> Column:
-            second = _at(least, i + 1)
-            y = F.when(bin_(second) == bin_(x), second)
+            y = F.coalesce(_at(least, i + 1), F.when(F.size(least) > 1, _at(least, F.lit(0))))
             first_first = F.coalesce(place(x) < place(y), F.lit(True))
             tuple_ = F.when(first_first, F.xxhash64(name(x), name(y))).otherwise(F.xxhash64(name(y), name(x)))
             head = ~F.coalesce(bin_(x) == bin_(_at(least, i - 1)), F.lit(False))
@@ -114,14 +115,14 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _range_of(key: Column, bounds: list[int]) -> Column:
-    """How many bounds lie below key: first among every n-th bound, then between two of these."""
+    """How many bounds lie below key: first among every n-th bound, then between two of these. Either list is one literal of the plan."""
     if not bounds:
         return F.lit(0)
+    numbers = lambda x: F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>")
     step = max(1, int(len(bounds) ** 0.5))
-    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    coarse = F.size(F.filter(F.array(*[F.lit(p[-1]) for p in parts]), lambda b: b < key))
-    fine = F.get(F.array(*[F.array(*map(F.lit, p)) for p in parts]), coarse)
-    return coarse * step + F.coalesce(F.size(F.filter(fine, lambda b: b < key)), F.lit(0))
+    coarse = F.size(F.filter(numbers(bounds[step - 1 :: step]), lambda b: b < key))
+    fine = F.slice(numbers(bounds), coarse * step + 1, F.lit(step))
+    return coarse * step + F.size(F.filter(fine, lambda b: b < key))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -52,7 +52,7 @@ def _mask(t: str) -> str:
     return f"array_to_string(list_transform(list_filter(range(1, len({t}) + 1), lambda i: {t}[i].role = 'assistant'), lambda i: CAST({start} AS VARCHAR) || ':' || CAST({end} AS VARCHAR)), ' ')"
 
 
-PREFERENCES = f"""WITH c AS (SELECT conv_id, list(struct_pack(role := coalesce(role, 'unknown'), text := coalesce(text, '')) ORDER BY turn, coalesce(role, 'unknown'), coalesce(text, '')) AS t FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id),
+PREFERENCES = f"""WITH c AS (SELECT conv_id, list(struct_pack(role := replace(coalesce(role, 'unknown'), '<|', '< |'), text := replace(coalesce(text, ''), '<|', '< |')) ORDER BY turn, replace(coalesce(role, 'unknown'), '<|', '< |'), replace(coalesce(text, ''), '<|', '< |')) AS t FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id),
 l AS (SELECT *, list_max(list_filter(range(1, len(t) + 1), lambda i: t[i].role = 'assistant')) AS last FROM c),
 p AS (SELECT a.conv_id, a.t AS a, list_concat(list_slice(a.t, 1, coalesce(a.last - 1, len(a.t))), CASE WHEN z.last IS NULL THEN [] ELSE [z.t[z.last]] END) AS b FROM l a LEFT JOIN l z ON z.conv_id = xor(a.conv_id, 1)),
 n AS (SELECT *, coalesce(list_filter(range(1, greatest(len(a), len(b)) + 1), lambda i: a[i] IS DISTINCT FROM b[i])[1] - 1, len(a)) AS k FROM p),

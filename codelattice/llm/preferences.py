@@ -10,6 +10,8 @@ conversation as it is, rejected is the same up to its last assistant turn, which
 (id with the lowest bit flipped) replaces. All of it is DataFrame expressions; a conversation is
 gathered by its id and is as long as its own turns.
 
+Marks inside roles and texts can't pass for real ones: each `<|` of theirs is rendered as `< |`.
+
 Defined results: a null role is `unknown`, a null text is empty; turns are ordered by turn, role and text,
 so ties have one order; repeated turns stay; a conversation without an assistant turn, or whose
 partner has none, has an empty rejected tail after their common turns; turns without a
@@ -21,13 +23,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: How every mark begins, and what stands for it inside roles and texts.
+MARK, NO_MARK = "<|", "< |"
 OPEN, MIDDLE, CLOSE = "<|turn|>", "\n", "<|end|>\n"
 TRAINED = "assistant"
 
 
 def conversations(turns: DataFrame) -> DataFrame:
     """(conv_id, turns): an array of (role, text) in order, from (conv_id, turn, role, text)."""
-    turn = F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    plain = lambda c, other: F.replace(F.coalesce(c, F.lit(other)), F.lit(MARK), F.lit(NO_MARK)).alias(c)
+    turn = F.struct("turn", plain("role", "unknown"), plain("text", ""))
     rows = turns.where("conv_id is not null and turn is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
     return rows.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 

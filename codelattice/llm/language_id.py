@@ -198,11 +198,17 @@ def fit(languages: list[str], of: np.ndarray, grams: np.ndarray, counts: np.ndar
     return m
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[str]]]:
+    """Labels and texts, a piece at a time."""
+    for batch in batches:
+        for at, to, _, _ in pieces(batch.column(1)):
+            yield batch.column(0).slice(at, to - at).to_pylist(), batch.column(1).slice(at, to - at).to_pylist()
+
+
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, grams as four columns, n), summed over a task."""
     held: dict[str, dict[bytes, int]] = {}
-    for batch in batches:
-        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+    for langs, texts in _small(batches):
         for lang in set(langs):
             points, _ = normalised([t for t, x in zip(texts, langs) if x == lang])
             real = np.flatnonzero(points != _BREAK)
@@ -234,11 +240,11 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Models:
     models = fit(languages, of, np.stack([got[f"g{j}"].to_numpy() for j in range(ORDER)], axis=1), got["n"].to_numpy())
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            entropy, n = models.cross_entropies(batch.column(1).to_pylist())
-            at = np.searchsorted(np.array(languages), np.array(batch.column(0).to_pylist(), dtype=object).astype(str))
+        for langs, texts in _small(batches):
+            entropy, n = models.cross_entropies(texts)
+            at = np.searchsorted(np.array(languages), np.array(langs, dtype=object).astype(str))
             ok = (n > 0) & (at < len(languages))
-            ok &= np.array(languages)[np.minimum(at, len(languages) - 1)] == np.array(batch.column(0).to_pylist(), dtype=object)
+            ok &= np.array(languages)[np.minimum(at, len(languages) - 1)] == np.array(langs, dtype=object)
             yield pa.RecordBatch.from_arrays([pa.array(at[ok]), pa.array(entropy[ok, at[ok]]), pa.array(n[ok])], ["lang", "entropy", "n"])
 
     held = map_batches(drawn.where(part == 0).select("lang", "text"), measure, "lang bigint, entropy double, n bigint").toArrow()
@@ -295,7 +301,10 @@ def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
 
 
 def recognised(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
-    """docs, whatever their columns, without the documents that the models reject."""
+    """docs, whatever their columns, without the documents that the models reject.
+
+    Defined results: null texts and texts without a letter go; if no labelled row exists, every text with a letter stays.
+    """
     other = [c for c in docs.columns if c != text_col]
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in other]).alias("row"), F.col(text_col).alias("text"))
 

@@ -99,6 +99,9 @@ def balance(sizes: DataFrame, targets: DataFrame, most: float = MOST, steps: int
         state = cut(moved.withColumn("tilt", F.when(~move, F.col("tilt")).when(F.coalesce(inside, F.lit(False)), F.col("newton")).otherwise(half)).drop("got", "slope", "newton"))
         if not state.where(F.col("off") > tolerance).limit(1).count():
             break
+    else:
+        if state.where(F.col("off") > 1e-4).limit(1).count():
+            raise ArithmeticError(f"a source is off its target after {steps} steps")
     return state.select("k", "source_size", "docs", "target", "mean", F.round("tilt", 9).alias("tilt"))
 
 
@@ -110,13 +113,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     key = F.when(F.col(source_col).isNull(), F.lit("2")).otherwise(F.concat(F.lit("1"), F.col(source_col)))
     words = F.coalesce(count_words(F.col(text_col)), F.lit(0)).cast("long")
     whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if carry else []
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("k"), words.alias("size"), *whole)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("k"), words.alias("size"), F.xxhash64(F.col(text_col)).alias("tie"), *whole)
     sizes = cut(rows.groupBy("k", "size").agg(F.count("*").alias("docs")))
     state = cut(balance(sizes, source_targets(sizes, weights, share, most), most))
     rate = F.when(F.col("target") <= 0, 0.0).when(F.col("tilt").isNull(), F.lit(most)).otherwise(_rate(F.col("tilt"), F.col("size"), F.col("mean"), most))
     few = state.count() <= BROADCAST_SOURCES
     rows = rows.join(F.broadcast(state) if few else state, "k").withColumn("units", F.round(rate * UNIT).cast("long"))
-    spread = F.xxhash64(F.col("doc_id"), F.col("size"))
+    spread = F.xxhash64(F.col("doc_id"), F.col("size"), F.col("tie"))
     rows = rows.withColumn("bucket", F.pmod(spread, F.ceil(F.col("docs") / BUCKET_ROWS)))
     rows = rows if few else rows.repartition("k", "bucket")
     run = Window.partitionBy("k", "bucket").orderBy(F.desc("size"), spread, "doc_id").rowsBetween(Window.unboundedPreceding, 0)

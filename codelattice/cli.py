@@ -6,6 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from . import __version__
 from .api import CodeIndex
 
 
@@ -22,20 +23,29 @@ def main(argv: list[str] | None = None) -> int:
     s = sub.add_parser("symbol")
     s.add_argument("name")
     s.add_argument("--refs", action="store_true")
-    sub.add_parser("info")
+    for name in ("info", "serve", "version"):
+        sub.add_parser(name)
     for name in ("search", "outline", "impact"):
         sub.add_parser(name).add_argument("what")
     sub.add_parser("deps").add_argument("what", nargs="?")
     sub.add_parser("hotspots").add_argument("what", nargs="?")
     args = p.parse_args(argv)
+    if args.command == "version":
+        print(__version__)
+        return 0
     code = CodeIndex(session(), args.index, args.root)
     if args.command == "index":
         print(", ".join(f"{n} {a}" for a, n in sorted(code.refresh().items())))
         return 0
+    if args.command == "serve":
+        from .serve import Server
+
+        Server(code).serve()
+        return 0
     calls = {
         "info": lambda: code.repo_summary(), "search": lambda: code.search_symbols(args.what), "outline": lambda: code.file_outline(args.what), "impact": lambda: code.diff_impact(args.what),
         "deps": lambda: code.module_dependencies(args.what), "hotspots": lambda: code.hotspots(args.what),
-        "symbol": lambda: code.find_references(args.name) if args.refs else code.get_symbol(args.name),
+        "symbol": lambda: code.find_references(args.name) if args.refs else code.symbol_or_words(args.name),
     }
     print(calls[args.command]())
     return 0

@@ -33,14 +33,20 @@ def prefix_within(rows: DataFrame, text: str, order: list, chars: int, group: li
     return rows.withColumn("used", F.sum(F.length(text) + 1).over(w)).where(F.col("used") <= chars)
 
 
-def grouped_prefix_within(rows: DataFrame, text: str, header: str, order: list, chars: int, partition: list | None = None) -> DataFrame:
-    """As prefix_within(), but a line costs 3 more and the first line of a header costs its header too."""
+def grouped_prefix_within(rows: DataFrame, text: str, header: str, order: list, chars: int, partition: list | None = None, under: int = 0) -> DataFrame:
+    """As prefix_within(), but a line costs 3 more and the first line of a header costs its header too, without the first `under` characters that all headers share."""
     first = F.row_number().over(Window.partitionBy(*(partition or []), header).orderBy(*order)) == 1
-    rows = rows.withColumn("cost", F.length(text) + 3 + F.when(first, F.length(header) + 1).otherwise(0))
+    rows = rows.withColumn("cost", F.length(text) + 3 + F.when(first, F.length(header) + 1 - under).otherwise(0))
     w = Window.partitionBy(*(partition or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("used", F.sum("cost").over(w)).where(F.col("used") <= chars)
 
 
+def rank_of_caller(rows: DataFrame, caller: list, is_test: Column) -> DataFrame:
+    """References (tier, path, line, col) in order: best tier, tests last, a caller's first site before its repeats, then by place."""
+    rows = repeats(rows.withColumn("is_test", is_test), caller, ["line", "col"])
+    return rows.orderBy(F.desc("tier"), "is_test", F.col("repeat") > 0, "path", "line")
+
+
 def common_directory(rows: DataFrame, group: list[str], path: str) -> DataFrame:
     """The directories that all paths of a group share, if they are two at least and so are the paths; else ''."""
     parts = F.split(path, "/")

@@ -286,10 +286,3 @@ class Resolver:
         found = self.resolve(refs.unionByName(more.select(*refs.columns)))
         hit = found.join(target.select(F.col("path").alias("c_path"), F.col("ordinal").alias("c_ordinal")), ["c_path", "c_ordinal"], "left_semi")
         return hit.orderBy(F.desc("tier"), "path", "line", "col")
-
-
-def ranked(references: DataFrame, is_test: Column) -> DataFrame:
-    """References in order: tier, tests last, a caller's first site before its repeats, then by place."""
-    w = Window.partitionBy("path", "enclosing_ordinal").orderBy("line", "col")
-    rows = references.withColumns({"repeat": F.row_number().over(w) - 1, "is_test": is_test})
-    return rows.orderBy(F.desc("tier"), "is_test", F.col("repeat") > 0, "path", "line")

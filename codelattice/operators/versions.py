@@ -9,10 +9,10 @@ DECLARATION = ["signature", "decorators", "param_count", "is_varargs"]
 
 
 def snapshot_diff(base: DataFrame, head: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, status) of what was added, deleted or modified."""
+    """(key, status, old, new) of what was added, deleted or modified, with its values."""
     a, b = base.select(key, F.col(value).alias("__a"), F.lit(True).alias("__in_a")), head.select(key, F.col(value).alias("__b"), F.lit(True).alias("__in_b"))
     status = F.when(F.col("__in_a").isNull(), "added").when(F.col("__in_b").isNull(), "deleted").when(~F.col("__a").eqNullSafe(F.col("__b")), "modified")
-    return a.join(b, key, "full_outer").select(key, status.alias("status")).where("status is not null")
+    return a.join(b, key, "full_outer").select(key, status.alias("status"), F.col("__a").alias("old"), F.col("__b").alias("new")).where("status is not null")
 
 
 def pair_versions(base: DataFrame, head: DataFrame, name: list[str], declaration: list[str], order: list[str]) -> DataFrame:

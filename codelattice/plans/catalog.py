@@ -442,7 +442,7 @@ SELECT coalesce(a.k, b.k) AS path, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k I
 def snapshot_diff(spark, d):
     rows = _read(spark, d, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_orderpriority").alias("blob"))
     head = rows.where("path % 5 <> 0").withColumn("blob", F.when(F.col("path") % 11 == 0, "x").otherwise(F.col("blob")))
-    return versions.snapshot_diff(rows.where("path % 7 <> 0"), head, "path", "blob")
+    return versions.snapshot_diff(rows.where("path % 7 <> 0"), head, "path", "blob").select("path", "status")
 
 
 _KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"

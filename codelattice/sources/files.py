@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import subprocess
 import time
 import uuid
 from collections.abc import Iterator
@@ -20,8 +19,10 @@ from ..functions.lineage import cut
 from ..functions.shipping import ship
 from ..functions.text import directories, line_count
 from ..operators.history import refresh_cascade
+from ..streaming.freshness import Published
+from .git import git
 from .java_code import extract_java
-from .model import FILES, IMPORTS, REFS, SCHEMA_VERSION, SYMBOLS, TABLES
+from .model import FILES, IMPORTS, REFS, SCHEMA_VERSION, SYMBOLS, TABLES, columns_of
 from .python_code import extract_python, module_of, package_dirs
 
 #: Folders that hold no source of the repository itself.
@@ -108,10 +109,11 @@ def walked(root: str) -> list[str]:
 
 def tracked(root: str) -> list[str] | None:
     """Names that git tracks or doesn't ignore; None outside a repository."""
-    run = subprocess.run(["git", "-C", root, "ls-files", "--cached", "--others", "--exclude-standard", "-z"], capture_output=True, env=os.environ | {"GIT_OPTIONAL_LOCKS": "0"})
-    if run.returncode:
+    try:
+        told = git(root, "ls-files", "--cached", "--others", "--exclude-standard", "-z")
+    except (RuntimeError, FileNotFoundError):
         return None
-    return sorted(set(run.stdout.decode(errors="replace").split("\0")) - {""})
+    return sorted(set(told.decode(errors="replace").split("\0")) - {""})
 
 
 def with_modules(files: DataFrame) -> DataFrame:
@@ -146,7 +148,7 @@ def extracted(files: DataFrame, key: list[str] | None = None) -> DataFrame:
             for r in batch.to_pylist():
                 content = bytes(r["content"] or b"")
                 got = extract_java(content) if r["language"] == "java" else extract_python(content, r["module"] or "", bool(r["is_package"]))
-                rows.append({c: r[c] for c in [*key, "path", "language"]} | got.rows())
+                rows.append({c: r[c] for c in [*key, "path", "language"]} | got)
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     ship(files.sparkSession)
@@ -164,10 +166,10 @@ def tables_of(files: DataFrame) -> dict[str, DataFrame]:
     files = files if "module" in files.columns else with_modules(files)
     rows = cut(extracted(files))
     facts = files.select("path", F.sha2("content", 256).alias("hash"), "size", "mtime_ns", line_count(F.decode("content", "utf-8")).cast("int").alias("line_count"))
-    columns = [p.split(" ")[0] for p in FILES.split(", ")]
+    columns = columns_of(FILES)
     out = {"files": rows.select("path", "language", "module", "has_errors").join(facts, "path").select(*columns)}
     for name in ("symbols", "imports", "refs"):
-        out[name] = relation(rows, name).select(*[p.split(" ")[0] for p in TABLES[name].split(", ")])
+        out[name] = relation(rows, name).select(*columns_of(TABLES[name]))
     return out
 
 
@@ -188,6 +190,11 @@ class Index:
         except FileNotFoundError:
             return None
 
+    def published(self) -> Published | None:
+        """The current version, as streaming.freshness asks for it."""
+        m = self.manifest()
+        return None if m is None else Published(m["version"], m["last_indexed_ns"] / 1e9)
+
     def tables(self) -> dict[str, DataFrame]:
         m = self.manifest()
         if m is None:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
-from .model import Extract, Import, Ref, Symbol
+from .model import Found
 
 _TOKEN = re.compile(
     r'(?P<doc>/\*\*(?:[^*]|\*(?!/))*\*/)|(?P<comment>//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)|(?P<text>"""(?:\\.|(?!""").)*"""|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\')'
@@ -103,14 +103,14 @@ def _doc_text(doc: str | None) -> str | None:
 class _Scanner:
     def __init__(self, source: str):
         self.t = _Tokens(source)
-        self.out = Extract("")
+        self.out = Found("")
 
-    def run(self) -> Extract:
+    def run(self) -> Found:
         t, i, n = self.t, 0, len(self.t.text)
         while i < n:
             if t.text[i] == "package" and t.kind[i] == "word":
                 end = self._find(";", i, n)
-                self.out.module = "".join(t.text[i + 1 : end])
+                self.out["module"] = "".join(t.text[i + 1 : end])
                 i = end + 1
             elif t.text[i] == "import" and t.kind[i] == "word":
                 end = self._find(";", i, n)
@@ -120,8 +120,8 @@ class _Scanner:
                 i = self._peek_package(i, n)
             else:
                 i = self._member(i, n, None, None)
-        self.out.has_errors = t.broken
-        return self.out
+        self.out["has_errors"] = t.broken
+        return self.out.closed()
 
     def _peek_package(self, i: int, n: int) -> int:
         j = self._annotations(i, n)[0]
@@ -139,7 +139,7 @@ class _Scanner:
         path = "".join(words[static:])
         module, _, name = path.rpartition(".")
         if path:
-            self.out.imports.append(Import(module, self.t.line(i), name, None, static))
+            self.out.put("imports", module=module, name=name, is_static=static, line=self.t.line(i))
 
     def _annotations(self, i: int, end: int) -> tuple[int, list[str]]:
         names, t = [], self.t
@@ -185,9 +185,11 @@ class _Scanner:
             return i + 1
         return self._callable_or_field(i, end, scope, owner, head)
 
-    def _qualified(self, scope: int | None, name: str) -> str:
-        above = self.out.symbols[scope].qualified_name if scope is not None else self.out.module
-        return f"{above}.{name}" if above else name
+    def _lines(self, first: int, last: int) -> tuple[int, int]:
+        return self.t.line(first), self.t.line(min(last, len(self.t.at) - 1))
+
+    def _place(self, i: int) -> tuple[int, int]:
+        return self.t.line(i), self.t.col(i)
 
     def _signature(self, mods: list[str], i: int, end: int) -> str:
         return " ".join([*mods, self.t.span(i, end)])
@@ -221,8 +223,7 @@ class _Scanner:
             else:
                 j += 1
         close = min(t.partner.get(body, end), end)
-        s = Symbol(scope, kind, name, self._qualified(scope, name), self._signature(mods, i - (kind == "annotation"), body), t.line(start), t.line(min(close, len(t.at) - 1)), decorators=names, bases=bases, doc=_doc_text(doc))
-        own = self.out.add(s)
+        own = self.out.symbol(scope, kind, name, self._signature(mods, i - (kind == "annotation"), body), self._lines(start, close), decorators=names, bases=bases, doc=_doc_text(doc))
         arity = None
         if components:
             arity = self._parameters(*components)
@@ -233,16 +234,16 @@ class _Scanner:
             k = self._constants(k, close, own)
         while k < close:
             k = max(self._member(k, close, own, own), k + 1)
-        for x in self.out.symbols:
-            if arity is not None and x.parent_ordinal == own and x.kind == "constructor" and x.param_count == -1:
-                x.param_count, x.is_varargs = arity
+        for x in self.out["symbols"][own:]:
+            if arity is not None and x["parent_ordinal"] == own and x["kind"] == "constructor" and x["param_count"] == -1:
+                x["param_count"], x["is_varargs"] = arity
         return close + 1
 
     def _component(self, a: int, b: int, own: int) -> None:
         a, names = self._annotations(a, b)
         if a < b:
             name = self.t.text[b - 1]
-            self.out.add(Symbol(own, "field", name, self._qualified(own, name), self.t.span(a, b), self.t.line(a), self.t.line(b - 1), decorators=names))
+            self.out.symbol(own, "field", name, self.t.span(a, b), self._lines(a, b - 1), decorators=names)
 
     def _constants(self, i: int, close: int, own: int) -> int:
         t, out = self.t, self.out
@@ -259,9 +260,9 @@ class _Scanner:
             i = args[1] + 1 if args else i
             body = (i + 1, min(t.partner.get(i, close), close)) if i < close and t.text[i] == "{" else None
             last = body[1] if body else i - 1
-            field = out.add(Symbol(own, "field", name, self._qualified(own, name), t.span(at, args[1] + 1 if args else at + 1), t.line(start), t.line(min(last, len(t.at) - 1)), decorators=names, doc=_doc_text(t.docs.get(start))))
+            field = out.symbol(own, "field", name, t.span(at, args[1] + 1 if args else at + 1), self._lines(start, last), decorators=names, doc=_doc_text(t.docs.get(start)))
             if args:
-                out.refs.append(Ref(own, "new", out.symbols[own].name, None, self._count(*args), t.line(at), t.col(at)))
+                out.call(own, "new", out["symbols"][own]["name"], None, self._count(*args), self._place(at))
                 self._code(*args, own, mute=False)
             if body:
                 self._body_members(*body, field, mute=True)
@@ -270,13 +271,23 @@ class _Scanner:
                 i += 1
         return i + 1
 
-    def _split(self, a: int, b: int) -> list[tuple[int, int]]:
-        """The parts of a list between commas."""
+    def _types_at(self, i: int, b: int) -> bool:
+        """Whether `<` at i of an argument list opens type arguments: `.<`, `X<..>::`, or a name after new or instanceof; else it compares."""
+        t, after = self.t, self.t.angle(i, b)
+        if after == i:
+            return False
+        name = i - 1
+        while name > 1 and t.text[name - 1] == ".":
+            name -= 2
+        return t.text[i - 1] == "." or t.text[after : after + 1] == ["::"] or t.text[max(name - 1, 0)] in ("new", "instanceof")
+
+    def _split(self, a: int, b: int, declared: bool = True) -> list[tuple[int, int]]:
+        """The parts of a list between commas: of declared parameters, or of arguments."""
         out, start, i, t = [], a, a, self.t
         while i < b:
             if t.text[i] in _OPEN and t.kind[i] == "mark":
                 i = min(t.partner.get(i, b), b)
-            elif t.text[i] == "<" and i > a and t.kind[i - 1] == "word":
+            elif t.text[i] == "<" and i > a and (t.kind[i - 1] == "word" if declared else self._types_at(i, b)):
                 i = max(t.angle(i, b) - 1, i)
             elif t.text[i] == ",":
                 out.append((start, i))
@@ -285,7 +296,7 @@ class _Scanner:
         return out + [(start, b)] if start < b else out
 
     def _count(self, a: int, b: int) -> int:
-        return len(self._split(a, b))
+        return len(self._split(a, b, declared=False))
 
     def _parameters(self, a: int, b: int) -> tuple[int, bool]:
         parts = [p for p in self._split(a, b) if self.t.text[p[1] - 1] != "this"]
@@ -313,7 +324,7 @@ class _Scanner:
                 return t.partner.get(j, j) + 1
             return j + 1
         name, mark = t.text[j - 1], t.text[j]
-        class_name = self.out.symbols[owner].name if owner >= 0 else None
+        class_name = self.out["symbols"][owner]["name"] if owner >= 0 else None
         compact = mark == "{" and name == class_name and j - 1 == i
         if mark == "(" or compact:
             close = min(t.partner.get(j, end), end) if mark == "(" else j - 1
@@ -325,7 +336,7 @@ class _Scanner:
             if owner >= 0 and not (kind == "constructor" and name != class_name):
                 n, varargs = (-1, False) if compact else self._parameters(j + 1, close)
                 head_end = next((k for k in range(close + 1, body) if t.text[k] == "default"), body)
-                own = self.out.add(Symbol(scope, kind, name, self._qualified(scope, name), self._signature(mods, first, head_end), t.line(start), t.line(min(last, len(t.at) - 1)), n, varargs, names, doc=_doc_text(doc)))
+                own = self.out.symbol(scope, kind, name, self._signature(mods, first, head_end), self._lines(start, last), param_count=n, is_varargs=varargs, decorators=names, doc=_doc_text(doc))
             if block:
                 self._code(*block, own, mute=owner < 0)
             return last + 1
@@ -337,7 +348,7 @@ class _Scanner:
             own = scope
             if owner >= 0:
                 label = t.text[at]
-                own = self.out.add(Symbol(scope, "field", label, self._qualified(scope, label), self._signature(mods, first, declared[0][0]) + " " + label, t.line(start), t.line(min(stop, len(t.at) - 1)), decorators=names, doc=_doc_text(doc)))
+                own = self.out.symbol(scope, "field", label, self._signature(mods, first, declared[0][0]) + " " + label, self._lines(start, stop), decorators=names, doc=_doc_text(doc))
             if a < b:
                 self._code(a, b, own, mute=owner < 0)
         return stop + 1
@@ -395,9 +406,9 @@ class _Scanner:
                     base = re.sub(r"<.*>|\[\]|\s", "", receiver or "")
                     owner, _, name = base.rpartition(".")
                     if name:
-                        self.out.refs.append(Ref(scope, "new", name, owner or None, None, t.line(j), t.col(j)))
+                        self.out.call(scope, "new", name, owner or None, None, self._place(j))
                 elif t.kind[j] == "word":
-                    self.out.refs.append(Ref(scope, "method_ref", t.text[j], receiver, None, t.line(j), t.col(j)))
+                    self.out.call(scope, "method_ref", t.text[j], receiver, None, self._place(j))
                 i = j
             i += 1
 
@@ -410,7 +421,7 @@ class _Scanner:
     def _ref(self, scope, kind: str, at: int, receiver: str | None, bracket: int) -> None:
         t = self.t
         close = min(t.partner.get(bracket, bracket + 1), len(t.text))
-        self.out.refs.append(Ref(scope, kind, t.text[at], receiver, self._count(bracket + 1, close), t.line(at), t.col(at)))
+        self.out.call(scope, kind, t.text[at], receiver, self._count(bracket + 1, close), self._place(at))
 
     def _creation(self, i: int, b: int, scope, mute: bool) -> int:
         """`new a.b.C<T>(...) { ... }` from the word new; where scanning goes on."""
@@ -467,5 +478,5 @@ class _Scanner:
         return text or None
 
 
-def extract_java(source: bytes) -> Extract:
+def extract_java(source: bytes) -> Found:
     return _Scanner(source.decode("utf-8", errors="replace").removeprefix("﻿")).run()

@@ -1,7 +1,9 @@
 """Symbols, imports and call sites of Python source.
 
-The standard library's parser reads whole files. It gives nothing for a file with a syntax error; such
-a file is flagged and scanned line by line instead, for definitions, imports and calls.
+The standard library's parser reads whole files. It gives nothing for a file with a syntax error; in such a
+file, which is flagged, the line at fault is mended (a definition keeps its name, any other statement
+becomes a pass) until the rest can be read, and the calls of mended lines are found by a pattern. A file
+with more than MENDS such lines is scanned line by line, for definitions, imports and calls.
 """
 
 from __future__ import annotations
@@ -10,12 +12,13 @@ import ast
 import inspect
 import re
 
-from .model import Extract, Import, Ref, Symbol
+from .model import Found
 
 _DEF = re.compile(r"^(\s*)(?:async\s+)?(def|class)\s+(\w+)\s*(\(.*)?")
 _IMPORT = re.compile(r"^\s*import\s+(.+)$")
 _FROM = re.compile(r"^\s*from\s+(\.*[\w.]*)\s+import\s+\(?(.+?)\)?\s*$")
 _CALL = re.compile(r"(?:([\w.]+)\s*\.\s*)?\b(\w+)\s*\(")
+MENDS = 40
 _KEYWORDS = frozenset("if elif while for return not and or in is lambda with assert del yield await print except def class import from raise".split())
 
 
@@ -25,6 +28,8 @@ def module_of(path: str, packages: set[str]) -> tuple[str, bool]:
     is_package = parts[-1] == "__init__"
     names = [] if is_package else [parts[-1]]
     folders = parts[:-1]
+    if is_package and not folders:
+        return "__init__", True
     while folders and "/".join(folders) in packages:
         names.insert(0, folders.pop())
     return ".".join(names), is_package
@@ -59,9 +64,9 @@ def resolve_relative(dotted: str, module: str, is_package: bool) -> str:
     return ".".join([*base[: len(base) - up], *([dotted[level:]] if dotted[level:] else [])])
 
 
-def _header(lines: list[str], start: int, col: int) -> str:
-    """The text of a definition from its first word to the colon outside brackets, strings and comments."""
-    text = "\n".join([lines[start - 1].encode()[col:].decode(errors="replace"), *lines[start : start + 60]])
+def _header(lines: list[str], start: int, col: int, last: int) -> str:
+    """The text of a definition from its first word to the colon outside brackets, strings and comments; line last has it at the latest."""
+    text = "\n".join([lines[start - 1].encode()[col:].decode(errors="replace"), *lines[start:last]])
     depth, i, quote = 0, 0, ""
     while i < len(text):
         c = text[i]
@@ -97,14 +102,14 @@ class _Walker:
             if b == 10:
                 starts.append(i + 1)
         self.starts = starts
-        self.out = Extract(module)
+        self.out = Found(module)
         self.is_package = is_package
 
     def text(self, node: ast.expr) -> str:
         a, b = self.starts[node.lineno - 1] + node.col_offset, self.starts[node.end_lineno - 1] + node.end_col_offset
         return self.raw[a:b].decode(errors="replace")
 
-    def walk(self, tree: ast.Module) -> Extract:
+    def walk(self, tree: ast.Module) -> Found:
         stack = [(node, None, False) for node in reversed(tree.body)]
         while stack:
             node, scope, typing = stack.pop()
@@ -128,10 +133,6 @@ class _Walker:
             stack.extend(reversed(more))
         return self.out
 
-    def _qualified(self, scope: int | None, name: str) -> str:
-        above = self.out.symbols[scope].qualified_name if scope is not None else self.out.module
-        return f"{above}.{name}" if above else name
-
     def _doc(self, node) -> str | None:
         doc = ast.get_docstring(node, clean=False)
         return inspect.cleandoc(doc) if doc else None
@@ -139,41 +140,96 @@ class _Walker:
     def _add(self, node, scope, kind, **more) -> int:
         first = min([node.lineno, *[d.lineno for d in node.decorator_list]])
         names = [self.text(d) for d in node.decorator_list]
-        signature = _header(self.lines, node.lineno, node.col_offset)
-        return self.out.add(Symbol(scope, kind, node.name, self._qualified(scope, node.name), signature, first, node.end_lineno, decorators=names, doc=self._doc(node), **more))
+        signature = _header(self.lines, node.lineno, node.col_offset, node.body[0].lineno)
+        return self.out.symbol(scope, kind, node.name, signature, (first, node.end_lineno), decorators=names, doc=self._doc(node), **more)
 
     def _function(self, node, scope) -> int:
         a = node.args
         n = len(a.posonlyargs) + len(a.args) + len(a.kwonlyargs) + bool(a.vararg) + bool(a.kwarg)
-        method = scope is not None and self.out.symbols[scope].kind == "class"
+        method = scope is not None and self.out["symbols"][scope]["kind"] == "class"
         return self._add(node, scope, "method" if method else "function", param_count=n, is_varargs=bool(a.vararg or a.kwarg))
 
     def _class(self, node, scope) -> int:
         return self._add(node, scope, "class", bases=[self.text(b) for b in node.bases])
 
     def _import(self, node, typing: bool) -> None:
-        if isinstance(node, ast.Import):
-            self.out.imports += [Import(a.name, node.lineno, None, a.asname, False, typing) for a in node.names]
-        else:
-            module = resolve_relative("." * node.level + (node.module or ""), self.out.module, self.is_package)
-            self.out.imports += [Import(module, node.lineno, a.name, a.asname, False, typing) for a in node.names]
+        whole = isinstance(node, ast.Import)
+        source = None if whole else resolve_relative("." * node.level + (node.module or ""), self.out["module"], self.is_package)
+        for a in node.names:
+            self.out.put("imports", module=a.name if whole else source, name=None if whole else a.name, alias=a.asname, is_type_only=typing, line=node.lineno)
 
     def _call(self, node: ast.Call, scope: int | None) -> None:
         f = node.func
         splat = any(isinstance(a, ast.Starred) for a in node.args) or any(k.arg is None for k in node.keywords)
         n = None if splat else len(node.args) + len(node.keywords)
         if isinstance(f, ast.Name):
-            self.out.refs.append(Ref(scope, "call", f.id, None, n, f.lineno, f.col_offset + 1))
+            self.out.call(scope, "call", f.id, None, n, (f.lineno, f.col_offset + 1))
         elif isinstance(f, ast.Attribute):
-            self.out.refs.append(Ref(scope, "call", f.attr, self.text(f.value), n, f.end_lineno, f.end_col_offset - len(f.attr.encode()) + 1))
+            self.out.call(scope, "call", f.attr, self.text(f.value), n, (f.end_lineno, f.end_col_offset - len(f.attr.encode()) + 1))
 
 
 def _type_checking(test: ast.expr) -> bool:
     return (isinstance(test, ast.Name) and test.id == "TYPE_CHECKING") or (isinstance(test, ast.Attribute) and test.attr == "TYPE_CHECKING")
 
 
-def _scan(source: str, module: str, is_package: bool) -> Extract:
-    out = Extract(module, has_errors=True)
+def _mended(source: str) -> tuple[ast.Module, str, dict[int, str]] | None:
+    """(tree, source with mended lines, what stood in them) of a source with syntax errors; None if it has too many."""
+    lines, was = source.split("\n"), {}
+    for _ in range(MENDS):
+        try:
+            return ast.parse("\n".join(lines)), "\n".join(lines), was
+        except SyntaxError as e:
+            at = min(max(e.lineno or 1, 1), len(lines))
+            while at > 1 and (not lines[at - 1].strip() or at in was):  # an error at the end of a block is that of a line before
+                at -= 1
+            line = lines[at - 1]
+            m = _DEF.match(line)
+            if at in was and not (m and line.rstrip().endswith(": pass")):
+                if m is None or line.strip() == "pass":
+                    return None
+            indent = line[: len(line) - len(line.lstrip())]
+            was.setdefault(at, line)
+            if m:
+                head = f"{indent}{m[2]} {m[3]}" + ("():" if m[2] == "def" else ":")
+                lines[at - 1] = head if line != head else f"{head} pass"
+            else:
+                lines[at - 1] = f"{indent}if 1:" if line.rstrip().endswith(":") and line != f"{indent}if 1:" else f"{indent}pass"
+        except (ValueError, RecursionError, MemoryError):
+            return None
+    return None
+
+
+def _read_mended(source: str, module: str, is_package: bool) -> Found | None:
+    got = _mended(source)
+    if got is None:
+        return None
+    tree, mended, was = got
+    out = _Walker(mended, module, is_package).walk(tree)
+    out["has_errors"] = True
+    for s in out["symbols"]:
+        for at in range(s["start_line"], s["end_line"] + 1):
+            m = _DEF.match(was.get(at, ""))
+            if m and m[3] == s["name"]:
+                s["signature"], inner = was[at].strip().rstrip(":"), [p.strip() for p in (m[4] or "").strip("(): ").split(",") if p.strip()]
+                if s["kind"] != "class":
+                    s["param_count"], s["is_varargs"] = len(inner), any(p.startswith("*") for p in inner)
+                break
+    for at, line in was.items():
+        scope = max((s for s in out["symbols"] if s["start_line"] <= at <= s["end_line"]), key=lambda s: s["start_line"], default=None)
+        if not _DEF.match(line):
+            _calls(out, line.split("#", 1)[0], at, scope["ordinal"] if scope else None)
+    return out
+
+
+def _calls(out: Found, code: str, no: int, scope: int | None) -> None:
+    for m in _CALL.finditer(code):
+        if m[2] not in _KEYWORDS:
+            out.call(scope, "call", m[2], m[1], None, (no, len(code[: m.start(2)].encode()) + 1))
+
+
+def _scan(source: str, module: str, is_package: bool) -> Found:
+    out = Found(module)
+    out["has_errors"] = True
     open_: list[tuple[int, int]] = []
     lines = source.split("\n")
     for no, line in enumerate(lines, 1):
@@ -184,40 +240,34 @@ def _scan(source: str, module: str, is_package: bool) -> Extract:
         while open_ and indent <= open_[-1][0]:
             open_.pop()
         for _, i in open_:
-            out.symbols[i].end_line = no
+            out["symbols"][i]["end_line"] = no
         scope = open_[-1][1] if open_ else None
         if m := _DEF.match(code):
-            above = out.symbols[scope].qualified_name if scope is not None else module
-            kind = "class" if m[2] == "class" else "method" if scope is not None and out.symbols[scope].kind == "class" else "function"
+            kind = "class" if m[2] == "class" else "method" if scope is not None and out["symbols"][scope]["kind"] == "class" else "function"
             inner = (m[4] or "").strip("(): ")
             names = [p.strip() for p in inner.split(",") if p.strip()]
-            s = Symbol(scope, kind, m[3], f"{above}.{m[3]}" if above else m[3], code.strip().rstrip(":"), no, no)
-            if kind == "class":
-                s.bases = [p for p in names if "=" not in p]
-            else:
-                s.param_count, s.is_varargs = len(names), any(p.startswith("*") for p in names)
-            open_.append((indent, out.add(s)))
+            more = {"bases": [p for p in names if "=" not in p]} if kind == "class" else {"param_count": len(names), "is_varargs": any(p.startswith("*") for p in names)}
+            open_.append((indent, out.symbol(scope, kind, m[3], code.strip().rstrip(":"), (no, no), **more)))
         elif m := _FROM.match(code):
             target = resolve_relative(m[1], module, is_package)
             for part in m[2].split(","):
                 name, _, alias = part.strip().partition(" as ")
                 if name:
-                    out.imports.append(Import(target, no, name.strip(), alias.strip() or None))
+                    out.put("imports", module=target, name=name.strip(), alias=alias.strip() or None, line=no)
         elif m := _IMPORT.match(code):
             for part in m[1].split(","):
                 name, _, alias = part.strip().partition(" as ")
-                out.imports.append(Import(name.strip(), no, None, alias.strip() or None))
+                out.put("imports", module=name.strip(), alias=alias.strip() or None, line=no)
         else:
-            for m in _CALL.finditer(code):
-                if m[2] not in _KEYWORDS:
-                    out.refs.append(Ref(scope, "call", m[2], m[1], None, no, len(code[: m.start(2)].encode()) + 1))
+            _calls(out, code, no, scope)
     return out
 
 
-def extract_python(source: bytes, module: str, is_package: bool) -> Extract:
-    text = source.decode("utf-8", errors="replace").removeprefix("﻿")
+def extract_python(source: bytes, module: str, is_package: bool) -> Found:
+    text = source.decode("utf-8", errors="replace").removeprefix("\ufeff")
     try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return _scan(text, module, is_package)
-    return _Walker(text, module, is_package).walk(tree)
+        return _Walker(text, module, is_package).walk(ast.parse(text)).closed()
+    except SyntaxError:
+        return (_read_mended(text, module, is_package) or _scan(text, module, is_package)).closed()
+    except (ValueError, RecursionError, MemoryError):
+        return _scan(text, module, is_package).closed()

@@ -1,66 +1,66 @@
-"""Answers from an index that is being refreshed: one refresh at a time, and a bounded wait for it."""
+"""Answers while an index is being refreshed, told apart by the version that is published.
+
+A refresh is a task of a pool with one worker: whoever asks while one is under way waits for that one. What
+can be answered follows from the published version alone, so a process that has just started knows as much
+as one that runs for days.
+"""
 
 from __future__ import annotations
 
 import threading
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
-
-#: Seconds to wait where an older index can answer, and where there is none yet.
-READY_WAIT_S, COLD_WAIT_S = 1.5, 5.0
-
-
-@dataclass
-class _Run:
-    began: float
-    done: threading.Event = field(default_factory=threading.Event)
-    error: str | None = None
-
-
-@dataclass(frozen=True)
-class State:
-    """Whether questions can be answered now, and what to say about the index (None: it is fresh)."""
-
-    ready: bool
-    note: str | None
-
-
-class Refresher:
-    """Runs refresh() in the background; ready() tells whether a complete index exists."""
-
-    def __init__(self, refresh: Callable[[], object], ready: Callable[[], bool], ready_wait: float = READY_WAIT_S, cold_wait: float = COLD_WAIT_S):
-        self._refresh, self._is_ready, self._waits = refresh, ready, (cold_wait, ready_wait)
-        self._lock = threading.Lock()
-        self._run: _Run | None = None
-        self._last_ok: float | None = None
-
-    def start(self) -> _Run:
-        """The refresh under way, or a new one."""
-        with self._lock:
-            if self._run is None:
-                self._run = _Run(time.monotonic())
-                threading.Thread(target=self._work, args=(self._run,), daemon=True).start()
-            return self._run
-
-    def _work(self, run: _Run) -> None:
-        try:
-            self._refresh()
-        except Exception as e:  # the one who asks is told
-            run.error = " ".join(f"{type(e).__name__}: {e}".split())[:120]
-        with self._lock:
-            if run.error is None:
-                self._last_ok = time.monotonic()
-            self._run = None
-        run.done.set()
-
-    def ensure(self) -> State:
-        run = self.start()
-        finished = run.done.wait(self._waits[self._is_ready()])
-        ready, since = self._is_ready(), time.monotonic() - run.began
-        if not finished:
-            return State(ready, f"[index: refresh runs for {since:.0f} s; later edits may be missing]" if ready else f"[index: being built for {since:.0f} s; ask again]")
-        if run.error is None:
-            return State(True, None)
-        old = "an earlier session" if self._last_ok is None else f"{time.monotonic() - self._last_ok:.0f} s ago"
-        return State(ready, f"[index: refresh failed: {run.error}" + (f"; this one is of {old}]" if ready else "]"))
+from concurrent.futures import Future, ThreadPoolExecutor, wait
+from typing import NamedTuple
+
+#: Seconds to wait for a refresh where an older version can answer, and where there is none yet.
+PATIENCE, FIRST_PATIENCE = 1.5, 5.0
+
+
+class Published(NamedTuple):
+    """A complete version of the index, and the time (seconds since 1970) of what it shows."""
+
+    version: str
+    at: float
+
+
+class Seen(NamedTuple):
+    """What a question can be answered from (None: nothing yet), and a remark if it may be out of date."""
+
+    index: Published | None
+    remark: str
+
+
+class Freshness:
+    """refresh() publishes a new version; published() tells the current one, or None."""
+
+    def __init__(self, refresh: Callable[[], object], published: Callable[[], Published | None], patience: float = PATIENCE, first_patience: float = FIRST_PATIENCE):
+        self._refresh, self._published = refresh, published
+        self.patience, self.first_patience = patience, first_patience
+        self._pool = ThreadPoolExecutor(1, thread_name_prefix="refresh")
+        self._guard = threading.Lock()
+        self._task: Future | None = None
+
+    def asked(self) -> Future:
+        """The refresh that is under way, or else a new one."""
+        with self._guard:
+            if self._task is None or self._task.done():
+                self._task = self._pool.submit(self._refresh)
+            return self._task
+
+    def look(self) -> Seen:
+        """Ask for a refresh, wait for it as long as patience lasts, and say what there is then."""
+        task = self.asked()
+        wait([task], self.first_patience if self._published() is None else self.patience)
+        index = self._published()
+        if not task.done():
+            return Seen(index, "the first version of the index is not complete yet" if index is None else f"a refresh is under way; this is the state of {_age(index)}")
+        fault = task.exception()
+        if fault is None:
+            return Seen(index, "")
+        why = f"the index could not be refreshed ({type(fault).__name__}: {fault})"
+        return Seen(index, why if index is None else f"{why}; this is the state of {_age(index)}")
+
+
+def _age(index: Published) -> str:
+    return f"{max(0, time.time() - index.at):.0f} s ago"

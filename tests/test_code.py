@@ -74,27 +74,59 @@ def code(spark, tmp_path_factory):
 
 def test_python_extract():
     got = extract_python(FILES["inv/models.py"].encode(), "inv.models", False)
-    kinds = {s.qualified_name: (s.kind, s.param_count, s.is_varargs) for s in got.symbols}
+    kinds = {s["qualified_name"]: (s["kind"], s["param_count"], s["is_varargs"]) for s in got["symbols"]}
     assert kinds["inv.models.Base.save"] == ("method", 3, True)
     assert kinds["inv.models.Item.touch.inner"] == ("function", 0, False)
-    parse = next(s for s in got.symbols if s.name == "parse")
-    assert (parse.start_line, parse.decorators, parse.signature) == (9, ["staticmethod"], 'def parse(text: str) -> "Item"')
-    assert [i.is_type_only for i in got.imports] == [False, False, True]
-    assert {(r.name, r.receiver, r.arg_count) for r in got.refs} >= {("norm", "u", 1), ("save", "self", 1), ("make", None, 0), ("parse", "Item", 1)}
+    parse = next(s for s in got["symbols"] if s["name"] == "parse")
+    assert (parse["start_line"], parse["decorators"], parse["signature"]) == (9, ["staticmethod"], 'def parse(text: str) -> "Item"')
+    assert [i["is_type_only"] for i in got["imports"]] == [False, False, True]
+    assert {(r["name"], r["receiver"], r["arg_count"]) for r in got["refs"]} >= {("norm", "u", 1), ("save", "self", 1), ("make", None, 0), ("parse", "Item", 1)}
 
 
 def test_broken_python_is_flagged_and_scanned():
     got = extract_python(FILES["inv/bad.py"].encode(), "inv.bad", False)
-    assert got.has_errors and [s.name for s in got.symbols] == ["broken"] and [r.name for r in got.refs] == ["foo"]
+    assert got["has_errors"] and [s["name"] for s in got["symbols"]] == ["broken"] and [r["name"] for r in got["refs"]] == ["foo"]
+
+
+def test_one_syntax_error_leaves_the_rest_whole():
+    source = '''import os
+class A(Base):
+    """Doc."""
+    @deco
+    def f(self, a,
+          b=1):
+        """Of f."""
+        return g(a, b)
+    def bad(self, x:
+        return h(x)
+    def after(self):
+        x = = broken(1)
+        return k(1, 2)
+'''
+    got = extract_python(source.encode(), "m", False)
+    by = {s["qualified_name"]: s for s in got["symbols"]}
+    assert got["has_errors"] and set(by) == {"m.A", "m.A.f", "m.A.bad", "m.A.after"}
+    assert by["m.A"]["doc"] == "Doc." and by["m.A.f"]["decorators"] == ["deco"] and (by["m.A.f"]["param_count"], by["m.A.f"]["signature"]) == (3, "def f(self, a, b=1)")
+    assert {(r["name"], r["arg_count"]) for r in got["refs"]} >= {("g", 2), ("h", 1), ("k", 2), ("broken", None)}
+
+
+def test_long_headers_are_kept():
+    source = "def f(" + ",\n".join(f"a{i}" for i in range(100)) + "):\n    return 1\n"
+    assert extract_python(source.encode(), "m", False)["symbols"][0]["signature"].startswith("def f(a0, a1, a2")
+
+
+def test_arguments_that_compare():
+    counts = {r["name"]: r["arg_count"] for r in extract_java(b"class A { void f() { g(a < b, c > d); h(new HashMap<A, B>(), x); k(Map<A, B>::new, 1); l(x.<A, B>of(), 2); m(a < b, c > (d)); } }")["refs"] if r["kind"] == "call"}
+    assert (counts["g"], counts["h"], counts["k"], counts["l"], counts["m"]) == (2, 2, 2, 2, 2)
 
 
 def test_deep_expression():
-    assert len(extract_python(("x = " + " + ".join(["f(1)"] * 300)).encode(), "m", False).refs) == 300
+    assert len(extract_python(("x = " + " + ".join(["f(1)"] * 300)).encode(), "m", False)["refs"]) == 300
 
 
 def test_modules():
     packages = package_dirs(["a/__init__.py", "a/b/c.py", "x/y.py"])
-    assert [module_of(p, packages)[0] for p in ("a/__init__.py", "a/b/c.py", "x/y.py", "z.py")] == ["a", "a.b.c", "y", "z"]
+    assert [module_of(p, packages)[0] for p in ("a/__init__.py", "a/b/c.py", "x/y.py", "z.py", "__init__.py")] == ["a", "a.b.c", "y", "z", "__init__"]
     assert resolve_relative("..m", "a.b.c", False) == "a.m"
     assert resolve_relative(".", "a", True) == "a"
     assert resolve_relative("....m", "a.b", False) == "....m"
@@ -102,14 +134,14 @@ def test_modules():
 
 def test_java_extract():
     got = extract_java(FILES["core/Order.java"].encode())
-    by = {(s.qualified_name, s.kind): s for s in got.symbols}
-    assert by["core.Order", "class"].bases == ["Base"] and by["core.Order", "class"].doc == "An order."
-    assert by["core.Order.Line.Line", "constructor"].param_count == 2
-    assert (by["core.Order.add", "method"].param_count, by["core.Order.add", "method"].is_varargs) == (2, True)
-    assert ("core.Order.Kind.BIG", "field") in by and not any(s.name == "run" for s in got.symbols)
-    refs = {(r.kind, r.name, r.receiver, r.arg_count) for r in got.refs}
+    by = {(s["qualified_name"], s["kind"]): s for s in got["symbols"]}
+    assert by["core.Order", "class"]["bases"] == ["Base"] and by["core.Order", "class"]["doc"] == "An order."
+    assert by["core.Order.Line.Line", "constructor"]["param_count"] == 2
+    assert (by["core.Order.add", "method"]["param_count"], by["core.Order.add", "method"]["is_varargs"]) == (2, True)
+    assert ("core.Order.Kind.BIG", "field") in by and not any(s["name"] == "run" for s in got["symbols"])
+    refs = {(r["kind"], r["name"], r["receiver"], r["arg_count"]) for r in got["refs"]}
     assert {("constructor_call", "this", None, 1), ("method_ref", "price", "Item", None), ("new", "Kind", None, 1), ("call", "copy", "new Order(1)", 0), ("call", "of", None, 1)} <= refs
-    assert not got.has_errors and extract_java(b"class A { void f( { }").has_errors
+    assert not got["has_errors"] and extract_java(b"class A { void f( { }")["has_errors"]
 
 
 def test_resolution(code):
@@ -145,6 +177,10 @@ def test_answers(code):
     assert code.module_dependencies("nothing").startswith("no module")
     assert "1 with parse errors" in code.repo_summary()
     assert "Order.java: " in code.file_outline("core/Order.java")
+    assert code.file_outline(f"{code.root}/core/Order.java").startswith("core/Order.java: ")
+    assert "left out" not in code.file_outline("core/Order.java", 500) and "500 is not within 1 to 200" in code.file_outline("core/Order.java", 500)
+    assert " field" in code.file_outline("core/Order.java", 3).splitlines()[-1]
+    assert "0 in tests" in code.find_references("inv.models.make") and "1 in tests" in code.find_references("inv.util.norm")
     assert "did you mean" in code.get_symbol("inv.Itm.pars") or "no symbol" in code.get_symbol("inv.Itm.pars")
 
 
@@ -174,6 +210,7 @@ def test_history_impact_and_refresh(code):
     assert {bytes(r["content"]).decode() for r in vcs.blobs(tree, str(root)).collect()} == set(FILES.values())
     with pytest.raises(ValueError):
         vcs.commit_of(str(root), "--output=x")
+    assert {r[6] for r in vcs.log_rows(str(root / "inv"), "2026-01-01")} == {"__init__.py", "models.py", "util.py", "store.py", "shop.py", "bad.py"}  # below the root only
     impact = code.diff_impact("HEAD~1", "HEAD")
     assert "[removed] inv.store.Store: " in impact and "[signature] inv.util.norm: " in impact
     (root / "core/Base.java").write_bytes(FILES["core/Base.java"].replace("\n", "\r\n").encode())  # other line ends only
@@ -213,5 +250,5 @@ def test_cycles_of_a_module_and_bounded_word_hits(small):
     assert "\ncycle: p.b -> p.c -> p.b\n" in small.module_dependencies("p.*") + "\n"
     assert "\ncycles: none\n" in small.module_dependencies("p.a") + "\n"
     found = small.search_symbols("thing")
-    assert found.startswith("200+ symbols match thing\n") and "of 200+ shown" in found and "shows all" not in found
+    assert found.startswith("200+ symbols match thing\n") and "of 200+ not listed" in found and "lists them all" not in found
     assert small.search_symbols("Gone").startswith("1 symbols match Gone\n")

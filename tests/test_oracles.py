@@ -13,7 +13,7 @@ DATA = "/root/testdata/sf0.001"
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     def plain(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+        if pd.api.types.is_scalar(x) and pd.isna(x):
             return None
         if isinstance(x, float) or "float" in type(x).__name__:
             return repr(round(float(x), 6)) if float(x) != int(x) else str(int(x))

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from codelattice.plans import catalog
+from codelattice.plans import catalog, code_relations
 
 DATA = "/root/testdata/sf0.001"
 
@@ -31,9 +31,12 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+QUERIES, ORACLES = catalog.QUERIES | code_relations.QUERIES, catalog.ORACLES | code_relations.ORACLES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows_as_sql(spark, duck, name):
-    got, want = catalog.QUERIES[name](spark, DATA).toPandas(), duck.execute(catalog.ORACLES[name]).df()
+    got, want = QUERIES[name](spark, DATA).toPandas(), duck.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 

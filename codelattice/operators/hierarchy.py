@@ -27,17 +27,29 @@ def ancestors(nodes: DataFrame, key: list[str], parent: str, child: str) -> Data
         deepest *= 2
 
 
+#: Lines of a bin: an interval is copied into the bins that it reaches, a point lies in one.
+BIN = 128
+
+
+def holding(points: DataFrame, intervals: DataFrame, key: list[str], at: str, start: str, end: str) -> DataFrame:
+    """points joined to the intervals of their key that hold them, by equality on key and bin; the range is a residue."""
+    whole = intervals.where(F.col(start) <= F.col(end))
+    bins = whole.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / BIN), F.floor(F.col(end) / BIN))))
+    hits = points.withColumn("__bin", F.floor(F.col(at) / BIN)).join(bins, [*key, "__bin"])
+    return hits.where((F.col(start) <= F.col(at)) & (F.col(at) <= F.col(end))).drop("__bin")
+
+
 def innermost(points: DataFrame, intervals: DataFrame, key: list[str], at: str, start: str, end: str, order: list[Column], pick: str) -> DataFrame:
     """Each point with the interval of its key that holds it, starts last and is the shortest; null without one."""
-    inside = points.join(intervals, key, "left").withColumn("__in", (F.col(start) <= F.col(at)) & (F.col(at) <= F.col(end)))
-    best = F.max_by(F.when(F.col("__in"), F.col(pick)), F.when(F.col("__in"), F.struct(F.col(start), *order)))
-    return inside.groupBy(*points.columns).agg(best.alias(pick))
+    hits = holding(points, intervals, key, at, start, end).select(*points.columns, F.col(pick), F.struct(F.col(start), *order).alias("__o"))
+    every = hits.unionByName(points, allowMissingColumns=True)  # so that points in no interval stay
+    return every.groupBy(*points.columns).agg(F.max_by(pick, "__o").alias(pick))
 
 
 def inside_any(points: DataFrame, intervals: DataFrame, key: list[str], at: str, start: str, end: str) -> DataFrame:
     """Points with `inside`: whether start < at <= end for any interval of the key."""
-    hit = points.join(intervals, key, "left").withColumn("__in", (F.col(start) < F.col(at)) & (F.col(at) <= F.col(end)))
-    return hit.groupBy(*points.columns).agg(F.coalesce(F.max("__in"), F.lit(False)).alias("inside"))
+    hits = holding(points, intervals, key, at, start, end).where(F.col(start) < F.col(at)).select(*points.columns).withColumn("inside", F.lit(True))
+    return hits.unionByName(points, allowMissingColumns=True).groupBy(*points.columns).agg(F.coalesce(F.max("inside"), F.lit(False)).alias("inside"))
 
 
 def outermost_callables(symbols: DataFrame, closure: DataFrame) -> DataFrame:

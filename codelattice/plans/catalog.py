@@ -2,9 +2,7 @@
 
 The tables hold no source code, so each operator runs on the closest relation: documents stand for files
 (path = source/lang/doc_id), events for commits and call sites, lineitem for references,
-parts and suppliers for candidates, nations for modules. Each query covers its whole tables, but for
-common_prefix (documents with doc_id % 40 < 25 only) and strong_components and shortest_loop (the two
-heaviest edges of each node); the operators themselves have no such cut.
+parts and suppliers for candidates, nations for modules. Each query covers its whole tables.
 """
 
 from __future__ import annotations
@@ -13,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.lineage import shared_folder
 from ..operators import graph, hierarchy, history, ranking, search, versions
 
 QUERIES: dict = {}
@@ -33,14 +32,6 @@ def _query(sql: str | None = None):
     return add
 
 
-def _shared(spark: SparkSession) -> None:
-    """A folder for checkpoints where the session names none (as in tests)."""
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-
-
 def _path():
     return F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
 
@@ -243,7 +234,8 @@ def dropped_topfiles(spark, d):
 _TRADE = """trade AS (SELECT c.c_nationkey AS src, s.s_nationkey AS dst, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag = 'R' AS deferred
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer c ON o_custkey = c_custkey JOIN supplier s ON l_suppkey = s_suppkey)"""
 _EDGES = f"WITH RECURSIVE {_TRADE}, edges AS (SELECT src, dst, count(*) AS n FROM trade WHERE src <> dst GROUP BY ALL)"
-_HEAVY = f"{_EDGES}, heavy AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS p FROM edges) WHERE p <= 2)"
+_LINKS = """WITH RECURSIVE links AS (SELECT DISTINCT src, dst FROM (SELECT c_nationkey AS src, (c_nationkey * c_nationkey + 3) % 25 AS dst FROM customer
+  UNION ALL SELECT s_nationkey, (s_nationkey * 3 + 1) % 25 FROM supplier) WHERE src <> dst)"""
 
 
 def _trade(spark, d):
@@ -254,8 +246,9 @@ def _trade(spark, d):
     return rows.select("src", "dst", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_returnflag") == "R").alias("deferred"))
 
 
-def _heavy(spark, d):
-    return ranking.top_per_group(graph.edge_weights(_trade(spark, d)), ["src"], [F.desc("n"), "dst"], 2).select("src", "dst")
+def _links(spark, d):
+    one = _read(spark, d, "customer").selectExpr("c_nationkey as src", "(c_nationkey * c_nationkey + 3) % 25 as dst")
+    return one.union(_read(spark, d, "supplier").selectExpr("s_nationkey", "(s_nationkey * 3 + 1) % 25")).where("src <> dst").distinct()
 
 
 @_query(f"{_EDGES} SELECT src, dst, n FROM edges")
@@ -293,24 +286,24 @@ def group_in_out(spark, d):
     return graph.group_degrees(graph.edge_weights(_trade(spark, d)), members)
 
 
-@_query(f"""{_HEAVY}, reach(a, b) AS (SELECT src, dst FROM heavy UNION SELECT a, dst FROM reach JOIN heavy ON b = src),
+@_query(f"""{_LINKS}, reach(a, b) AS (SELECT src, dst FROM links UNION SELECT a, dst FROM reach JOIN links ON b = src),
 same AS (SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a)
 SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM same QUALIFY count(*) OVER (PARTITION BY component) > 1""")
 def strong_components(spark, d):
-    _shared(spark)
-    return graph.strong_components(_heavy(spark, d))
+    shared_folder(spark)
+    return graph.strong_components(_links(spark, d))
 
 
-@_query(f"""{_HEAVY}, reach(a, b) AS (SELECT src, dst FROM heavy UNION SELECT a, dst FROM reach JOIN heavy ON b = src),
+@_query(f"""{_LINKS}, reach(a, b) AS (SELECT src, dst FROM links UNION SELECT a, dst FROM reach JOIN links ON b = src),
 same AS (SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
 comp AS (SELECT * FROM same QUALIFY count(*) OVER (PARTITION BY component) > 1),
 walk(component, node, path) AS (SELECT DISTINCT component, component, [component] FROM comp
-  UNION ALL SELECT w.component, h.dst, list_append(w.path, h.dst) FROM walk w JOIN heavy h ON w.node = h.src JOIN comp c ON c.node = h.dst AND c.component = w.component
+  UNION ALL SELECT w.component, h.dst, list_append(w.path, h.dst) FROM walk w JOIN links h ON w.node = h.src JOIN comp c ON c.node = h.dst AND c.component = w.component
   WHERE NOT list_contains(list_slice(w.path, 2, len(w.path)), h.dst) AND (len(w.path) = 1 OR w.node <> w.component) AND len(w.path) <= 26)
 SELECT component, array_to_string(arg_min(path, (len(path), path)), ' -> ') AS loop FROM walk WHERE len(path) > 1 AND node = component GROUP BY component""")
 def shortest_loop(spark, d):
-    _shared(spark)
-    edges = _heavy(spark, d).checkpoint()
+    shared_folder(spark)
+    edges = _links(spark, d).checkpoint()
     loops = graph.shortest_loops(edges, graph.strong_components(edges))
     return loops.select("component", F.array_join(F.transform("loop", lambda x: x.cast("string")), " -> ").alias("loop"))
 
@@ -331,7 +324,7 @@ def _tree(spark, d):
 
 
 def _closure(spark, d):
-    _shared(spark)
+    shared_folder(spark)
     return hierarchy.ancestors(_tree(spark, d), ["tree"], "parent", "node").select("node", "ancestor", "depth")
 
 
@@ -370,7 +363,7 @@ _SPANS = _SPANS.replace("CAST(o_totalprice AS BIGINT)", "CAST(floor(o_totalprice
 @_query(f"WITH {_SPANS} SELECT event_id, count(*) AS n FROM pts JOIN spans USING (k) WHERE line BETWEEN a AND b GROUP BY event_id")
 def interval_containment(spark, d):
     points, spans = _spans(spark, d)
-    return points.join(spans, "k").where("line between a and b").groupBy("event_id").agg(F.count("*").alias("n"))
+    return hierarchy.holding(points, spans, ["k"], "line", "a", "b").groupBy("event_id").agg(F.count("*").alias("n"))
 
 
 @_query(f"WITH {_SPANS} SELECT event_id, p.k AS k, line, arg_max(o_orderkey, (a, a - b, -o_orderkey)) FILTER (line BETWEEN a AND b) AS o_orderkey FROM pts p LEFT JOIN spans s ON p.k = s.k GROUP BY ALL")
@@ -387,19 +380,21 @@ def deferred_flag(spark, d):
 
 # --- resolution core -----------------------------------------------------------------------------
 
-_CAND = """cand AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_partkey, CASE WHEN p_partkey = l_partkey THEN 3 WHEN p_size = l_linenumber THEN NULL
+_CAND = """cand AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_partkey, CASE WHEN p_partkey = l_partkey AND l_linenumber % 2 = 1 THEN 3 WHEN p_size = l_linenumber THEN NULL
   WHEN p_brand = 'Brand#' || CAST(l_suppkey % 25 + 1 AS VARCHAR) THEN 2 WHEN p_size > 48 THEN 1 END AS tier
-  FROM lineitem JOIN part ON p_partkey % 100 = l_partkey % 100 AND (p_partkey = l_partkey OR l_linenumber > 3)),
+  FROM lineitem JOIN part ON p_partkey // 8 = l_partkey // 8 AND (p_partkey = l_partkey OR l_linenumber > 3)),
 best AS (SELECT * FROM cand WHERE tier IS NOT NULL QUALIFY tier = max(tier) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey))"""
 _REF = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
-def _best(spark, d):
-    lines = _read(spark, d, "lineitem").select(*_REF).withColumn("name", F.col("l_partkey") % 100)
-    parts = _read(spark, d, "part").select("p_partkey", "p_size", "p_brand").withColumn("name", F.col("p_partkey") % 100)
+def _best(spark, d, of: int | None = None):
+    """The best candidates of each line; with a part, only of lines that may name it: a name is shared by eight parts."""
+    lines = _read(spark, d, "lineitem").select(*_REF).withColumn("name", F.expr("l_partkey div 8"))
+    parts = _read(spark, d, "part").select("p_partkey", "p_size", "p_brand").withColumn("name", F.expr("p_partkey div 8"))
+    lines = lines if of is None else lines.where(F.col("name") == of // 8)
     rows = lines.join(parts, "name").where("p_partkey = l_partkey or l_linenumber > 3")
     same_brand = F.col("p_brand") == F.concat(F.lit("Brand#"), (F.col("l_suppkey") % 25 + 1).cast("string"))
-    tier = F.when(F.col("p_partkey") == F.col("l_partkey"), 3).when(F.col("p_size") == F.col("l_linenumber"), None).when(same_brand, 2).when(F.col("p_size") > 48, 1)
+    tier = F.when((F.col("p_partkey") == F.col("l_partkey")) & (F.col("l_linenumber") % 2 == 1), 3).when(F.col("p_size") == F.col("l_linenumber"), None).when(same_brand, 2).when(F.col("p_size") > 48, 1)
     return ranking.best_tier(rows.withColumn("tier", tier), _REF).select(*_REF, "p_partkey", "tier")
 
 
@@ -410,15 +405,15 @@ def best_tier_resolution(spark, d):
 
 @_query(f"WITH {_CAND} SELECT * FROM best WHERE p_partkey = 17")
 def inverse_references(spark, d):
-    return _best(spark, d).where("p_partkey = 17")
+    return _best(spark, d, 17).where("p_partkey = 17")
 
 
-@_query("SELECT a.p_partkey AS owner, b.p_partkey AS derived FROM part a JOIN (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS base FROM part WHERE p_size > 45) b ON b.base = string_split(a.p_name, ' ')[2] WHERE a.p_size > 45")
+@_query("SELECT a.s_suppkey AS owner, b.s_suppkey AS derived FROM supplier a JOIN supplier b ON a.s_suppkey = b.s_suppkey // 2")
 def base_name_hop(spark, d):
-    parts = _read(spark, d, "part").where("p_size > 45")
-    owners = parts.select(F.col("p_partkey").alias("owner"), F.get(F.split("p_name", " "), F.lit(1)).alias("base"))
-    derived = parts.select(F.col("p_partkey").alias("derived"), F.explode(F.split("p_name", " ")).alias("base"))
-    return owners.join(derived.withColumn("base", X.simple_name(F.concat(F.lit("x."), "base", F.lit("<T>")))), "base").select("owner", "derived")
+    suppliers = _read(spark, d, "supplier")
+    owners = suppliers.select(F.col("s_suppkey").alias("owner"), F.expr("concat('Shop', s_suppkey)").alias("base"))
+    derived = suppliers.select(F.col("s_suppkey").alias("derived"), X.simple_name(F.expr("concat('sold.by.Shop', s_suppkey div 2, '<T>')")).alias("base"))
+    return owners.join(derived, "base").select("owner", "derived")
 
 
 @_query("""SELECT c_custkey, arg_min(qn, prio) AS qn, min(prio) AS prio FROM (
@@ -534,22 +529,22 @@ def topk_per_group(spark, d):
     return ranking.top_per_group(_read(spark, d, "orders"), ["o_custkey"], [F.desc("o_totalprice"), "o_orderkey"], 3).select("o_custkey", "o_orderkey", "o_totalprice", F.col("place").cast("bigint").alias("place"))
 
 
-@_query("SELECT source, doc_id, used FROM (SELECT source, doc_id, CAST(sum(length(substr(text, 1, 40)) + 1) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM documents) WHERE used <= 2000 * 3 - 560 - 100")
+@_query("SELECT g AS \"group\", page_id, used FROM (SELECT page_id % 3 AS g, page_id, CAST(sum(length(url) + 1) OVER (PARTITION BY page_id % 3 ORDER BY length(html) DESC, page_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM pages) WHERE used <= 2000 * 3 - 560 - 100")
 def budgeted_prefix_flat(spark, d):
-    docs = _read(spark, d, "documents").select("source", "doc_id", "n_chars", F.substring("text", 1, 40).alias("title"))
-    return ranking.prefix_within(docs, "title", [F.desc("n_chars"), "doc_id"], ranking.budget(2000, 100), ["source"]).select("source", "doc_id", "used")
+    pages = _read(spark, d, "pages").select((F.col("page_id") % 3).alias("group"), "page_id", F.length("html").alias("n"), "url")
+    return ranking.prefix_within(pages, "url", [F.desc("n"), "page_id"], ranking.budget(2000, 100), ["group"]).select("group", "page_id", "used")
 
 
-@_query("""SELECT lang, doc_id, used FROM (SELECT lang, doc_id, CAST(sum(length(substr(text, 1, 40)) + 3 + CASE WHEN first THEN length(source) + 1 ELSE 0 END) OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used
-FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) = 1 AS first FROM documents)) WHERE used <= 1500 * 3 - 560""")
+@_query("""SELECT g AS "group", page_id, used FROM (SELECT g, page_id, CAST(sum(length(url) + 3 + CASE WHEN first THEN length(host) + 1 - 8 ELSE 0 END) OVER (PARTITION BY g ORDER BY n DESC, page_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used
+FROM (SELECT *, row_number() OVER (PARTITION BY g, host ORDER BY n DESC, page_id) = 1 AS first FROM (SELECT page_id % 3 AS g, page_id, url, length(html) AS n, list_extract(string_split(url, '/'), 1) || '//' || list_extract(string_split(url, '/'), 3) AS host FROM pages))) WHERE used <= 1500 * 3 - 560""")
 def budgeted_prefix_grouped(spark, d):
-    docs = _read(spark, d, "documents").select("lang", "source", "doc_id", "n_chars", F.substring("text", 1, 40).alias("title"))
-    return ranking.grouped_prefix_within(docs, "title", "source", [F.desc("n_chars"), "doc_id"], ranking.budget(1500), ["lang"]).select("lang", "doc_id", "used")
+    pages = _read(spark, d, "pages").select((F.col("page_id") % 3).alias("group"), "page_id", F.length("html").alias("n"), "url", F.concat_ws("//", F.get(F.split("url", "/"), F.lit(0)), F.get(F.split("url", "/"), F.lit(2))).alias("host"))
+    return ranking.grouped_prefix_within(pages, "url", "host", [F.desc("n"), "page_id"], ranking.budget(1500), ["group"], under=8).select("group", "page_id", "used")
 
 
-@_query("SELECT source, CASE WHEN count(DISTINCT lang) = 1 AND count(DISTINCT doc_id) > 1 THEN source || '/' || min(lang) ELSE '' END AS common_dir FROM documents WHERE doc_id % 40 < 25 GROUP BY source")
+@_query("SELECT source, CASE WHEN count(DISTINCT doc_id) < 2 THEN '' WHEN count(DISTINCT lang) = 1 THEN 'corpus/' || source || '/' || min(lang) ELSE 'corpus/' || source END AS common_dir FROM documents GROUP BY source")
 def common_prefix(spark, d):
-    docs = _read(spark, d, "documents").where("doc_id % 40 < 25").select("source", _path().alias("path"))
+    docs = _read(spark, d, "documents").select("source", F.concat(F.lit("corpus/"), _path()).alias("path"))
     return ranking.common_directory(docs, ["source"], "path")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import CHAR_LIMIT, CHAR_SLACK, CLASSES, COMMON_WORDS, LEAST_CHARS, LEAST_WORDS, WORD_LIMIT, WORD_SLACK
+from .quality import CHAR_LIMIT, CHAR_SLACK, CLASSES, COMMON, LEAST_CHARS, LEAST_WORDS, SAMPLE_DOCS, WORD_LIMIT, WORD_SLACK
 
 _BLANK = r"\x20\x09-\x0D"
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -19,16 +19,18 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(y, d
 def _quality() -> str:
     dropped = lambda p: f"length(t) - length(regexp_replace(t, '{p.replace(chr(39), chr(39) * 2)}', '', 'g'))"
     classes = ", ".join(dropped(p) for p in CLASSES.values())
-    words = ", ".join(f"'{w}'" for w in COMMON_WORDS)
     part = lambda p, q: f"CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END"
     return rf"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
 b AS (SELECT doc_id, lang, list_filter(string_split_regex(t, '[{_BLANK}]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{_BLANK}]')) AS l,
   list_filter(string_split_regex(lower(t), '[^\p{{L}}]+'), lambda x: x <> '') AS p, length(t) - ({dropped(f"[{_BLANK}]+")}) AS word_chars, {dropped("[#*$%&|<>]+")} AS n_symbols, [{classes}] AS c FROM d),
+drawn AS (SELECT lang, p FROM b JOIN (SELECT lang, count(*) AS docs FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL GROUP BY lang) USING (lang) JOIN documents USING (doc_id, lang) WHERE documents.text IS NOT NULL AND ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT * docs < {SAMPLE_DOCS} * (1::BIGINT << 32)),
+top AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS place FROM (SELECT lang, unnest(p) AS word FROM drawn) GROUP BY lang, word QUALIFY place <= {COMMON}),
+wl AS (SELECT coalesce(list(word ORDER BY first_at), []) AS cw FROM (SELECT word, min((lang, place)) AS first_at FROM top GROUP BY word)),
 g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda j: w[j] || ' ' || w[j + 1] || ' ' || w[j + 2])) AS s FROM b WHERE len(w) > 2),
 r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
 f AS (SELECT b.doc_id, lang, len(w) AS n_words, word_chars, n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
-  list_append(c, greatest(word_chars - list_sum(c), 0)) AS ch, list_append(list_transform([{words}], lambda x: len(list_filter(p, lambda y: y = x))), len(list_filter(p, lambda y: NOT list_contains([{words}], y)))) AS co FROM b LEFT JOIN cov ON b.doc_id = cov.doc_id),
+  list_append(c, greatest(word_chars - list_sum(c), 0)) AS ch, list_append(list_transform(cw, lambda x: len(list_filter(p, lambda y: y = x))), len(list_filter(p, lambda y: NOT list_contains(cw, y)))) AS co FROM b CROSS JOIN wl LEFT JOIN cov ON b.doc_id = cov.doc_id),
 u AS (SELECT doc_id, lang, 'ch' AS kind, unnest(range(1, len(ch) + 1)) AS i, unnest(ch) AS k, list_sum(ch) AS total FROM f UNION ALL SELECT doc_id, lang, 'co', unnest(range(1, len(co) + 1)), unnest(co), list_sum(co) FROM f),
 ref AS (SELECT lang AS rl, kind, i, sum(k) / sum(sum(k)) OVER (PARTITION BY lang, kind) AS q FROM u WHERE lang IS NOT NULL GROUP BY lang, kind, i),
 js AS (SELECT doc_id, rl, u.kind, any_value(total) AS total, round(sqrt(greatest(0, sum({part('(k / total)', 'q')} + {part('q', '(k / total)')}) / 2)), 6) AS dist FROM u JOIN ref ON u.kind = ref.kind AND u.i = ref.i WHERE total > 0 GROUP BY doc_id, rl, u.kind),

@@ -62,4 +62,21 @@ q AS (SELECT conv_id, k, list_slice(a, 1, k) AS h, list_slice(a, k + 1, len(a))
 SELECT conv_id AS pair_id, CAST(k AS BIGINT) AS n_common, coalesce({_RENDER.format("h")}, '') AS prompt, coalesce({_RENDER.format("a")}, '') AS chosen, coalesce({_RENDER.format("b")}, '') AS rejected,
   coalesce({_mask("a")}, '') AS chosen_mask, coalesce({_mask("b")}, '') AS rejected_mask FROM q"""
 
-ORACLES = {"op6_preference_format": PREFERENCES, "op9_minhash_near_dedup": NEAR_DUPLICATES, "op10_quality_rules": QUALITY}
+_H = "('0x' || substr(sha256('42:' || CAST(doc_id AS VARCHAR)), {}, 8))::BIGINT"
+INFILLING = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+') AS u,
+  {_H.format(1)} AS h1, {_H.format(9)} AS h2, {_H.format(17)} AS h3, {_H.format(25)} AS h4 FROM documents),
+f AS (SELECT *, len(u) AS n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM f),
+p AS (SELECT *, coalesce(array_to_string(list_slice(u, 1, a), ''), '') AS x, coalesce(array_to_string(list_slice(u, a + 1, b), ''), '') AS y, coalesce(array_to_string(list_slice(u, b + 1, n), ''), '') AS z FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(x) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(y) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+NEGATIVES = """WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS ar, a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+p AS (SELECT ar, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY ar ORDER BY score DESC, id) AS k FROM s WHERE same QUALIFY k <= 5),
+n AS (SELECT p.anchor_id, positive_id, positive_score, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.ar, k ORDER BY s.score DESC, s.id) AS place
+  FROM p JOIN s ON s.ar = p.ar AND NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score QUALIFY place <= 3)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n"""
+
+ORACLES = {"op6_preference_format": PREFERENCES, "op9_minhash_near_dedup": NEAR_DUPLICATES, "op10_quality_rules": QUALITY, "op11_fill_in_middle": INFILLING, "op12_hard_negatives": NEGATIVES}

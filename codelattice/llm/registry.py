@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .bpe import encode_decode
 from .fingerprints import fingerprints
 from .frames import read
-from .language_id import identify
+from .hard_negatives import mine
+from .infilling import infill_digests
+from .language_id import held_out, identify
 from .minhash import near_duplicates
 from .mixing import mix
 from .oracles import ORACLES
@@ -17,6 +19,7 @@ from .quality import judge
 from .suffix_dedup import repeated_passages
 from .token_counts import token_counts
 from .token_files import write_and_read
+from .toxicity import toxicity
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +74,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill_digests(read(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    got = mine(read(spark, sf_dir, "embeddings"), label=label)
+    return got.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), held_out)
+    first = F.get("evidence", F.lit(0))
+    return got.select("doc_id", "held_out", "score", "predicted", first["doc_id"].alias("nearest_id"), first["similarity"].alias("nearest_similarity"), first["label"].alias("nearest_label"))
+
+
 __all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
 
 QUERIES = {
@@ -84,4 +103,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_toxicity": op13_toxicity,
 }

@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline on small tables, against brute force and the libraries."""
+"""The ten first operators and the pipeline on small tables, against brute force and the libraries."""
 
 import collections
 import hashlib

@@ -5,7 +5,8 @@ vocabulary finds, in one pass, every token that starts at every place. A sequenc
 the merges would give exactly if every two neighbours are compatible: merged on their own, the bytes
 of both give these two tokens. So the longest match is taken at each place if it is compatible with
 the token before it, else the next shorter one, else the walk steps back; a place from which no
-way leads on is never tried again, which keeps the walk linear. Compatibility is decided by walking
+way leads on is never tried again, which keeps the walk linear. Matches are held for a window of places, so memory
+follows the text and its ids, not its matches. Compatibility is decided by walking
 up the two edges of the border in the order in which merges would happen, and is memoised.
 
 Defined results: a null text is empty and has no ids; any text, of any length, decodes to its own
@@ -17,7 +18,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import ahocorasick
 import numpy as np
@@ -34,6 +36,8 @@ REMEMBERED = 1_000_000
 #: Between pre-tokens that are searched together; no Latin-1 character.
 _BETWEEN = "Ā"
 _FAR = 1 << 60
+#: Places whose matches are held at a time; longer pre-tokens are searched window by window.
+WINDOW = 1 << 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,6 +45,27 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class _Matches:
+    """The tokens that start at each place of a text, a window of places at a time: those left behind are searched again if the walk steps back."""
+
+    def __init__(self, automaton: ahocorasick.Automaton, text: str, longest: int):
+        self.automaton, self.text, self.longest = automaton, text, longest
+        self.windows: dict[int, list[list[tuple[int, int]]]] = {}
+
+    def at(self, place: int) -> list[tuple[int, int]]:
+        number, own = divmod(place, WINDOW)
+        if number not in self.windows:
+            first = number * WINDOW
+            found: list[list[tuple[int, int]]] = [[] for _ in range(min(WINDOW, len(self.text) - first))]
+            for end, hit in self.automaton.iter(self.text, first, min(len(self.text), first + WINDOW + self.longest)):
+                if end - hit[1] + 1 - first < len(found):
+                    found[end - hit[1] + 1 - first].append(hit)
+            for old in sorted(self.windows)[:-1]:  # this window and the one before it or after it are kept
+                del self.windows[old]
+            self.windows[number] = found
+        return self.windows[number][own]
+
+
 class BacktrackingBpe:
     """Encoder of single pre-tokens and decoder, over a table of ranks."""
 
@@ -52,6 +77,7 @@ class BacktrackingBpe:
         self.parts: dict[int, tuple[int, int] | None] = {}
         self._edges: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
         self._fits: dict[tuple[int, int], bool] = {}
+        self.longest = max(map(len, ranks))
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
             parts = self._last_merge(token)
@@ -105,32 +131,33 @@ class BacktrackingBpe:
             self._fits[pair] = ok
         return self._fits[pair]
 
-    def encode_all(self, words: list[bytes]) -> list[list[int]]:
+    def encode_all(self, words: list[bytes]) -> list[Sequence[int]]:
         """The ids of each pre-token."""
-        text = _BETWEEN.join(w.decode("latin-1") for w in words)
-        found: list[list[tuple[int, int]]] = [[] for _ in range(len(text) + 1)]
-        for end, hit in self.automaton.iter(text):
-            found[end - hit[1] + 1].append(hit)
+        short = [w for w in words if len(w) <= WINDOW]
+        matches = _Matches(self.automaton, _BETWEEN.join(w.decode("latin-1") for w in short), self.longest)
         out, at = [], 0
         for w in words:
-            out.append(self._walk(found, at, at + len(w)))
+            if len(w) > WINDOW:
+                out.append(self._walk(_Matches(self.automaton, w.decode("latin-1"), self.longest), 0, len(w)))
+                continue
+            out.append(self._walk(matches, at, at + len(w)))
             at += len(w) + 1
         return out
 
-    def _walk(self, found: list[list[tuple[int, int]]], start: int, end: int) -> list[int]:
-        ids: list[int] = []
-        tried: list[int] = []  # how many of the matches at the start of ids[k] are left
-        place, left, dead, fits = start, len(found[start]) if start < end else 0, set(), self.fits
+    def _walk(self, matches: _Matches, start: int, end: int) -> Sequence[int]:
+        ids = array("I")
+        tried = array("H")  # how many of the matches at the start of ids[k] are left
+        place, left, dead, fits = start, len(matches.at(start)) if start < end else 0, set(), self.fits
         while place < end:
-            matches = found[place]
+            found = matches.at(place)
             while left:
                 left -= 1
-                token, n = matches[left]
+                token, n = found[left]
                 if place + n not in dead and (not ids or fits(ids[-1], token)):
                     ids.append(token)
                     tried.append(left)
                     place += n
-                    left = len(found[place]) if place < end else 0
+                    left = len(matches.at(place)) if place < end else 0
                     break
             else:
                 if not ids:
@@ -138,7 +165,7 @@ class BacktrackingBpe:
                 dead.add(place)
                 place -= len(self.bytes_of[ids.pop()])
                 left = tried.pop()
-        return ids
+        return ids.tolist() if end - start <= WINDOW else ids
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import tempfile
 import uuid
 
@@ -86,5 +87,14 @@ def drop_stored(*tables: DataFrame) -> None:
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def corpus_key(docs: DataFrame, text_col: str) -> tuple[int, int]:
+    """Two 64-bit seeds of hashes, out of all texts: the same in every run, and unknown to who has written some of the texts."""
+    text = F.col(text_col)
+    small = F.xxhash64(text, F.lit(1)).bitwiseAND(F.lit((1 << 24) - 1))
+    facts = docs.select(text).agg(F.bit_xor(F.xxhash64(text)).alias("x"), F.sum(small).alias("s"), F.count("*").alias("n")).first()
+    digest = hashlib.blake2b(repr(tuple(facts)).encode(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little")
+
+
 def count_words(text):
     return F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long")

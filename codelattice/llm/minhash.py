@@ -18,9 +18,10 @@ In the comparisons with smallest classes, an odd sketch (the parity of the shing
 ODD_BITS bits) comes before full sets: it differs in no more bits than the sets have shingles of their own,
 so a pair is left out only if it surely isn't alike enough.
 
-Words and shingles are told apart by 64-bit hashes that are not linear, whole sets by two sums over
-independent ones (128 bits): two given sets of 10,000 shingles meet a false equal shingle with a
-probability of 5e-12.
+Words and shingles are told apart by 64-bit hashes under a key out of all texts of the table (corpus_key), so that
+nobody can write texts that collide without knowing the rest of the table; whole sets by two sums over
+independent ones (128 bits). Links are confirmed under another seed than the one that made their candidates. Two given sets
+of 10,000 shingles meet a false equal shingle with a probability of 5e-12, and one hardly moves a link.
 
 Defined results: null, empty or blank texts have no shingles and are linked with nothing; rows are told
 apart by id and text, so an id with two texts is two documents; rows without an id are linked with
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
-from .frames import cut, drop_stored, map_batches, stored
+from .frames import corpus_key, cut, drop_stored, map_batches, stored
 from .words import mix, pieces, shingles, word_hashes
 
 IN_GROUP = 2
@@ -63,15 +64,12 @@ def _factors(n: int) -> np.ndarray:
     return ((rng.randint(0, 1 << 32, n).astype(np.uint64) << np.uint64(32)) | rng.randint(0, 1 << 32, n).astype(np.uint64)) | np.uint64(1)
 
 
-#: Seeds of the two hashes of a word.
-_SEEDS = (0, 0x6A09E667F3BCC908)
-
-
-def _sets(text: pa.Array, k: int, lower: bool, twice: bool = False) -> Iterator[tuple[int, int, list[np.ndarray], np.ndarray]]:
+def _sets(text: pa.Array, k: int, lower: bool, seeds: tuple[int, ...]) -> Iterator[tuple[int, int, list[np.ndarray], np.ndarray]]:
     """Pieces of documents with their distinct shingles, sorted: (first, end, hashes by one or two seeds, places)."""
+    twice = len(seeds) > 1
     for at, to, data, offsets in pieces(text):
         found = []
-        for seed in _SEEDS[: 1 + twice]:
+        for seed in seeds:
             h, _, _, firsts = word_hashes(data, offsets, lower, seed)
             values, places = shingles(h, firsts, k)
             found.append(values)
@@ -102,14 +100,14 @@ def _sums(values: np.ndarray, places: np.ndarray, how) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, groups: int, lower: bool = True) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, groups: int, seeds: tuple[int, int], lower: bool = True) -> DataFrame:
     """(doc_id, tie, n_shingles, set_a, set_b, sig): tie is a hash of the text, sig holds the 2 * groups group hashes."""
     n = 2 * groups * IN_GROUP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = _factors(n)
         for batch in batches:
-            for at, to, (values, others), places in _sets(batch.column(1), k, lower, twice=True):
+            for at, to, (values, others), places in _sets(batch.column(1), k, lower, seeds):
                 least = np.zeros((to - at, n), np.uint64)
                 for j in range(n):
                     least[:, j] = _sums((values ^ by[j]) * by[n - 1 - j], places, np.minimum)
@@ -126,12 +124,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, groups: int,
     return map_batches(rows, run, "doc_id bigint, tie bigint, n_shingles bigint, set_a bigint, set_b bigint, sig array<bigint>")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int, lower: bool = True) -> DataFrame:
+def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int, seed: int, lower: bool = True) -> DataFrame:
     """(node, n, odd, set) for the documents (doc_id, tie) of ids, each once; odd is the set's odd sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, (values,), places in _sets(batch.column(1), k, lower):
+            for at, to, (values,), places in _sets(batch.column(1), k, lower, (seed,)):
                 sets = pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(values.view(np.int64)))
                 bit = (mix(values) >> np.uint64(16)) % np.uint64(ODD_BITS)
                 own = np.repeat(np.arange(to - at, dtype=np.int64), np.diff(places)) * ODD_BITS
@@ -239,7 +237,8 @@ def _links_left(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, lower: bool) -> DataFrame:
     """(doc_id, tie, n_shingles, first) of each row; first is the least (doc_id, tie) of its component, null for rows that are linked with nothing."""
     groups = groups_for(percent)
-    sig = stored(signatures(docs, id_col, text_col, k, groups, lower), "signatures")
+    seeds = corpus_key(docs, text_col)
+    sig = stored(signatures(docs, id_col, text_col, k, groups, seeds, lower), "signatures")
     classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "tie")).alias("least"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbers are read from this table only
     table = F.explode(F.sequence(F.lit(0), F.lit(groups * groups - 1))).alias("table")
@@ -251,7 +250,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
     shared = stored(ends.where("least <> most").select("key", "least"), "shared-keys")
     buckets = stored(keys.join(shared, "key").select("key", "at.node", "at.n", "least"), "buckets")
     ids = cut(classes.select("node", "least.*").join(buckets.select("node").distinct(), "node", "left_semi"))
-    sets = shingle_sets(docs, ids, id_col, text_col, k, lower)
+    sets = shingle_sets(docs, ids, id_col, text_col, k, seeds[1], lower)
     could = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)  # noqa: E731  sets of such sizes can be as alike
     hub = buckets.where("node = least").select("key", F.col("n").alias("hub_n"))
     tested = buckets.where("node <> least").join(hub, "key").where(could(F.col("n"), F.col("hub_n")))

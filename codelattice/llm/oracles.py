@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import CHAR_LIMIT, CHAR_SLACK, CLASSES, COMMON, LEAST_CHARS, LEAST_WORDS, SAMPLE_DOCS, WORD_LIMIT, WORD_SLACK
+from .quality import CHAR_LIMIT, CHAR_SLACK, CLASSES, COMMON, LEAST_CHARS, LEAST_WORDS, WORD_LIMIT, WORD_SLACK
 
 _BLANK = r"\x20\x09-\x0D"
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -23,7 +23,7 @@ def _quality() -> str:
     return rf"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
 b AS (SELECT doc_id, lang, list_filter(string_split_regex(t, '[{_BLANK}]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{_BLANK}]')) AS l,
   list_filter(string_split_regex(lower(t), '[^\p{{L}}]+'), lambda x: x <> '') AS p, length(t) - ({dropped(f"[{_BLANK}]+")}) AS word_chars, {dropped("[#*$%&|<>]+")} AS n_symbols, [{classes}] AS c FROM d),
-drawn AS (SELECT lang, p FROM b JOIN (SELECT lang, count(*) AS docs FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL GROUP BY lang) USING (lang) JOIN documents USING (doc_id, lang) WHERE documents.text IS NOT NULL AND ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT * docs < {SAMPLE_DOCS} * (1::BIGINT << 32)),
+drawn AS (SELECT b.lang, p FROM b JOIN documents d ON d.doc_id = b.doc_id WHERE b.lang IS NOT NULL AND d.text IS NOT NULL),
 top AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS place FROM (SELECT lang, unnest(p) AS word FROM drawn) GROUP BY lang, word QUALIFY place <= {COMMON}),
 wl AS (SELECT coalesce(list(word ORDER BY first_at), []) AS cw FROM (SELECT word, min((lang, place)) AS first_at FROM top GROUP BY word)),
 g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda j: w[j] || ' ' || w[j + 1] || ' ' || w[j + 2])) AS s FROM b WHERE len(w) > 2),

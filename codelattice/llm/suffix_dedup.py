@@ -3,7 +3,8 @@
 Suffixes are kept only where their text asks for it: among any W consecutive k-word grams the one with
 the least hash is chosen (minimisers, k + W - 1 = MIN_WORDS), so every window of MIN_WORDS words
 has a chosen place, the same one wherever it stands. Places whose gram is unique in the
-corpus are dropped after one combining count; the others fetch the words around them (as 32-bit hashes),
+corpus are dropped after one combining count; the others fetch the words around them (as 64-bit hashes under a key
+out of all texts, so that nobody can write words that collide, and serial numbers don't),
 as many to each side as a window with this place can have. These suffixes are sorted over the
 whole cluster by range (gram, words to the right, words to the left, document, place), and neighbours are
 compared: equal ones form a class, of which the first row speaks for all, and the words that a class has in
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut, drop_stored, map_batches, stored
+from .frames import corpus_key, cut, drop_stored, map_batches, stored
 from .words import grams, mix, pieces, word_hashes
 
 MIN_WORDS = 50
@@ -80,10 +81,10 @@ def chosen(g: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return out[keep], np.where(many, 0, least)[keep], np.where(many, REACH, most)[keep]
 
 
-def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _choose(batches: Iterator[pa.RecordBatch], seed: int = 0) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, to, data, offsets in pieces(batch.column(1)):
-            h, _, _, firsts = word_hashes(data, offsets)
+            h, _, _, firsts = word_hashes(data, offsets, seed=seed)
             g = grams(h, K)
             out, least, most = chosen(g, firsts)
             doc = np.searchsorted(firsts, out, side="right") - 1
@@ -96,15 +97,14 @@ def _wide(x: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contexts(batches: Iterator[pa.RecordBatch], seed: int = 0) -> Iterator[pa.RecordBatch]:
     """The words around each place that is asked for; those beyond the text's ends are 0."""
     for batch in batches:
         places = batch.column(3)
         for at, to, data, offsets in pieces(batch.column(1)):
-            h, _, _, firsts = word_hashes(data, offsets)
+            h, _, _, firsts = word_hashes(data, offsets, seed=seed)
             g = grams(h, K)
-            small = (h >> _U(32)).astype(np.uint32)
-            small[small == 0] = 1
+            h[h == 0] = 1
             own = places.slice(at, to - at)
             n = np.array([len(x) for x in own], np.int64)
             flat = own.flatten()
@@ -117,11 +117,11 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             step = np.arange(REACH)
             right = place[:, None] + K + step
             left = place[:, None] - 1 - step
-            padded = np.append(small, np.uint32(0))
-            right = padded[np.where(right < firsts[doc + 1][:, None], right, len(small))]
-            left = padded[np.where(left >= firsts[doc][:, None], left, len(small))]
-            key = np.concatenate([asked.astype(">u8").view(np.uint8).reshape(len(doc), 8), right.astype(">u4").view(np.uint8).reshape(len(doc), 4 * REACH)], axis=1)
-            left = left.astype(">u4").view(np.uint8).reshape(len(doc), 4 * REACH)
+            padded = np.append(h, _U(0))
+            right = padded[np.where(right < firsts[doc + 1][:, None], right, len(h))]
+            left = padded[np.where(left >= firsts[doc][:, None], left, len(h))]
+            key = np.concatenate([asked.astype(">u8").view(np.uint8).reshape(len(doc), 8), right.astype(">u8").view(np.uint8).reshape(len(doc), 8 * REACH)], axis=1)
+            left = left.astype(">u8").view(np.uint8).reshape(len(doc), 8 * REACH)
             ids = [batch.column(c).slice(at, to - at).take(pa.array(doc)) for c in (0, 2)]
             bounds = [flat.field(c).filter(pa.array(ok)) for c in ("least", "most")]
             if len(doc):
@@ -151,7 +151,7 @@ def _judge(key: np.ndarray, left: np.ndarray, ids: np.ndarray, ties: np.ndarray,
     Open grams give the windows of each class (stays is null): which is the first one is found out later.
     """
     gram = np.ascontiguousarray(key[:, :8]).view(">u8").reshape(-1).astype(np.uint64)
-    right, left = (np.ascontiguousarray(x).view(">u4").astype(np.uint64) for x in (key[:, 8:], left))
+    right, left = (np.ascontiguousarray(x).view(">u8").astype(np.uint64) for x in (key[:, 8:], left))
     new_gram, new_class = np.ones(len(gram), bool), np.ones(len(gram), bool)
     new_gram[1:] = gram[1:] != gram[:-1]
     new_class[1:] = new_gram[1:] | (right[1:] != right[:-1]).any(axis=1) | (left[1:] != left[:-1]).any(axis=1)
@@ -238,10 +238,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         if batch.num_rows:
-            key = _fixed(batch.column(0), 8 + 4 * REACH)
+            key = _fixed(batch.column(0), 8 + 8 * REACH)
             if not n and not held and not open_grams:
                 open_grams.add(number(key[0]))
-            held.append((key, _fixed(batch.column(1), 4 * REACH), *(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(2, 7))))
+            held.append((key, _fixed(batch.column(1), 8 * REACH), *(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(2, 7))))
             n += batch.num_rows
             if n >= GROUP_ROWS:
                 yield from judged(last=False)
@@ -285,12 +285,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kept: a first place, which stays; first_doc_id: for a repeat, the least document known to hold what it repeats.
     Words are counted from 0, end_word is the one after the last. tie is xxhash64 of the text, which tells rows of one id apart.
     """
-    rows = _keyed(docs, id_col, text_col)
-    suffixes = stored(map_batches(rows, _choose, "gram bigint, doc_id bigint, tie bigint, place int, least int, most int"), "suffixes")
+    rows, (seed, _) = _keyed(docs, id_col, text_col), corpus_key(docs, text_col)
+    suffixes = stored(map_batches(rows, lambda b: _choose(b, seed), "gram bigint, doc_id bigint, tie bigint, place int, least int, most int"), "suffixes")
     # written out, so that the join deals both sides anew and may split a gram that very many documents share
     shared = stored(suffixes.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "shared-grams")
     asked = suffixes.join(shared, "gram").groupBy("doc_id", "tie").agg(F.collect_set(F.struct("gram", "place", "least", "most")).alias("places"))
-    near = map_batches(rows.join(asked, ["doc_id", "tie"]).select("doc_id", "text", "tie", "places"), _contexts, "key binary, left binary, doc_id bigint, tie bigint, place int, least int, most int")
+    near = map_batches(rows.join(asked, ["doc_id", "tie"]).select("doc_id", "text", "tie", "places"), lambda b: _contexts(b, seed), "key binary, left binary, doc_id bigint, tie bigint, place int, least int, most int")
     near = stored(near, "contexts")
     drop_stored(suffixes, shared)
     order = ["key", "left", "doc_id", "tie", "place"]

@@ -15,8 +15,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from codelattice.llm import fingerprints as fp
-from codelattice.llm import language_id, preferences, pretokens, registry, suffix_dedup, token_counts, token_files, words
-from codelattice.llm.bpe import encode_decode, encoder, read_ranks
+from codelattice.llm import language_id, preferences, pretokens, quality, registry, suffix_dedup, token_counts, token_files, words
+from codelattice.llm.bpe import BacktrackingBpe, encode_decode, encoder, read_ranks
 from codelattice.llm.minhash import near_duplicates, without_near_duplicates
 
 DATA = "/root/testdata/sf0.001"
@@ -64,6 +64,77 @@ def test_colliding_words_are_not_linked(spark, colliding):
     assert all(r["component_id"] == r["doc_id"] and r["kept"] for r in rows)
 
 
+def forged_words():
+    """Pairs of words of 16 letters that a chain of mix() with fixed factors takes for equal: the second half makes up for the first."""
+    word = lambda x: int.from_bytes(x.encode(), "little")
+    odd, out = 0x9E3779B97F4A7C15, []
+    for first, other in (("myrbzvkf", "tkvgrlre"), ("abcdefgh", "hgfedcba"), ("qwertyui", "asdfghjk")):
+        a, b = (int(words.mix(np.array([word(x)], np.uint64))[0]) for x in (first, other))
+        tail = "ayjlwwrx"
+        made = (word(tail) + (a - b) * odd) % 2**64
+        out.append((first.encode() + tail.encode(), other.encode() + made.to_bytes(8, "little")))
+    return out
+
+
+def test_no_key_makes_forged_words_equal():
+    for x, y in forged_words():
+        data = np.frombuffer(x + y, np.uint8)
+        for seed in (0, 1, 2**63 + 5):
+            a, b = words.hash_spans(data, np.array([0, 16]), np.array([16, 32]), seed)
+            assert a != b
+
+
+def test_words_that_collide_for_known_seeds_are_kept_apart(spark):
+    """Words of 16 letters that collided under the first seed of earlier versions, and the serial numbers that agreed in 32 bits."""
+    pair = ("myrbzvkfyayjlwwr", "tkvgrlreey\\cw)da")
+    texts = [" ".join([w] * 40 + [f"{w}{i}" for i in range(80)]) for w in pair]
+    df = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    assert [r["component_id"] == r["doc_id"] for r in near_duplicates(df).collect()] == [True, True]
+    assert without_near_duplicates(df).count() == 2
+    left = suffix_dedup.without_repeats(df, suffix_dedup.repeated_passages(df)).collect()
+    assert sorted(r["text"] for r in left) == sorted(texts)
+
+
+def test_serial_numbers_before_one_passage_are_not_cut(spark):
+    passage = " ".join(f"w{i}" for i in range(49))
+    df = spark.range(300_000).select(F.col("id").alias("doc_id"), F.format_string("n%06d " + passage, "id").alias("text"))
+    assert suffix_dedup.repeated_passages(df).where("not kept").count() == 0
+
+
+def test_long_pretokens_are_encoded_in_windows(monkeypatch):
+    tiktoken = pytest.importorskip("tiktoken")
+    import public_tokenizers
+
+    path = public("byte_bpe_multi_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+    rng = np.random.RandomState(2)
+    long = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n)) for n in (90, 700, 5000)] + ["a" * 3000, "ab" * 900, "é" * 600]
+    bpe = BacktrackingBpe(read_ranks(path))
+    for window in (7, 64, 1 << 16):
+        monkeypatch.setattr("codelattice.llm.bpe.WINDOW", window)
+        assert [list(x) for x in bpe.encode_all([w.encode() for w in long])] == [library.encode_ordinary(w) for w in long]
+
+
+def test_repeats_in_a_very_long_text(spark):
+    n = 1_500_000
+    text = F.array_join(F.concat(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("w"), i.cast("string"))), F.array(*map(F.lit, ("w7", "w8", "w9")))), " ")
+    df = spark.range(1).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"))
+    (r,) = quality.counts(df, []).select("n_words", "n_repeat_words").collect()
+    assert (r["n_words"], r["n_repeat_words"]) == (n + 3, 6)
+
+
+def test_fifty_languages_in_one_pass(spark):
+    rng = np.random.RandomState(4)
+    rows = []
+    for k in range(50):
+        own = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j)}" for j in range(25)]
+        rows += [(100 * k + d, " ".join(rng.choice(own, 150)), f"l{k:02}") for d in range(4)]
+    rows.append((9999, " ".join(f"zz{chr(97 + i % 26)}{chr(97 + i // 26)}q" for i in range(300)), None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality.judge(df).collect()}
+    assert len(got) == 201 and all(r["kept"] for i, r in got.items() if i != 9999) and not got[9999]["kept"]
+
+
 def test_known_pretokens_do_not_rest_on_hashes(monkeypatch):
     monkeypatch.setattr(pretokens, "hash_spans", lambda data, starts, ends: words.hash_spans(data, starts, ends) & np.uint64(3))
     monkeypatch.setattr(pretokens.Known, "_other", lambda self, row, data, starts, ends: np.array([i for i, r in enumerate(row) if self._bytes[self._at[r] : self._at[r + 1]].tobytes() != data[starts[i] : ends[i]].tobytes()], np.int64))
@@ -268,7 +339,7 @@ def open_passages(table):
     rows = [r for r in table.to_pylist() if (r["doc_id"], r["tie"]) in asked]
     batch = pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in rows]), pa.array([r["text"] for r in rows]), pa.array([r["tie"] for r in rows]), pa.array([asked[r["doc_id"], r["tie"]] for r in rows], kind)], ["doc_id", "text", "tie", "places"])
     contexts = pa.Table.from_batches(list(suffix_dedup._contexts([batch]))).sort_by([(c, "ascending") for c in ("key", "left", "doc_id", "tie", "place")])
-    key, left = (suffix_dedup._fixed(contexts[c].combine_chunks(), w) for c, w in (("key", 108), ("left", 100)))
+    key, left = (suffix_dedup._fixed(contexts[c].combine_chunks(), w) for c, w in (("key", 208), ("left", 200)))
     spans = list(zip(*(x.tolist() for x in suffix_dedup._judge(key, left, *(contexts[c].to_numpy() for c in ("doc_id", "tie", "place", "least", "most")), set()))))
     windows = collections.defaultdict(list)
     out = collections.defaultdict(list)

@@ -17,20 +17,26 @@ def postings(docs: DataFrame, key: list[str], text: str) -> DataFrame:
     return rows.groupBy(*key, "len", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25_prefix(posts: DataFrame, sizes: DataFrame, key: list[str], prefixes: list[str]) -> DataFrame:
+def bm25_prefix(posts: DataFrame, sizes: DataFrame | tuple[int, int], key: list[str], prefixes: list[str]) -> DataFrame:
     """(key..., score): documents with a token for each prefix; lower is better.
 
-    sizes: (key..., len) of all documents, with those without a token. Statistics are over all of them;
-    filters belong after this step.
+    sizes: (key..., len) of all documents, with those without a token, or their number and the sum of their lengths. Statistics
+    are over all of them; filters belong after this step. Of postings that are stored in the order of their terms, only the row
+    groups of the prefixes are read.
     """
-    total = sizes.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    known = isinstance(sizes, tuple)
+    total = None if known else sizes.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     hits = None
     for i, prefix in enumerate(prefixes):
         own = posts.where(F.startswith("term", F.lit(prefix))).groupBy(*key, "len").agg(F.sum("tf").alias("f"))
         own = own.withColumn("term_no", F.lit(i))
         hits = own if hits is None else hits.unionByName(own)
     seen = hits.groupBy("term_no").agg(F.count("*").alias("n"))  # a row per prefix
-    rows = hits.join(F.broadcast(seen), "term_no").join(F.broadcast(total))  # one row
+    rows = hits.join(F.broadcast(seen), "term_no")
+    if known:
+        rows = rows.withColumns({"n_docs": F.lit(sizes[0]), "avg_len": F.lit(sizes[1] / max(1, sizes[0]))})
+    else:
+        rows = rows.join(F.broadcast(total))  # one row
     idf = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))

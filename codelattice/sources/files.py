@@ -17,13 +17,14 @@ from pyspark.sql.types import StructType
 
 from ..functions.lineage import cut
 from ..functions.shipping import ship
-from ..functions.text import directories, line_count
+from ..functions.text import directories, line_count, tokens
+from ..operators import search
 from ..operators.history import refresh_cascade
 from ..streaming.freshness import Published
 from .git import git
 from .java_code import extract_java
 from .model import FILES, IMPORTS, REFS, SCHEMA_VERSION, SYMBOLS, TABLES, columns_of
-from .python_code import extract_python, module_of, package_dirs
+from .python_code import extract_python
 
 #: Folders that hold no source of the repository itself.
 SKIP_DIRS = (
@@ -117,15 +118,27 @@ def tracked(root: str) -> list[str] | None:
 
 
 def with_modules(files: DataFrame) -> DataFrame:
-    """files with `module` and `is_package`: for Python by the packages of the same `version` (if there is such a column)."""
+    """files with `module` and `is_package`: for Python by the packages of the same `version` (if there is such a column).
+
+    A folder is a package if it has an __init__.py, or stands between such a folder and a file below that has none nearer.
+    A file's module is the longest unbroken run of packages above it, and its own name.
+    """
     by = [c for c in ("version",) if c in files.columns]
-    paths = files.where("language = 'python'").select(*by, "path").collect()  # names only: one short string a file
-    known: dict = {}
-    for r in paths:
-        known.setdefault(tuple(r[c] for c in by), []).append(r["path"])
-    rows = [(*k, p, *module_of(p, package_dirs(ps))) for k, ps in known.items() for p in ps]
-    named = files.sparkSession.createDataFrame(rows, ", ".join([f"{c} string" for c in by] + ["path string", "module string", "is_package boolean"]))
-    return files.join(named, [*by, "path"], "left")
+    parts = F.split("path", "/")
+    dirs = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    py = files.where("language = 'python'").select(*by, "path", dirs.alias("dirs"))
+    above = F.transform(F.sequence(F.lit(1), F.size("dirs")), lambda i: F.struct(i.alias("level"), F.array_join(F.slice("dirs", F.lit(1), i), "/").alias("dir")))
+    levels = py.where(F.size("dirs") > 0).select(*by, "path", F.inline(above))
+    own = py.where(F.endswith("path", F.lit("/__init__.py"))).select(*by, F.array_join("dirs", "/").alias("dir"), F.lit(True).alias("own")).distinct()
+    nearest = levels.join(own, [*by, "dir"]).groupBy(*by, "path").agg(F.max("level").alias("nearest"))
+    packages = levels.join(nearest, [*by, "path"]).where("level >= nearest").select(*by, "dir").distinct()
+    broken = levels.join(packages, [*by, "dir"], "left_anti").groupBy(*by, "path").agg(F.max("level").alias("__broken"))
+    rows = files.join(broken, [*by, "path"], "left").withColumn("__broken", F.coalesce("__broken", F.lit(0)))
+    name = F.regexp_replace(F.substring_index("path", "/", -1), r"\.py$", "")
+    python, package = F.col("language") == "python", name == "__init__"
+    inner = F.slice(dirs, F.col("__broken") + 1, F.greatest(F.size(dirs) - F.col("__broken"), F.lit(0)))
+    module = F.when(package & (F.size(dirs) == 0), "__init__").otherwise(F.array_join(F.concat(inner, F.when(package, F.array().cast("array<string>")).otherwise(F.array(name))), "."))
+    return rows.select(*files.columns, F.when(python, module).alias("module"), F.when(python, package).alias("is_package"))
 
 
 def _struct(ddl: str) -> str:
@@ -173,11 +186,35 @@ def tables_of(files: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
+#: Files of a bucket when an index is built, buckets at most, and deltas of postings before they are merged.
+BUCKET_FILES, MOST_BUCKETS, MOST_DELTAS = 256, 4096, 8
+POSTINGS = "path string, ordinal int, len bigint, term string, tf bigint"
+KEY = ["path", "ordinal"]
+
+
+def bucket_of(path, buckets: int):
+    return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
+
+
+def indexed_words(symbols: DataFrame) -> DataFrame:
+    """(path, ordinal, text): what word search finds a symbol by."""
+    return symbols.select(*KEY, F.concat_ws(" ", "name", "qualified_name", "name_words").alias("text"))
+
+
+class Tables(dict):
+    """The relations of one version by name, with the statistics of its word search: documents, and tokens of all of them."""
+
+    statistics: tuple[int, int] = (0, 0)
+
+
 class Index:
-    """A folder of table versions and one manifest that names the current one.
+    """A folder of tables in buckets of paths, and one manifest that names the version of each bucket.
 
-    A version is complete before the manifest is replaced, and replacing a file is atomic, so readers see
-    either the old tables or the new ones.
+    A refresh writes the buckets that hold a changed file, and nothing else; the other ones go on under their versions. The
+    words of symbols are kept as postings in the order of their terms, so that a search reads the row groups of
+    its prefixes only; a refresh adds a delta of postings and a list of the paths whose older postings are void, and
+    both are merged when they are read. All files are complete before the manifest is replaced, and replacing
+    a file is atomic, so readers see either the old tables or the new ones.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -195,68 +232,159 @@ class Index:
         m = self.manifest()
         return None if m is None else Published(m["version"], m["last_indexed_ns"] / 1e9)
 
-    def tables(self) -> dict[str, DataFrame]:
+    # --- reading ----------------------------------------------------------------------------
+
+    def tables(self) -> Tables:
         m = self.manifest()
         if m is None:
             raise FileNotFoundError(f"no index in {self.folder}")
         if m["schema_version"] != SCHEMA_VERSION:
             raise ValueError("the index has another schema; build it anew")
-        return {n: self.spark.read.schema(s).parquet(f"{self.folder}/{m['version']}/{n}") for n, s in TABLES.items()}
-
-    def _publish(self, tables: dict[str, DataFrame], root: str, started_ns: int) -> None:
-        version = f"v-{started_ns}-{uuid.uuid4().hex[:8]}"
-        for name, rows in tables.items():
-            rows.write.parquet(f"{self.folder}/{version}/{name}")
-        self._point(version, root, started_ns)
-
-    def _point(self, version: str, root: str, started_ns: int) -> None:
+        out = Tables({n: self._relation(m, n) for n in TABLES})
+        out["postings"] = self._postings(m)
+        out.statistics = tuple(m["statistics"])
+        return out
+
+    def _relation(self, m: dict, name: str, only: set[int] | None = None) -> DataFrame:
+        """A relation, or some of its buckets."""
+        at = [f"{self.folder}/{version}/{name}/bucket={b}" for b, version in m["tables"][name].items() if only is None or int(b) in only]
+        return self.spark.read.schema(TABLES[name]).parquet(*at) if at else self.spark.createDataFrame([], TABLES[name])
+
+    def _postings(self, m: dict) -> DataFrame:
+        """Postings of all segments, without those of paths that a later segment declares void."""
+        live, void = None, None
+        for number, segment in reversed(list(enumerate(m["segments"]))):
+            own = self.spark.read.schema(POSTINGS).parquet(f"{self.folder}/{segment}/postings")
+            own = own if void is None else own.join(void, "path", "left_anti")
+            live = own if live is None else live.unionByName(own)
+            if number:
+                gone = self.spark.read.schema("path string").parquet(f"{self.folder}/{segment}/void")
+                void = gone if void is None else void.union(gone)
+        return live
+
+    # --- writing ----------------------------------------------------------------------------
+
+    def _put(self, m: dict, rows: dict[str, DataFrame], touched: list[int]) -> None:
+        """Write the touched buckets of each relation under the manifest's version."""
+        for name, table in rows.items():
+            dealt = table.withColumn("bucket", bucket_of("path", m["buckets"])).repartition(max(1, len(touched)), "bucket")
+            dealt.sortWithinPartitions("bucket", "path").write.partitionBy("bucket").parquet(f"{self.folder}/{m['version']}/{name}")
+            made = {d.removeprefix("bucket=") for d in os.listdir(f"{self.folder}/{m['version']}/{name}") if d.startswith("bucket=")}
+            m["tables"].setdefault(name, {})
+            for b in map(str, touched):
+                m["tables"][name].pop(b, None)
+                if b in made:
+                    m["tables"][name][b] = m["version"]
+
+    def _put_postings(self, m: dict, symbols: DataFrame) -> None:
+        posts = search.postings(indexed_words(symbols), KEY, "text")
+        posts.repartitionByRange("term").sortWithinPartitions("term", *KEY).write.parquet(f"{self.folder}/{m['version']}/postings")
+
+    def _point(self, m: dict) -> None:
         with open(f"{self.folder}/manifest.new", "w", encoding="utf-8") as f:
-            json.dump({"schema_version": SCHEMA_VERSION, "version": version, "root": root, "last_indexed_ns": started_ns}, f)
+            json.dump(m, f)
         os.replace(f"{self.folder}/manifest.new", f"{self.folder}/manifest.json")
 
-    def refresh(self, root: str) -> dict[str, int]:
-        """Bring the index up to date; files by action. Rows of unchanged files are carried over as they are."""
+    @staticmethod
+    def _sizes(symbols: DataFrame) -> tuple[int, int]:
+        """Documents of the word search, and their tokens."""
+        r = indexed_words(symbols).agg(F.count("*").alias("n"), F.sum(F.size(tokens(F.col("text")))).alias("all")).first()
+        return r["n"], r["all"] or 0
+
+    def _build(self, root: str, found: DataFrame, started: int, batch: int | None) -> dict[str, int]:
+        rows = tables_of(cut(read_files(with_modules(found), root)))
+        n = rows["files"].count()
+        buckets = 1 if n < 2 * BUCKET_FILES else 1 << (min(MOST_BUCKETS, n // BUCKET_FILES) - 1).bit_length()
+        m = {"schema_version": SCHEMA_VERSION, "version": _version(started), "root": root, "last_indexed_ns": started, "buckets": buckets, "files": n, "tables": {}, "batch": batch}
+        self._put(m, rows, list(range(buckets)))
+        symbols = self._relation(m, "symbols")
+        self._put_postings(m, symbols)
+        self._point(m | {"segments": [m["version"]], "statistics": self._sizes(symbols)})
+        return {"parse": n}
+
+    def refresh(self, root: str, only: DataFrame | None = None, batch: int | None = None) -> dict[str, int]:
+        """Bring the index up to date; files by action.
+
+        only: paths to look at (column path); others aren't, but for Python files whose module has changed by these. batch:
+        the number of a stream's micro-batch; one that was applied already changes nothing.
+        """
         started = time.time_ns()
         os.makedirs(self.folder, exist_ok=True)
-        found = listed(self.spark, root)
         m = self.manifest()
+        found = listed(self.spark, root)
         if m is None or m["schema_version"] != SCHEMA_VERSION:
-            self._publish(tables_of(cut(read_files(with_modules(found), root))), root, started)
-            return {"parse": self.tables()["files"].count()}
-        old = self.tables()
+            return self._build(root, found, started, batch)
+        if batch is not None and m["batch"] is not None and batch <= m["batch"]:
+            return {}
+        m = m | {"last_indexed_ns": started, "batch": m["batch"] if batch is None else batch, "was_indexed_ns": m["last_indexed_ns"]}
+        old = {name: self._relation(m, name) for name in TABLES}
         was = old["files"].select("path", *[F.col(c).alias(f"__{c}") for c in ("module", "hash", "size", "mtime_ns")])
-        seen = cut(read_files(with_modules(found), root, contents=False).join(was, "path", "left"))
+        quiet = (F.col("size") == F.col("__size")) & (F.col("mtime_ns") == F.col("__mtime_ns")) & (F.col("mtime_ns") < m["was_indexed_ns"] - RACY_NS)
+        if only is None:
+            # modules follow from the set of paths: with the same paths and quiet files, all is as it was
+            n = read_files(found, root, contents=False).join(was, "path", "left").agg(F.count("*").alias("all"), F.count_if(quiet).alias("quiet")).first()
+            if n["all"] == n["quiet"] == m["files"]:
+                self._point(m)
+                return {"unchanged": n["all"]}
+            named = with_modules(found)
+        else:
+            named = with_modules(found)
+            moved = named.join(was, "path").where((F.col("language") == "python") & ~F.col("module").eqNullSafe(F.col("__module"))).select("path")
+            asked = cut(only.select("path").union(moved).distinct())
+            named, was = named.join(asked, "path", "left_semi"), was.join(asked, "path", "left_semi")
+        actions, now, doubtful = self._decided(m, root, named, was, quiet)
+        counts = {r["action"]: r["n"] for r in actions.groupBy("action").agg(F.count("*").alias("n")).collect()}
+        if set(counts) <= {"unchanged"}:
+            self._point(m)
+            return counts
+        self._apply(m, started, old, actions, now, doubtful)
+        return counts
+
+    def _decided(self, m: dict, root: str, named: DataFrame, was: DataFrame, quiet) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(path and action of each file, what is known of the files now, contents of those that had to be read)."""
+        seen = cut(read_files(named, root, contents=False).join(was, "path", "left"))
         # a Java file's module is written in it: what it was, if nothing else has changed
         module = F.when(F.col("language") == "java", F.col("__module")).otherwise(F.col("module"))
-        same = (F.col("size") == F.col("__size")) & (F.col("mtime_ns") == F.col("__mtime_ns")) & module.eqNullSafe(F.col("__module")) & (F.col("mtime_ns") < m["last_indexed_ns"] - RACY_NS)
-        same = F.coalesce(same, F.lit(False))
+        same = F.coalesce(quiet & module.eqNullSafe(F.col("__module")), F.lit(False))
         doubtful = read_files(seen.where(~same).select("path", "language", "module", "is_package"), root)
         doubtful = cut(doubtful.where(~has_nul(F.col("content"))).withColumn("hash", F.sha2("content", 256)))
         sure = seen.where(same).select("path", module.alias("module"), F.col("__hash").alias("hash"), "size", "mtime_ns")
         read = doubtful.join(was.select("path", "__module", "__hash"), "path", "left")
         read_module = F.when(F.col("language") == "java", F.when(F.col("hash") == F.col("__hash"), F.col("__module"))).otherwise(F.col("module"))
         now = sure.union(read.select("path", read_module, "hash", "size", "mtime_ns"))
-        actions = refresh_cascade(old["files"], now, last_run_ns=m["last_indexed_ns"], racy_ns=RACY_NS)
+        known = was.select("path", *[F.col(f"__{c}").alias(c) for c in ("module", "hash", "size", "mtime_ns")])
+        actions = refresh_cascade(known, now, last_run_ns=m["was_indexed_ns"], racy_ns=RACY_NS)
         # a doubtful file that turned out to be the same in all respects needs no new row
         alike = now.join(was, (now["path"] == was["path"]) & (F.col("size") == F.col("__size")) & (F.col("mtime_ns") == F.col("__mtime_ns"))).select(now["path"], F.lit(True).alias("__alike"))
         actions = actions.join(alike, "path", "left").select("path", F.when((F.col("action") == "stat") & F.col("__alike"), "unchanged").otherwise(F.col("action")).alias("action"))
-        decided = {r["path"]: r["action"] for r in actions.collect()}  # one short row a file
-        counts: dict[str, int] = {}
-        for a in decided.values():
-            counts[a] = counts.get(a, 0) + 1
-        if set(decided.values()) <= {"unchanged"}:
-            self._point(m["version"], root, started)
-            return counts
-        paths = self.spark.createDataFrame(list(decided.items()), "path string, action string")
-        parse = paths.where("action = 'parse'").select("path")
-        gone = paths.where("action in ('parse', 'remove')").select("path")
+        return cut(actions), now, doubtful
+
+    def _apply(self, m: dict, started: int, old: dict[str, DataFrame], actions: DataFrame, now: DataFrame, doubtful: DataFrame) -> None:
+        """Write the buckets of what has changed, the delta of postings, and the manifest."""
+        changed = actions.where("action <> 'unchanged'")
+        touched = sorted(r["b"] for r in changed.select(bucket_of("path", m["buckets"]).alias("b")).distinct().collect())  # as many as buckets at most
+        parse, gone = actions.where("action = 'parse'").select("path"), actions.where("action in ('parse', 'remove')").select("path")
+        stat = now.join(actions.where("action = 'stat'"), "path", "left_semi").select("path", F.col("size").alias("__s"), F.col("mtime_ns").alias("__t"))
         fresh = tables_of(doubtful.join(parse, "path", "left_semi").drop("hash"))
-        merged = {}
+        version, merged = _version(started), {}
         for name in TABLES:
-            kept = old[name].join(gone, "path", "left_anti")
+            kept = self._relation(m, name, set(touched)).join(gone, "path", "left_anti")
             if name == "files":
-                stat = now.join(paths.where("action = 'stat'"), "path", "left_semi").select("path", F.col("size").alias("__s"), F.col("mtime_ns").alias("__t"))
                 kept = kept.join(stat, "path", "left").withColumns({"size": F.coalesce("__s", "size"), "mtime_ns": F.coalesce("__t", "mtime_ns")}).drop("__s", "__t")
             merged[name] = kept.select(*old[name].columns).unionByName(fresh[name].select(*old[name].columns))
-        self._publish(merged, root, started)
-        return counts
+        left, added = self._sizes(old["symbols"].join(gone, "path", "left_semi")), self._sizes(fresh["symbols"])
+        m = m | {"version": version, "tables": {name: dict(of) for name, of in m["tables"].items()}, "statistics": [a - b + c for a, b, c in zip(m["statistics"], left, added)]}
+        self._put(m, merged, touched)
+        m["files"] = self._relation(m, "files").count()
+        if len(m["segments"]) > MOST_DELTAS:
+            self._put_postings(m, self._relation(m, "symbols"))
+            m["segments"] = [version]
+        else:
+            self._put_postings(m, fresh["symbols"])
+            gone.write.parquet(f"{self.folder}/{version}/void")
+            m["segments"] = [*m["segments"], version]
+        self._point(m)
+
+
+def _version(started_ns: int) -> str:
+    return f"v-{started_ns}-{uuid.uuid4().hex[:8]}"

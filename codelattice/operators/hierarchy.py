@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
@@ -52,8 +52,27 @@ def inside_any(points: DataFrame, intervals: DataFrame, key: list[str], at: str,
     return hits.unionByName(points, allowMissingColumns=True).groupBy(*points.columns).agg(F.coalesce(F.max("inside"), F.lit(False)).alias("inside"))
 
 
-def outermost_callables(symbols: DataFrame, closure: DataFrame) -> DataFrame:
-    """Callables without a callable above them; closure is ancestors() of symbols by path and ordinal."""
+def around(symbols: DataFrame, *columns: str) -> DataFrame:
+    """(path, node, ancestor, depth, columns of the ancestor) for each symbol and all that it lies in, itself (depth 0) included.
+
+    symbols have labels: ancestry is a range test, joined by path and bin of ordinals; there is no loop over levels.
+    """
+    nodes = symbols.select("path", F.col("ordinal").alias("node"), F.col("depth").alias("__node_depth"))
+    spans = symbols.select("path", F.col("ordinal").alias("ancestor"), "last_ordinal", F.col("depth").alias("__depth"), *columns)
+    found = holding(nodes, spans, ["path"], "node", "ancestor", "last_ordinal")
+    return found.select("path", "node", "ancestor", (F.col("__node_depth") - F.col("__depth")).cast("bigint").alias("depth"), *columns)
+
+
+def outermost_callables(symbols: DataFrame, closure: DataFrame | None = None) -> DataFrame:
+    """Callables without a callable above them.
+
+    Symbols with labels need one window: a callable lies in another if one that begins before it reaches as far. For others, closure
+    is ancestors() of symbols by path and ordinal.
+    """
     calls = symbols.where(F.col("kind").isin(*CALLABLE_KINDS))
+    if closure is None:
+        before = Window.partitionBy("path").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+        reach = calls.withColumn("__reach", F.max("last_ordinal").over(before))
+        return reach.where(F.col("__reach").isNull() | (F.col("__reach") < F.col("ordinal"))).drop("__reach")
     above = closure.join(calls.select("path", F.col("ordinal").alias("ancestor")), ["path", "ancestor"], "left_semi")
     return calls.join(above.select("path", F.col("node").alias("ordinal")), ["path", "ordinal"], "left_anti")

@@ -2,42 +2,69 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.shipping import ship
+from ..functions.lineage import cut
+
+_NAME = ["repo", "name"]
+_ID = ["repo", "name", "at"]
+
+
+def lifetimes(touches: DataFrame) -> DataFrame:
+    """(repo, name, at, until, via): what a name stood for before (in time) each change of its meaning.
+
+    A rename at position at gives the old name the meaning that the new one, `via`, has just before; an addition or a rename ends the
+    meaning of the name that it made (via is null). at and until are (pos, k, step), growing into the past: the row holds for
+    what is older than at, as far as until (null: for ever).
+    """
+    rows = touches.where("status in ('A', 'R')")
+    step = lambda n: F.struct("pos", "k", F.lit(n).alias("step")).alias("at")
+    old = rows.where("status = 'R' and old_path is not null").select("repo", F.col("old_path").alias("name"), step(0), F.col("path").alias("via"))
+    made = rows.select("repo", F.col("path").alias("name"), step(1), F.lit(None).cast("string").alias("via"))
+    return old.union(made).withColumn("until", F.lead("at").over(Window.partitionBy(*_NAME).orderBy("at"))).select(*_ID, "until", "via")
+
+
+def meanings(lives: DataFrame) -> DataFrame:
+    """(repo, name, at, today): what the names of lifetimes are called today, null if their file is gone.
+
+    Each rename points to the lifetime that its new name had just before. Pointers are followed by doubling: a chain of n
+    renames takes log2(n) joins, whatever the number of repositories and files.
+    """
+    holds = lives.select("repo", F.col("name").alias("via"), F.col("at").alias("p_at"), "until")
+    moved = lives.where("via is not null").select(*_ID, "via")
+    near = (F.col("p_at") < F.col("at")) & (F.col("until").isNull() | (F.col("at") <= F.col("until")))
+    found = moved.join(holds, ["repo", "via"], "left").where(F.col("p_at").isNull() | near)
+    # renames whose new name has lifetimes, but none that began before, keep that name; so do those whose new name has none
+    found = moved.join(found.where("p_at is not null").select(*_ID, "p_at"), _ID, "left")
+    ended = lives.where("via is null").select(*_ID, F.lit(None).cast("string").alias("to"), F.lit(None).cast(lives.schema["at"].dataType).alias("p_at"))
+    state = cut(found.select(*_ID, F.col("via").alias("to"), "p_at").union(ended))
+    while True:
+        if not state.where("p_at is not null").limit(1).count():
+            return state.select(*_ID, F.col("to").alias("today"))
+        ahead = state.select("repo", F.col("name").alias("to"), F.col("at").alias("p_at"), F.col("to").alias("n_to"), F.col("p_at").alias("n_at"))
+        follow = state.where("p_at is not null").join(ahead, ["repo", "to", "p_at"]).select(*_ID, F.col("n_to").alias("to"), F.col("n_at").alias("p_at"))
+        state = cut(state.where("p_at is null").union(follow))
 
 
 def churn(touches: DataFrame, repo: str = "repo") -> DataFrame:
     """(repo, path, churn, last): commits that touched what is called path today, and the newest one's time.
 
-    touches: (repo, pos, time, status, path, old_path), pos 0 being the newest commit. Renames have to be
-    followed from newest to oldest, one repository at a time; a repository's log is read in order and folded.
+    touches: (repo, pos, time, status, path, old_path), pos 0 being the newest commit, and k, the place of a row in its
+    commit. A commit's paths have the meaning that its newer neighbours left them with; those whose file was made again later count for no name.
+    Only names that were renamed or added have lifetimes; all others stand for themselves. One repository is as many tasks as its names need.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        called: dict[str, str | None] = {}
-        count: dict[str, int] = {}
-        last: dict[str, int] = {}
-        for _, commit in rows.sort_values(["pos", "k"]).groupby("pos", sort=True):
-            names = {called.get(p, p) for p in commit["path"]} - {None}
-            when = int(commit["time"].iloc[0])
-            for name in names:
-                count[name] = count.get(name, 0) + 1
-                last.setdefault(name, when)
-            for status, path, old in zip(commit["status"], commit["path"], commit["old_path"]):
-                if status == "R":
-                    called[old] = called.get(path, path)
-                if status in ("A", "R"):
-                    called[path] = None
-        return pd.DataFrame({"repo": rows["repo"].iloc[0], "path": list(count), "churn": list(count.values()), "last": [last[p] for p in count]})
-
-    ship(touches.sparkSession)
-    numbered = touches.select(F.col(repo).alias("repo"), "pos", "time", "status", "path", "old_path", F.col("k") if "k" in touches.columns else F.lit(0).alias("k"))
-    return numbered.groupBy("repo").applyInPandas(fold, "repo string, path string, churn bigint, last bigint")
+    rows = touches.select(F.col(repo).alias("repo"), "pos", "time", "status", "path", "old_path", F.col("k") if "k" in touches.columns else F.lit(0).alias("k"))
+    lives = cut(lifetimes(rows))
+    known = lives.join(meanings(lives), _ID)
+    spans = known.select("repo", F.col("name").alias("path"), F.col("at.pos").alias("after"), F.col("until.pos").alias("until"), "today", F.lit(True).alias("known"))
+    named = rows.select("repo", "path", "pos", "k", "time").join(spans.where("until is null or after < until"), ["repo", "path"], "left")
+    inside = (F.col("after") < F.col("pos")) & (F.col("until").isNull() | (F.col("pos") <= F.col("until")))
+    named = named.groupBy("repo", "path", "pos").agg(F.min_by("time", "k").alias("time"), F.max(F.when(inside, F.struct("known", "today"))).alias("life"))
+    name = F.when(F.col("life").isNull(), F.col("path")).otherwise(F.col("life.today"))
+    named = named.select("repo", name.alias("path"), "pos", "time").where("path is not null")
+    each = named.groupBy("repo", "path", "pos").agg(F.min("time").alias("time"))
+    return each.groupBy("repo", "path").agg(F.count("*").alias("churn"), F.min_by("time", "pos").alias("last"))
 
 
 def hotspots(changes: DataFrame, sizes: DataFrame, key: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 CHARS_PER_TOKEN, HEADROOM = 3, 560
 
 
@@ -27,18 +29,45 @@ def budget(cap_tokens: int, head_chars: int = 0) -> int:
     return cap_tokens * CHARS_PER_TOKEN - HEADROOM - head_chars
 
 
+def running_sum(rows: DataFrame, value: str, order: list, out: str, most: int | None = None) -> DataFrame:
+    """rows with `out`, the sum of value over all rows up to each in order; no task sees more than a range of rows.
+
+    Rows are dealt into ranges of the order, ranges add up on their own, and what comes before each range is the sum
+    of the ranges before it: one number a range goes to the driver. With most, ranges that begin beyond it are left out.
+    """
+    dealt = cut(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sums = dealt.groupBy("__range").agg(F.sum(value).alias("s")).orderBy("__range").collect()  # a row a range
+    before, total = {}, 0
+    for r in sums:
+        if most is None or total <= most:
+            before[r["__range"]] = total
+        total += r["s"] or 0
+    if not before:
+        return dealt.withColumn(out, F.lit(None).cast("bigint")).drop("__range").limit(0)
+    start = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("__range"))
+    inside = F.sum(value).over(Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.where(F.col("__range").isin(*before)).withColumn(out, inside + start).drop("__range")
+
+
 def prefix_within(rows: DataFrame, text: str, order: list, chars: int, group: list | None = None) -> DataFrame:
     """The longest ranked prefix whose lines, with their breaks, fit into chars (in each group)."""
-    w = Window.partitionBy(*(group or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(F.length(text) + 1).over(w)).where(F.col("used") <= chars)
+    rows = rows.withColumn("__cost", F.length(text) + 1)
+    if group is None:
+        rows = running_sum(rows, "__cost", order, "used", chars)
+    else:
+        rows = rows.withColumn("used", F.sum("__cost").over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.where(F.col("used") <= chars).drop("__cost")
 
 
 def grouped_prefix_within(rows: DataFrame, text: str, header: str, order: list, chars: int, partition: list | None = None, under: int = 0) -> DataFrame:
     """As prefix_within(), but a line costs 3 more and the first line of a header costs its header too, without the first `under` characters that all headers share."""
     first = F.row_number().over(Window.partitionBy(*(partition or []), header).orderBy(*order)) == 1
     rows = rows.withColumn("cost", F.length(text) + 3 + F.when(first, F.length(header) + 1 - under).otherwise(0))
-    w = Window.partitionBy(*(partition or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum("cost").over(w)).where(F.col("used") <= chars)
+    if partition is None:
+        rows = running_sum(rows, "cost", order, "used", chars)
+    else:
+        rows = rows.withColumn("used", F.sum("cost").over(Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.where(F.col("used") <= chars)
 
 
 def rank_of_caller(rows: DataFrame, caller: list, is_test: Column) -> DataFrame:

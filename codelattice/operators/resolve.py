@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 from ..functions.text import TYPE_KINDS, arity_fits, external_type, is_static, simple_name
-from .hierarchy import ancestors
+from ..sources.model import LABELS
+from .hierarchy import ancestors, around
 from .ranking import best_tier
 
 PY_CALLABLE = ("function", "method", "class")
@@ -31,15 +32,23 @@ class Resolver:
         parents = tables["symbols"].select("path", F.col("ordinal").alias("parent_ordinal"), F.col("kind").alias("owner_kind"), F.col("name").alias("owner_name"), F.col("qualified_name").alias("owner_qn"), F.col("parent_ordinal").alias("owner_parent"))
         self.symbols = cut(s.join(parents, ["path", "parent_ordinal"], "left"))
         self.refs = tables["refs"].withColumnRenamed("ordinal", "ref").join(f, "path")
-        closure = ancestors(tables["symbols"], ["path"], "parent_ordinal", "ordinal")
-        own = tables["symbols"].select("path", F.col("ordinal").alias("node"), F.col("ordinal").alias("ancestor"), F.lit(0).cast("bigint").alias("depth"))
-        kinds = tables["symbols"].select("path", F.col("ordinal").alias("ancestor"), "kind", F.col("name").alias("a_name"), F.col("qualified_name").alias("a_qn"), F.col("bases").alias("a_bases"))
-        self.above = cut(closure.select("path", "node", "ancestor", "depth").union(own).join(kinds, ["path", "ancestor"]))
+        self.above = self._above(tables["symbols"])
         types = s.where(F.col("kind").isin(*TYPE_KINDS))
         self.types = types.groupBy("language", F.col("qualified_name").alias("t_qn")).agg(
             F.min_by(F.struct("path", "ordinal", "kind", "name", F.transform("bases", simple_name).alias("bases")), F.struct("path", "ordinal")).alias("t")
         )
 
+    @staticmethod
+    def _above(symbols: DataFrame) -> DataFrame:
+        """(path, node, ancestor, depth, and what is known of the ancestor), each symbol itself included."""
+        known = {"kind": "kind", "a_name": "name", "a_qn": "qualified_name", "a_bases": "bases"}
+        if all(c in symbols.columns for c in LABELS):
+            return around(symbols.select("path", "ordinal", *LABELS, *[F.col(c).alias(name) for name, c in known.items()]), *known)
+        closure = ancestors(symbols, ["path"], "parent_ordinal", "ordinal").select("path", "node", "ancestor", "depth")
+        own = symbols.select("path", F.col("ordinal").alias("node"), F.col("ordinal").alias("ancestor"), F.lit(0).cast("bigint").alias("depth"))
+        kinds = symbols.select("path", F.col("ordinal").alias("ancestor"), *[F.col(c).alias(name) for name, c in known.items()])
+        return cut(closure.union(own).join(kinds, ["path", "ancestor"]))
+
     # --- shared facts -----------------------------------------------------------------------
 
     def _enclosing(self, refs: DataFrame) -> DataFrame:

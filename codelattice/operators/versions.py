@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .hierarchy import holding
+
 DECLARATION = ["signature", "decorators", "param_count", "is_varargs"]
 
 
@@ -45,17 +47,29 @@ def change_kind(declaration: list[str], text: str) -> Column:
     return F.when(F.col("new").isNull(), "removed").when(F.col("old").isNull(), "added").when(differ, "signature").when(~F.col(f"old.{text}").eqNullSafe(F.col(f"new.{text}")), "body")
 
 
+def own_spans(symbols: DataFrame) -> DataFrame:
+    """(path, ordinal, kind, from, to): the lines of each symbol that lie in none of its children, as spans that don't overlap.
+
+    The children of a symbol are swept in order of their start, with the farthest end before each.
+    """
+    inner = symbols.where("parent_ordinal is not null").select("path", F.col("parent_ordinal").alias("ordinal"), F.col("start_line").alias("a"), F.col("end_line").alias("b"))
+    whole = symbols.select("path", "ordinal", "kind", F.col("start_line").alias("first"), F.col("end_line").alias("last"))
+    before = Window.partitionBy("path", "ordinal").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    gaps = inner.withColumn("done", F.max("b").over(before)).join(whole, ["path", "ordinal"])
+    gaps = gaps.select("path", "ordinal", "kind", F.greatest(F.col("done") + 1, "first").alias("from"), F.least(F.col("a") - 1, "last").alias("to"))
+    tails = whole.join(inner.groupBy("path", "ordinal").agg(F.max("b").alias("done")), ["path", "ordinal"], "left")
+    tails = tails.select("path", "ordinal", "kind", F.greatest(F.col("done") + 1, "first").alias("from"), F.col("last").alias("to"))
+    return gaps.union(tails).where("from <= to")
+
+
 def own_texts(symbols: DataFrame, lines: DataFrame) -> DataFrame:
     """(path, ordinal, own): a symbol's lines without its children's, all white space removed.
 
-    lines: (path, line, text). Comment lines of types don't count.
+    lines: (path, line, text). Comment lines of types don't count. Lines meet the spans of their own symbols only, by path and bin.
     """
-    inner = symbols.where("parent_ordinal is not null").select("path", F.col("parent_ordinal").alias("ordinal"), F.col("start_line").alias("__a"), F.col("end_line").alias("__b"))
-    held = symbols.select("path", "ordinal", "kind", "start_line", "end_line").join(lines, "path").where("line between start_line and end_line")
-    taken = held.join(inner, ["path", "ordinal"]).where("line between __a and __b").select("path", "ordinal", "line").distinct()
-    own = held.join(taken, ["path", "ordinal", "line"], "left_anti")
     bare = F.regexp_replace("text", r"(?U)\s+", "")
-    comment = F.col("kind").isin("class", "interface", "enum", "record", "annotation") & bare.rlike(r"^(#|//|/\*|\*)")
-    own = own.withColumn("bare", F.when(comment, "").otherwise(bare))
+    own = holding(lines.select("path", "line", bare.alias("bare")), own_spans(symbols), ["path"], "line", "from", "to")
+    comment = F.col("kind").isin("class", "interface", "enum", "record", "annotation") & F.col("bare").rlike(r"^(#|//|/\*|\*)")
+    own = own.withColumn("bare", F.when(comment, "").otherwise(F.col("bare")))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "bare"))), lambda x: x["bare"]), "")
     return symbols.select("path", "ordinal").join(own.groupBy("path", "ordinal").agg(text.alias("own")), ["path", "ordinal"], "left").fillna({"own": ""})

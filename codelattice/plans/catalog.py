@@ -535,6 +535,15 @@ def budgeted_prefix_flat(spark, d):
     return ranking.prefix_within(pages, "url", [F.desc("n"), "page_id"], ranking.budget(2000, 100), ["group"]).select("group", "page_id", "used")
 
 
+_BILL = "CAST(l_orderkey AS VARCHAR) || l_returnflag || l_linestatus"
+
+
+@_query(f"SELECT {_KEYS}, used FROM (SELECT {_KEYS}, CAST(sum(length({_BILL}) + 1) OVER (ORDER BY l_extendedprice DESC, {_KEYS} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM lineitem) WHERE used <= 50000")
+def budgeted_prefix_whole(spark, d):
+    lines = _read(spark, d, "lineitem").select(*_REF, "l_extendedprice", F.concat(F.col("l_orderkey").cast("string"), "l_returnflag", "l_linestatus").alias("text"))
+    return ranking.prefix_within(lines, "text", [F.desc("l_extendedprice"), *_REF], 50_000).select(*_REF, "used")
+
+
 @_query("""SELECT g AS "group", page_id, used FROM (SELECT g, page_id, CAST(sum(length(url) + 3 + CASE WHEN first THEN length(host) + 1 - 8 ELSE 0 END) OVER (PARTITION BY g ORDER BY n DESC, page_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used
 FROM (SELECT *, row_number() OVER (PARTITION BY g, host ORDER BY n DESC, page_id) = 1 AS first FROM (SELECT page_id % 3 AS g, page_id, url, length(html) AS n, list_extract(string_split(url, '/'), 1) || '//' || list_extract(string_split(url, '/'), 3) AS host FROM pages))) WHERE used <= 1500 * 3 - 560""")
 def budgeted_prefix_grouped(spark, d):
@@ -571,7 +580,15 @@ def refresh_cascade(spark, d):
     return history.refresh_cascade(known, found, last_run_ns=900_000 + 2_000_000_000)
 
 
-@_query()
+@_query("""WITH RECURSIVE e AS (SELECT user_id % 10 AS repo, -event_id AS pos, CAST(floor(epoch(ts)) AS BIGINT) AS time, event_type, CAST(user_id % 50 AS VARCHAR) AS path, CAST((user_id + 7) % 50 AS VARCHAR) AS old FROM events),
+life AS (SELECT repo, old AS name, pos, path AS via FROM e WHERE event_type = 'error' UNION ALL SELECT repo, path, pos, NULL FROM e WHERE event_type IN ('error', 'signup')),
+span AS (SELECT *, lead(pos) OVER (PARTITION BY repo, name ORDER BY pos) AS until FROM life),
+link AS (SELECT s.repo, s.name, s.pos, s.via, p.pos AS p_pos FROM span s LEFT JOIN span p ON p.repo = s.repo AND p.name = s.via AND p.pos < s.pos AND (p.until IS NULL OR s.pos <= p.until)),
+walk(repo, name, pos, via, p_pos) AS (SELECT * FROM link UNION ALL SELECT w.repo, w.name, w.pos, l.via, l.p_pos FROM walk w JOIN link l ON w.p_pos IS NOT NULL AND l.repo = w.repo AND l.name = w.via AND l.pos = w.p_pos),
+today AS (SELECT repo, name, pos, via FROM walk WHERE p_pos IS NULL),
+named AS (SELECT e.repo, e.pos, e.time, CASE WHEN s.pos IS NULL THEN e.path ELSE t.via END AS path FROM e LEFT JOIN span s ON s.repo = e.repo AND s.name = e.path AND s.pos < e.pos AND (s.until IS NULL OR e.pos <= s.until)
+  LEFT JOIN today t ON t.repo = s.repo AND t.name = s.name AND t.pos = s.pos)
+SELECT CAST(repo AS VARCHAR) AS repo, path, count(*) AS churn, arg_min(time, pos) AS last FROM named WHERE path IS NOT NULL GROUP BY repo, path""")
 def rename_churn_fold(spark, d):
     kinds = F.when(F.col("event_type") == "signup", "A").when(F.col("event_type") == "error", "R").otherwise("M")
     rows = _read(spark, d, "events").select(

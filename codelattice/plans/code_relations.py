@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..operators.resolve import Resolver
-from ..sources.model import TABLES
+from ..sources.model import LABELS, TABLES
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -36,6 +36,8 @@ def _relation(rows: DataFrame, relation: str, /, **columns: str) -> DataFrame:
     made = []
     for part in TABLES[relation].split(", "):
         column, kind = part.split(" ", 1)
+        if column in LABELS:  # these ordinals don't number trees
+            continue
         default = "false" if kind == "boolean" else "array()" if kind.startswith("array") else "null"
         made.append(F.expr(f"cast({columns.get(column, default)} as {kind})").alias(column))
     return rows.select(*made)

@@ -157,3 +157,18 @@ def test_modules_of_python_paths(spark, paths):
         for p in own:
             assert got[v, p] == module_of(p, package_dirs(own)), (v, p)
     assert all(got[k] == (None, None) for k in got if k[1].endswith(".java")) and len(got) == df.count()
+
+
+def test_labels_give_the_ancestors_that_parents_give(spark, tmp_path):
+    from codelattice.operators import hierarchy
+
+    root = str(tmp_path / "src")
+    write(root, "a.py", "class A:\n  class B:\n    def f(self):\n      def g():\n        class C: pass\n      return g\n    def h(self): pass\n  x = 1\ndef top(): pass\n")
+    write(root, "b.java", "class P { enum E { X { int x() { return 1; } } } static class Q { void m() { Runnable r = new Runnable() { public void run() {} }; } } void n() {} }")
+    index = Index(spark, str(tmp_path / "index"))
+    index.refresh(root)
+    s = index.tables()["symbols"]
+    closure = hierarchy.ancestors(s, ["path"], "parent_ordinal", "ordinal")
+    assert rows(hierarchy.around(s).where("depth > 0").select("path", "node", "ancestor", "depth")) == rows(closure.select("path", "node", "ancestor", "depth"))
+    assert rows(hierarchy.outermost_callables(s).select("path", "ordinal")) == rows(hierarchy.outermost_callables(s, closure).select("path", "ordinal"))
+    assert s.where("depth >= 2").count() > 2

@@ -111,3 +111,72 @@ def test_refresh_cascade(spark):
     found = spark.createDataFrame([("a", "m", "1", 1, 10), ("b", "m", "1", 1, 11), ("c", "n", "1", 1, 10), ("e", "m", "2", 1, 9_000_000_000), ("f", "m", "1", 1, 1)], schema)
     got = {r["path"]: r["action"] for r in history.refresh_cascade(known, found, last_run_ns=10_000_000_000).collect()}
     assert got == {"a": "unchanged", "b": "stat", "c": "parse", "d": "remove", "e": "parse", "f": "parse"}
+
+
+def folded(log):
+    """Churn of one repository by reading its log from the newest commit on."""
+    called, count, last = {}, {}, {}
+    for pos in sorted({r[0] for r in log}):
+        commit = sorted((r for r in log if r[0] == pos), key=lambda r: r[1])
+        for name in {called.get(r[4], r[4]) for r in commit} - {None}:
+            count[name] = count.get(name, 0) + 1
+            last.setdefault(name, commit[0][2])
+        for _, _, _, status, path, old in commit:
+            if status == "R":
+                called[old] = called.get(path, path)
+            if status in ("A", "R"):
+                called[path] = None
+    return {p: (count[p], last[p]) for p in count}
+
+
+def test_churn_against_reading_the_log(spark):
+    rng = random.Random(11)
+    logs = {f"r{k}": [] for k in range(6)}
+    for log in logs.values():
+        names = [f"n{i}" for i in range(rng.randrange(3, 9))]
+        for pos in range(rng.randrange(30, 80)):
+            for k, path in enumerate(rng.sample(names, rng.randrange(1, 4))):
+                status = rng.choice("MMMADRR")
+                old = rng.choice([n for n in names if n != path]) if status == "R" else None
+                log.append((pos, k, 10_000 - pos, status, path, old))
+    logs["swap"] = [(0, 0, 9, "M", "a", None), (0, 1, 9, "M", "b", None), (1, 0, 8, "R", "b", "a"), (1, 1, 8, "R", "a", "b"), (2, 0, 7, "M", "a", None), (2, 1, 7, "M", "b", None)]
+    df = spark.createDataFrame([(repo, *r) for repo, log in logs.items() for r in log], "repo string, pos int, k int, time long, status string, path string, old_path string").repartition(3)
+    got: dict = {}
+    for r in history.churn(df).collect():
+        got.setdefault(r["repo"], {})[r["path"]] = (r["churn"], r["last"])
+    assert got == {repo: folded(log) for repo, log in logs.items()}
+    assert history.churn(df.limit(0)).count() == 0
+
+
+def test_own_text_of_odd_nesting(spark):
+    rng = random.Random(5)
+    text = [f"line {i} # x" if i % 3 else f"// c {i}" for i in range(1, 401)]
+    symbols = [(0, None, "class", 1, 400)]
+    for _ in range(60):
+        parent = rng.choice(symbols)
+        a = rng.randint(parent[3], parent[4])
+        symbols.append((len(symbols), parent[0], rng.choice(["method", "class"]), a, rng.randint(a, min(parent[4], a + 90))))
+    schema = "path string, ordinal int, parent_ordinal int, kind string, start_line int, end_line int"
+    df = spark.createDataFrame([("p", *s) for s in symbols] + [("q", 0, None, "method", 5, 4), ("q", 1, None, "method", 2, 2)], schema)
+    lines = spark.createDataFrame([(p, i, t) for p in "pq" for i, t in enumerate(text, 1)], "path string, line int, text string")
+    got = {(r["path"], r["ordinal"]): r["own"] for r in versions.own_texts(df, lines).collect()}
+    want = {("q", 0): "", ("q", 1): "line2#x"}
+    for o, _, kind, a, b in symbols:
+        inner = {i for s in symbols if s[1] == o for i in range(s[3], s[4] + 1)}
+        own = [text[i - 1].replace(" ", "") for i in range(a, b + 1) if i not in inner]
+        want["p", o] = "".join(x for x in own if kind == "method" or not x.startswith(("//", "#")))
+    assert got == want
+
+
+def test_a_budget_without_groups_needs_no_single_task(spark):
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("k"), F.repeat(F.lit("x"), (F.col("id") % 9).cast("int")).alias("text")).repartition(7)
+    got = ranking.prefix_within(df, "text", [F.desc("k")], 30_000)
+    rows = sorted(((r["k"], len(r["text"])) for r in df.collect()), reverse=True)
+    want, used = [], 0
+    for k, n in rows:
+        used += n + 1
+        if used <= 30_000:
+            want.append((k, used))
+    assert sorted((r["k"], r["used"]) for r in got.collect()) == sorted(want)
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    assert ranking.prefix_within(df.limit(0), "text", ["k"], 10).count() == 0

@@ -1,8 +1,10 @@
 """Call sites to the symbols they may call, each with a tier: 3 exact, 2 likely, 1 possible.
 
-Candidates are equi-joined by (language, name); what the rules ask about a pair is joined on as facts,
-looked up once for each distinct question; one CASE gives the tier, and of each call site the best tier stays,
-with all its candidates. A null tier excludes a candidate.
+Resolution has two stages. Exact candidates are found by equality: what a call's receiver or bound name stands for, in full, is
+the qualified name, owner or module of the symbol, or both stand in one file. Call sites with an exact candidate are done; only
+the others are joined to all symbols of their name, which adaptive execution splits where a name is hot, and what
+comes out of that join goes straight into the ranking. One CASE gives the tier in both stages, and of each call site the
+best tier stays, with all its candidates. A null tier excludes a candidate.
 """
 
 from __future__ import annotations
@@ -61,12 +63,15 @@ class Resolver:
         rows = refs.join(near, ["path", "enclosing_ordinal"], "left")
         return rows.withColumns({"chain": F.coalesce("chain", F.array().cast("array<int>")), "classes": F.coalesce("classes", empty)})
 
-    def _candidates(self, refs: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
-        """refs joined to symbols of the language named `want`; the candidate's columns start with c_."""
+    def _named_symbols(self, kinds: tuple[str, ...] | None = None) -> DataFrame:
+        """Symbols by (language, want), their name; all columns that the rules ask about start with c_."""
         keep = ["ordinal", "parent_ordinal", "kind", "name", "qualified_name", "signature", "param_count", "is_varargs", "path", "module", "owner_kind", "owner_name", "owner_qn", "owner_parent"]
         s = self.symbols if kinds is None else self.symbols.where(F.col("kind").isin(*kinds))
-        s = s.select(F.col("language"), F.col("name").alias("want"), *[F.col(c).alias(f"c_{c}") for c in keep])
-        return refs.join(s, ["language", "want"])
+        return s.select(F.col("language"), F.col("name").alias("want"), *[F.col(c).alias(f"c_{c}") for c in keep])
+
+    def _candidates(self, refs: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
+        """refs joined to all symbols of the language named `want`."""
+        return refs.join(self._named_symbols(kinds), ["language", "want"])
 
     def _type(self, rows: DataFrame, qn: str, language: str, prefix: str) -> DataFrame:
         """rows with prefix_path, _ordinal, _kind, _bases of the type named by column qn."""
@@ -114,15 +119,43 @@ class Resolver:
         modules = self.files.where("language = 'python'").select(F.col("module").alias("target_to")).distinct().withColumn("target_is_module", F.lit(True))
         refs = cut(refs.join(modules, "target_to", "left"))
         names = F.array_distinct(F.filter(F.array("name", F.substring_index("bound_to", ".", -1)), lambda x: x.isNotNull()))
-        rows = self._candidates(refs.withColumn("want", F.explode(names)), PY_CALLABLE)
-        rows = self._python_visible(cut(rows), b)
-        star = self.imports.where("name = '*'").select("path", F.col("module").alias("c_module")).distinct().withColumn("starred", F.lit(True))
-        rows = rows.join(star, ["path", "c_module"], "left")
+        refs = refs.withColumn("want", F.explode(names))
+        found = cut(self._out(self._python_tier(self._exact_python(refs)).where("tier = 3")))
+        rest = refs.join(found.select(*REF).distinct(), REF, "left_anti").join(self._named_in(b), "path", "left")
+        return found.unionByName(self._out(self._python_tier(self._candidates(rest, PY_CALLABLE))))
+
+    def _exact_python(self, refs: DataFrame) -> DataFrame:
+        """refs with every candidate that may be exact, by equality: its own name or that of its owner or module, or one of the same file."""
+        s = self._named_symbols(PY_CALLABLE).where("language = 'python'").drop("language", "want")
+        none = F.lit(None).cast("array<string>")
+        refs = refs.withColumns({"named_here": none, "stars": none})
+        same_name = refs["name"] == s["c_name"]
+        whole = refs.join(s, F.col("bound_to") == F.col("c_qualified_name"))
+        module = refs.join(s, (F.col("target_to") == F.col("c_module")) & same_name)
+        member = refs.join(s, (F.col("member_to") == F.col("c_qualified_name")) & same_name)
+        owner = refs.join(s, (F.col("target_to") == F.col("c_owner_qn")) & same_name)
+        here = refs.join(s, (refs["path"] == s["c_path"]) & (F.col("want") == F.col("c_name")))
+        return whole.unionByName(module).unionByName(member).unionByName(owner).unionByName(here)
+
+    def _named_in(self, bindings: DataFrame) -> DataFrame:
+        """(path, named_here, stars): what the names of a Python file stand for, and the modules that it imports all of; as long as its imports."""
+        targets = self.followed(bindings, "target", "to").groupBy("path").agg(F.collect_set("to").alias("named_here"))
+        star = self.imports.where("name = '*'").groupBy("path").agg(F.collect_set("module").alias("stars"))
+        return targets.join(star, "path", "full_outer")
+
+    def _python_tier(self, rows: DataFrame) -> DataFrame:
+        """rows (refs with candidates, named_here and stars) with their tier."""
+        has = lambda array, x: F.coalesce(F.array_contains(array, x), F.lit(False))
+        parts = F.split("c_module", r"\.")
+        prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+        starred = has("stars", F.col("c_module"))
+        # whether the calling file can name the candidate's class or its module
+        visible = (F.col("module") == F.col("c_module")) | has("named_here", F.col("c_owner_qn")) | F.coalesce(F.arrays_overlap("named_here", prefixes), F.lit(False)) | starred
         r = F.col("receiver")
         same_file = F.col("c_path") == F.col("path")
         top = (
             F.when(r.isNull() & F.col("bound").isNotNull(), F.when(F.col("bound_to") == F.col("c_qualified_name"), 3))
-            .when(r.isNull(), F.when(F.col("starred"), 2).otherwise(1))
+            .when(r.isNull(), F.when(starred, 2).otherwise(1))
             .when((F.col("target_to") == F.col("c_module")) | (F.col("member_to") == F.col("c_qualified_name")), 3)
         )
         nested = F.when(r.isNull() & same_file & F.array_contains("chain", F.col("c_parent_ordinal")), 3)
@@ -136,24 +169,10 @@ class Resolver:
             .when(F.col("target_to") == F.col("c_owner_qn"), 3)
             .when(F.col("tt_path").isNotNull(), F.when(F.array_contains("tt_bases", F.col("c_owner_name")), 2))
             .when(F.col("target_is_module"), None)
-            .otherwise(F.when(F.col("visible"), 2).otherwise(1))
+            .otherwise(F.when(visible, 2).otherwise(1))
         )
         tier = F.when(F.col("c_parent_ordinal").isNull(), top).when(F.col("c_owner_kind").isin("function", "method"), nested).otherwise(method)
-        return self._out(rows.withColumn("tier", tier))
-
-    def _python_visible(self, rows: DataFrame, bindings: DataFrame) -> DataFrame:
-        """rows with `visible`: whether the calling file can name the candidate's class or its module."""
-        ask = rows.where("c_owner_qn is not null").select("path", "module", "c_module", "c_owner_qn").distinct()
-        targets = self.followed(bindings, "target", "to").select("path", F.col("to"))
-        by_class = targets.select("path", F.col("to").alias("c_owner_qn")).distinct().withColumn("__1", F.lit(True))
-        parts = F.split("c_module", r"\.")
-        prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
-        near = ask.select("path", "c_module").distinct().select("path", "c_module", F.explode(prefixes).alias("to"))
-        by_module = near.join(targets.distinct(), ["path", "to"], "left_semi").select("path", "c_module").distinct().withColumn("__2", F.lit(True))
-        star = self.imports.where("name = '*'").select("path", F.col("module").alias("c_module")).distinct().withColumn("__3", F.lit(True))
-        ask = ask.join(by_class, ["path", "c_owner_qn"], "left").join(by_module, ["path", "c_module"], "left").join(star, ["path", "c_module"], "left")
-        ask = ask.withColumn("visible", (F.col("module") == F.col("c_module")) | F.coalesce("__1", "__2", "__3", F.lit(False)))
-        return rows.join(ask.select("path", "c_module", "c_owner_qn", "visible").distinct(), ["path", "c_module", "c_owner_qn"], "left")
+        return rows.withColumn("tier", tier)
 
     # --- Java -----------------------------------------------------------------------------------
 
@@ -210,15 +229,35 @@ class Resolver:
         plain = r.isNull() | (r == "this")
         calls = self._named(calls, F.when(~(plain | super_), r), names, "named")
         calls = cut(self._type(calls, "named", "java", "nt"))
-        rows = self._candidates(calls.withColumn("want", F.col("name")))
+        static = self.imports.where("is_static").select("path", F.col("module").alias("c_owner_qn"), F.col("name").alias("__n")).distinct()
+        exact = self._java_call_tier(self._exact_java(calls, static), static, names, exact=True).where("tier = 3")
+        found = cut(self._out(exact))
+        rest = calls.join(found.select(*REF).distinct(), REF, "left_anti")
+        rows = self._candidates(rest.withColumn("want", F.col("name")))
+        return found.unionByName(self._out(self._java_call_tier(rows, static, names, exact=False)))
+
+    def _exact_java(self, calls: DataFrame, static: DataFrame) -> DataFrame:
+        """calls with every candidate that may be exact, by equality: of a named owner, of the same file, or imported by its name."""
+        s = self._named_symbols(("method", "field")).where("language = 'java'").drop("language", "want")
+        same_name = calls["name"] == s["c_name"]
+        owner = calls.join(s, (F.col("named") == F.col("c_owner_qn")) & same_name)
+        here = calls.join(s, (calls["path"] == s["c_path"]) & same_name)
+        bare = calls.where("receiver is null").join(static.withColumnRenamed("c_owner_qn", "__owner"), "path").where("__n = '*' or __n = name")
+        imported = bare.join(s, (F.col("__owner") == F.col("c_owner_qn")) & (bare["name"] == s["c_name"])).drop("__owner", "__n")
+        return owner.unionByName(here).unionByName(imported)
+
+    def _java_call_tier(self, rows: DataFrame, static: DataFrame, names: Column, exact: bool) -> DataFrame:
+        """rows (calls with candidates) with their tier; what a file can see is not asked where only exact candidates count."""
+        r = F.col("receiver")
+        super_ = (r == "super") | F.endswith(r, F.lit(".super"))
+        plain = r.isNull() | (r == "this")
         fits = arity_fits(F.col("arg_count"), F.col("c_param_count"), F.col("c_is_varargs"))
         accessor = (F.col("c_kind") == "field") & (F.coalesce("arg_count", F.lit(0)) == 0) & (F.col("c_owner_kind") == "record")
         rows = rows.where(((F.col("c_kind") == "method") & fits) | accessor)
-        static = self.imports.where("is_static").select("path", F.col("module").alias("c_owner_qn"), F.col("name").alias("__n")).distinct()
         one = static.select("path", "c_owner_qn", F.col("__n").alias("name")).distinct().withColumn("__1", F.lit(True))
         all_ = static.where("__n = '*'").select("path", "c_owner_qn").distinct().withColumn("__2", F.lit(True))
         rows = rows.join(one, ["path", "c_owner_qn", "name"], "left").join(all_, ["path", "c_owner_qn"], "left")
-        rows = self._java_visible(cut(rows), names)
+        rows = rows.withColumn("visible", F.lit(False)) if exact else self._java_visible(rows, names)
         same_file = F.col("c_path") == F.col("path")
         in_any = same_file & F.exists("classes", lambda c: c["id"] == F.col("c_parent_ordinal"))
         in_first = same_file & F.coalesce(F.get("classes", F.lit(0))["id"] == F.col("c_parent_ordinal"), F.lit(False))
@@ -234,7 +273,7 @@ class Resolver:
             .when((F.col("c_kind") == "method") & is_static(F.col("c_signature")), 1)
             .otherwise(F.when(F.col("visible"), 2).otherwise(1))
         )
-        return self._out(rows.withColumn("tier", tier))
+        return rows.withColumn("tier", tier)
 
     def _java_visible(self, rows: DataFrame, names: Column) -> DataFrame:
         """rows with `visible`: whether the owner, or a type around it, has its simple name there."""

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 
+#: Lifetimes of a name up to which a join on the name is small.
+FEW = 16
 _NAME = ["repo", "name"]
 _ID = ["repo", "name", "at"]
 
@@ -31,12 +33,11 @@ def meanings(lives: DataFrame) -> DataFrame:
     Each rename points to the lifetime that its new name had just before. Pointers are followed by doubling: a chain of n
     renames takes log2(n) joins, whatever the number of repositories and files.
     """
-    holds = lives.select("repo", F.col("name").alias("via"), F.col("at").alias("p_at"), "until")
-    moved = lives.where("via is not null").select(*_ID, "via")
-    near = (F.col("p_at") < F.col("at")) & (F.col("until").isNull() | (F.col("at") <= F.col("until")))
-    found = moved.join(holds, ["repo", "via"], "left").where(F.col("p_at").isNull() | near)
-    # renames whose new name has lifetimes, but none that began before, keep that name; so do those whose new name has none
-    found = moved.join(found.where("p_at is not null").select(*_ID, "p_at"), _ID, "left")
+    moved = lives.where("via is not null").select("repo", F.col("via").alias("name"), "at", F.struct("name", "via").alias("asker"))
+    both = moved.unionByName(lives.select("repo", "name", "at", F.lit(None).cast(moved.schema["asker"].dataType).alias("asker")))
+    before = Window.partitionBy(*_NAME).orderBy("at", F.col("asker").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    began = F.last(F.when(F.col("asker").isNull(), F.col("at")), ignorenulls=True).over(before)
+    found = both.withColumn("p_at", began).where("asker is not null").select("repo", F.col("asker.name").alias("name"), "at", F.col("asker.via").alias("via"), "p_at")
     ended = lives.where("via is null").select(*_ID, F.lit(None).cast("string").alias("to"), F.lit(None).cast(lives.schema["at"].dataType).alias("p_at"))
     state = cut(found.select(*_ID, F.col("via").alias("to"), "p_at").union(ended))
     while True:
@@ -54,13 +55,21 @@ def churn(touches: DataFrame, repo: str = "repo") -> DataFrame:
     commit. A commit's paths have the meaning that its newer neighbours left them with; those whose file was made again later count for no name.
     Only names that were renamed or added have lifetimes; all others stand for themselves. One repository is as many tasks as its names need.
     """
-    rows = touches.select(F.col(repo).alias("repo"), "pos", "time", "status", "path", "old_path", F.col("k") if "k" in touches.columns else F.lit(0).alias("k"))
+    rows = touches.select(F.col(repo).alias("repo"), F.col("pos").cast("bigint").alias("pos"), F.col("time").cast("bigint").alias("time"), "status", "path", "old_path", F.col("k") if "k" in touches.columns else F.lit(0).alias("k"))
     lives = cut(lifetimes(rows))
-    known = lives.join(meanings(lives), _ID)
-    spans = known.select("repo", F.col("name").alias("path"), F.col("at.pos").alias("after"), F.col("until.pos").alias("until"), "today", F.lit(True).alias("known"))
-    named = rows.select("repo", "path", "pos", "k", "time").join(spans.where("until is null or after < until"), ["repo", "path"], "left")
+    known = lives.join(meanings(lives), _ID).select("repo", F.col("name").alias("path"), F.col("at.pos").alias("after"), F.col("until.pos").alias("until"), "today").where("until is null or after < until")
+    each = rows.groupBy("repo", "path", "pos").agg(F.min_by("time", "k").alias("time"))
+    many = known.groupBy("repo", "path").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("repo", "path")
+    # names of few lifetimes meet them by a join that may be split; those of many are swept in order
+    few = each.join(many, ["repo", "path"], "left_anti").join(known.join(many, ["repo", "path"], "left_anti"), ["repo", "path"], "left")
     inside = (F.col("after") < F.col("pos")) & (F.col("until").isNull() | (F.col("pos") <= F.col("until")))
-    named = named.groupBy("repo", "path", "pos").agg(F.min_by("time", "k").alias("time"), F.max(F.when(inside, F.struct("known", "today"))).alias("life"))
+    few = few.groupBy("repo", "path", "pos", "time").agg(F.max(F.when(inside, F.struct("after", "today"))).alias("life"))
+    life = F.struct("after", "today")
+    events = each.join(many, ["repo", "path"], "left_semi").withColumn("life", F.lit(None).cast("struct<after:bigint,today:string>"))
+    events = events.unionByName(known.join(many, ["repo", "path"], "left_semi").select("repo", "path", F.col("after").alias("pos"), F.lit(None).cast("bigint").alias("time"), life.alias("life")))
+    sweep = Window.partitionBy("repo", "path").orderBy("pos", F.col("life").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    swept = events.select("repo", "path", "pos", "time", F.last("life", ignorenulls=True).over(sweep).alias("life"), F.col("life").isNull().alias("asks")).where("asks").drop("asks")
+    named = few.unionByName(swept)
     name = F.when(F.col("life").isNull(), F.col("path")).otherwise(F.col("life.today"))
     named = named.select("repo", name.alias("path"), "pos", "time").where("path is not null")
     each = named.groupBy("repo", "path", "pos").agg(F.min("time").alias("time"))

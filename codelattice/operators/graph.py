@@ -41,7 +41,10 @@ def _extreme_labels(edges: DataFrame, nodes: DataFrame, a: str, b: str) -> DataF
     labels = nodes.select("node", F.col("node").alias("label"))
     while True:
         reach = edges.join(labels.withColumnRenamed("node", a), a).groupBy(F.col(b).alias("node")).agg(F.min("label").alias("near"))
-        moved = cut(labels.join(reach, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label")))
+        step = labels.join(reach, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
+        # what leads to a node's label leads to the node: labels of labels double the length of the paths that are known
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        moved = cut(step.join(jump, "label").select("node", "was", F.least("label", "far").alias("label")))
         labels = moved.select("node", "label")
         if not moved.where("label <> was").limit(1).count():
             return labels
@@ -55,15 +58,15 @@ def strong_components(edges: DataFrame) -> DataFrame:
     the graph, and so do edges between nodes of different colours, until no edge is left.
     """
     edges = cut(edges.where("src <> dst").select("src", "dst").distinct())
-    found = None
-    while True:
+    found, n = None, edges.count()
+    while n:
         while True:  # trim
-            before = edges.count()
             edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
             edges = cut(edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-            if edges.count() == before:
+            before, n = n, edges.count()
+            if n == before:
                 break
-        if not before:
+        if not n:
             break
         nodes = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
         ahead = _extreme_labels(edges, nodes, "src", "dst")
@@ -73,6 +76,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         own = cut(colour.join(back, "node").where("back = colour").select("node", F.col("colour").alias("component")))
         found = own if found is None else found.union(own)
         edges = cut(inner.join(own.select(F.col("node").alias("src")), "src", "left_anti").join(own.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        n = edges.count()
     if found is None:
         found = edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
     sizes = found.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")

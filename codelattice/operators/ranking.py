@@ -70,10 +70,17 @@ def grouped_prefix_within(rows: DataFrame, text: str, header: str, order: list,
     return rows.where(F.col("used") <= chars)
 
 
+#: What rank_of_caller() orders by.
+CALLER_ORDER = ["tier", "is_test", "repeat", "line", "col"]
+
+
+def caller_order() -> list:
+    return [F.desc("tier"), "is_test", F.col("repeat") > 0, "path", "line", "col"]
+
+
 def rank_of_caller(rows: DataFrame, caller: list, is_test: Column) -> DataFrame:
     """References (tier, path, line, col) in order: best tier, tests last, a caller's first site before its repeats, then by place."""
-    rows = repeats(rows.withColumn("is_test", is_test), caller, ["line", "col"])
-    return rows.orderBy(F.desc("tier"), "is_test", F.col("repeat") > 0, "path", "line")
+    return repeats(rows.withColumn("is_test", is_test), caller, ["line", "col"]).orderBy(*caller_order())
 
 
 def common_directory(rows: DataFrame, group: list[str], path: str) -> DataFrame:

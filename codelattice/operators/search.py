@@ -1,13 +1,16 @@
-"""Word search: postings, BM25 over prefixes, and the merge of exact hits with word hits."""
+"""Word search: postings, BM25 over prefixes, exact names, the merge of exact hits with word hits, and close names."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import dotted_suffix, tokens
+from .ranking import top_per_group
 
 K1, B = 1.2, 0.75
+#: Edits between two names that are close.
+EDITS = 2
 
 
 def postings(docs: DataFrame, key: list[str], text: str) -> DataFrame:
@@ -47,3 +50,39 @@ def tiered_merge(exact: DataFrame, words: DataFrame, key: list[str]) -> DataFram
     """Exact hits (tier 0), then word hits that aren't among them (tier 1)."""
     rest = words.join(exact.select(*key), key, "left_anti").withColumn("tier", F.lit(1))
     return exact.withColumn("tier", F.lit(0)).unionByName(rest)
+
+
+def exact(symbols: DataFrame, query: str) -> DataFrame:
+    """Symbols (name, qualified_name, ...) called query: by name, or by the end of the dotted name if the query is dotted."""
+    return symbols.where(dotted_suffix(F.col("qualified_name"), query) if "." in query else F.col("name") == query)
+
+
+def _without(texts: Column, edits: int) -> Column:
+    """The texts of an array, and what is left of each without up to `edits` of its characters."""
+    if not edits:
+        return texts
+    none = F.array().cast("array<string>")
+    one = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    less = F.flatten(F.transform(texts, lambda x: F.when(F.length(x) > 0, one(x)).otherwise(none)))
+    return F.array_distinct(F.concat(texts, _without(F.array_distinct(less), edits - 1)))
+
+
+def _deletions(name: Column, edits: int) -> Column:
+    """Hashes of a name without up to `edits` of its characters; names within so many edits have one in common."""
+    return F.array_distinct(F.transform(_without(F.array(name), edits), lambda x: F.xxhash64(x)))
+
+
+def close_names(asked: DataFrame, known: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(word, name, distance): the distinct names (column name) within so many edits of the distinct words (column word); an edit is a character put in, left out or replaced.
+
+    Candidates share a deletion, so nothing is compared all with all; names of one length each give about l^edits / edits of them.
+    Null words and names take no part; equal ones have a distance of 0.
+    """
+    spread = lambda rows, c: rows.select(c).where(F.col(c).isNotNull()).distinct().select(c, F.explode(_deletions(F.col(c), edits)).alias("__d"))
+    pairs = spread(asked, "word").join(spread(known, "name"), "__d").where(F.abs(F.length("word") - F.length("name")) <= edits).select("word", "name").distinct()
+    return pairs.withColumn("distance", F.levenshtein("word", "name", edits)).where("distance >= 0")
+
+
+def closest(asked: DataFrame, known: DataFrame, k: int, edits: int = EDITS) -> DataFrame:
+    """(word, name, distance, place): of each word the k closest names; ties by name."""
+    return top_per_group(close_names(asked, known, edits), ["word"], ["distance", "name"], k)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.lineage import shared_folder
-from ..operators import graph, hierarchy, history, ranking, search, versions
+from ..operators import graph, hierarchy, history, ranking, search, summaries, versions
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -45,7 +45,8 @@ FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'
 
 @_query("SELECT p_partkey, p_name FROM part WHERE p_name = 'red bolt'")
 def exact_lookup(spark, d):
-    return _read(spark, d, "part").where(F.col("p_name") == "red bolt").select("p_partkey", "p_name")
+    parts = _read(spark, d, "part").withColumns({"name": F.col("p_name"), "qualified_name": F.concat_ws(".", "p_brand", "p_name")})
+    return search.exact(parts, "red bolt").select("p_partkey", "p_name")
 
 
 @_query(f"SELECT doc_id, {PATH} AS path FROM documents WHERE ends_with('/' || {FOLD.format(PATH)}, '/en/7') OR ends_with('/' || {FOLD.format(PATH)}, '/7')")
@@ -88,7 +89,7 @@ def test_path_flag(spark, d):
 
 @_query("SELECT event_id, user_id FROM events WHERE event_type = 'purchase'")
 def kind_filter(spark, d):
-    return _read(spark, d, "events").where(F.col("event_type") == "purchase").select("event_id", "user_id")
+    return summaries.of_kind(_read(spark, d, "events").withColumnRenamed("event_type", "kind"), "purchase").select("event_id", "user_id")
 
 
 @_query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_size FROM lineitem JOIN part ON l_partkey = p_partkey
@@ -131,6 +132,24 @@ def blob_id(spark, d):
     return _read(spark, d, "documents").select("doc_id", X.git_blob_id(F.encode("text", "utf-8")).alias("blob"))
 
 
+@_query("""SELECT doc_id, source || '.' || lang AS package, CASE WHEN source || lang IS NULL THEN NULL WHEN doc_id % 4 = 0 THEN './' WHEN doc_id % 4 = 1 THEN 'src/' WHEN doc_id % 4 = 2 THEN 'java/' END AS root FROM documents""")
+def package_and_root(spark, d):
+    k, home = F.col("doc_id") % 4, F.concat("source", F.lit("/"), "lang")
+    path = F.when(k == 0, F.concat(home, F.lit("/m.py"))).when(k == 1, F.concat(F.lit("src/"), home, F.lit("/__init__.py"))).when(k == 2, F.concat(F.lit("java/"), home, F.lit("/A.java"))).otherwise(F.concat(F.lit("other/"), "lang", F.lit("/A.java")))
+    module = F.concat("source", F.lit("."), "lang", F.when(k == 0, ".m").otherwise(""))
+    files = _read(spark, d, "documents").select("doc_id", path.alias("path"), F.when(k < 2, "python").otherwise("java").alias("language"), module.alias("module"))
+    files = files.withColumn("package", X.package_of(F.col("language"), F.col("path"), F.col("module")))
+    return files.select("doc_id", "package", X.source_root(F.regexp_replace("path", "[^/]*$", ""), F.col("package")).alias("root"))
+
+
+@_query("""SELECT CASE WHEN page_id % 2 = 0 THEN array_to_string(list_slice(string_split(host, '.'), 1, 2), '.') ELSE string_split(host, '.')[1] END AS name, count(*) AS n
+FROM (SELECT page_id, string_split(url, '/')[3] AS host FROM pages WHERE NOT starts_with(url, 'https')) GROUP BY 1""")
+def outside_imports(spark, d):
+    host = F.get(F.split("url", "/"), F.lit(2))
+    imports = _read(spark, d, "pages").select(F.when(F.col("page_id") % 2 == 0, "java").otherwise("python").alias("language"), host.alias("module"), F.when(F.startswith("url", F.lit("https")), host).alias("dst"))
+    return summaries.outside_imports(imports)
+
+
 # --- words and search --------------------------------------------------------------------
 
 _WORDS = """lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '[^A-Za-z0-9]+', ' ', 'g'),
@@ -170,6 +189,29 @@ def bm25_prefix_topk(spark, d):
     return got.select("doc_id", (F.round("score", 6) + 0.0).alias("score")).orderBy("score", "doc_id").limit(200)
 
 
+#: DuckDB counts edits in bytes: both sides compare names whose other characters are folded into one.
+_PLAIN = r"[^\x00-\x7F]"
+_CLOSE = f"""w AS (SELECT DISTINCT regexp_replace(unnest({_TOKENS}), '{_PLAIN}', '?', 'g') AS word FROM benchmark),
+n AS (SELECT DISTINCT regexp_replace(unnest(string_split(string_split(url, '/')[3], '.')), '{_PLAIN}', '?', 'g') AS name FROM pages),
+c AS (SELECT word, name, levenshtein(word, name) AS distance FROM w JOIN n ON levenshtein(word, name) <= 2)"""
+
+
+def _words_and_hosts(spark, d):
+    plain = lambda array, name: F.explode(F.transform(array, lambda x: F.regexp_replace(x, _PLAIN, "?"))).alias(name)
+    words = _read(spark, d, "benchmark").select(plain(X.tokens(F.col("text")), "word"))
+    return words, _read(spark, d, "pages").select(plain(F.split(F.get(F.split("url", "/"), F.lit(2)), r"\."), "name"))
+
+
+@_query(f"WITH {_CLOSE} SELECT word, name, distance FROM c")
+def close_names(spark, d):
+    return search.close_names(*_words_and_hosts(spark, d)).withColumn("distance", F.col("distance").cast("bigint"))
+
+
+@_query(f"WITH {_CLOSE} SELECT word, name, distance, row_number() OVER (PARTITION BY word ORDER BY distance, name) AS place FROM c QUALIFY place <= 3")
+def closest_names(spark, d):
+    return search.closest(*_words_and_hosts(spark, d), 3).withColumns({c: F.col(c).cast("bigint") for c in ("distance", "place")})
+
+
 @_query("""SELECT doc_id, 0 AS tier FROM documents WHERE source = 'src3' UNION ALL
 SELECT doc_id, 1 FROM documents WHERE source <> 'src3' AND list_has_any(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), ['that'])""")
 def tiered_merge(spark, d):
@@ -184,37 +226,41 @@ def tiered_merge(spark, d):
 
 @_query("SELECT (SELECT count(*) FROM documents) AS n_symbols, (SELECT count(*) FROM events) AS n_refs")
 def totals(spark, d):
-    a = _read(spark, d, "documents").agg(F.count("*").alias("n_symbols"))
-    b = _read(spark, d, "events").agg(F.count("*").alias("n_refs"))
-    return a.join(F.broadcast(b))  # one row each
+    return summaries.totals(_read(spark, d, "documents"), _read(spark, d, "events"))
 
 
 @_query("SELECT lang, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS chars, count(*) FILTER (quality = 0) AS bad FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
 def language_counts(spark, d):
     rows = _read(spark, d, "documents").join(_read(spark, d, "labels"), "doc_id", "left")
-    return rows.groupBy("lang").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"), F.count_if(F.col("quality") == 0).alias("bad"))
+    files = rows.select(_path().alias("path"), F.col("lang").alias("language"), F.col("n_chars").alias("line_count"), (F.col("quality") == 0).alias("has_errors"))
+    return summaries.by_language(files).select(F.col("language").alias("lang"), "files", F.col("lines").alias("chars"), F.col("errors").alias("bad"))
 
 
 @_query("SELECT source AS package, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS chars, array_to_string(list_sort(list(DISTINCT lang)), ',') AS dirs FROM documents GROUP BY source ORDER BY chars DESC, package")
 def package_rollup(spark, d):
-    rows = _read(spark, d, "documents").groupBy(F.col("source").alias("package"))
-    return rows.agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"), F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("dirs")).orderBy(F.desc("chars"), "package")
+    files = _read(spark, d, "documents").select(F.col("source").alias("package"), F.col("n_chars").alias("line_count"), "lang")
+    return summaries.by_package(files, F.col("lang")).select("package", "files", F.col("lines").alias("chars"), F.array_join("roots", ",").alias("dirs"))
 
 
 @_query("SELECT event_type AS kind, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min(event_id)) AS place FROM events GROUP BY event_type")
 def kind_histogram(spark, d):
-    rows = _read(spark, d, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.min("event_id").alias("__first"))
-    return rows.select("kind", "n", F.row_number().over(Window.orderBy(F.desc("n"), "__first")).cast("bigint").alias("place"))
+    rows = summaries.by_kind(_read(spark, d, "events").withColumnRenamed("event_type", "kind"), F.col("event_id"))
+    return rows.select("kind", "n", F.row_number().over(Window.orderBy(F.desc("n"), "first")).cast("bigint").alias("place"))  # a row a kind
 
 
 @_query("""SELECT count(*) FILTER (value >= 20) AS exact, count(*) FILTER (value >= 5 AND value < 20) AS likely, count(*) FILTER (value < 5) AS possible,
   count(DISTINCT user_id) AS files, round(count(*) FILTER (user_id % 7 = 0) / count(*), 6) AS test_share FROM events""")
 def tier_histogram(spark, d):
-    v = F.col("value")
-    return _read(spark, d, "events").agg(
-        F.count_if(v >= 20).alias("exact"), F.count_if((v >= 5) & (v < 20)).alias("likely"), F.count_if(v < 5).alias("possible"),
-        F.countDistinct("user_id").alias("files"), F.round(F.count_if(F.col("user_id") % 7 == 0) / F.count("*"), 6).alias("test_share"),
-    )
+    tier = F.when(F.col("value") >= 20, 3).when(F.col("value") >= 5, 2).when(F.col("value") < 5, 1)
+    n = summaries.by_tier(_read(spark, d, "events").select(F.col("user_id").alias("path"), tier.alias("tier")), F.col("path") % 7 == 0)
+    return n.select("exact", "likely", "possible", "files", F.round(F.col("tests") / F.col("n"), 6).alias("test_share"))
+
+
+@_query("""WITH r AS (SELECT *, row_number() OVER (ORDER BY value DESC, event_id) AS p FROM events)
+SELECT user_id, count(*) AS n FROM r WHERE p > 10 GROUP BY user_id ORDER BY n DESC, user_id LIMIT 3""")
+def files_beyond_limit(spark, d):
+    rows = _read(spark, d, "events").withColumnRenamed("user_id", "path")
+    return summaries.files_beyond(rows, ["event_id"], [F.desc("value"), "event_id"], 10, 3).withColumnRenamed("path", "user_id")
 
 
 @_query("""WITH r AS (SELECT *, row_number() OVER (ORDER BY value DESC, event_id) AS p FROM events)
@@ -485,17 +531,39 @@ def own_text(spark, d):
 
 @_query("SELECT DISTINCT o_orderkey FROM (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < 0 UNION ALL SELECT o_orderkey FROM orders JOIN customer ON o_orderkey = c_custkey WHERE c_acctbal < 0 AND o_orderstatus = 'F')")
 def dangling_imports(spark, d):
-    orders, gone = _read(spark, d, "orders"), _read(spark, d, "customer").where("c_acctbal < 0").select("c_custkey")
-    by_name = orders.join(gone, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey")
-    by_module = orders.where("o_orderstatus = 'F'").join(gone, F.col("o_orderkey") == F.col("c_custkey")).select("o_orderkey")
-    return by_name.unionByName(by_module).distinct()
+    gone = _read(spark, d, "customer").where("c_acctbal < 0").select(F.lit("python").alias("language"), F.concat(F.lit("k."), F.col("c_custkey").cast("string")).alias("qualified_name"))
+    orders = _read(spark, d, "orders").withColumns({"path": F.col("o_orderkey"), "language": F.lit("python"), "line": F.lit(1)})
+    name = F.col("o_custkey").cast("string")
+    by_name = orders.withColumns({"ordinal": F.lit(0), "module": F.lit("k"), "name": name, "is_static": F.lit(False)})
+    static = orders.where("o_orderstatus = 'F'").withColumns({"ordinal": F.lit(1), "module": F.concat(F.lit("k."), F.col("o_orderkey").cast("string")), "name": F.lit(None).cast("string"), "is_static": F.lit(True)})
+    return summaries.naming_imports(gone, by_name.unionByName(static)).select(F.col("i_path").alias("o_orderkey")).distinct()
 
 
 @_query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5) AND user_id IN (SELECT s_suppkey FROM supplier)")
 def outside_semi_anti(spark, d):
-    changed = _read(spark, d, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("user_id"))
-    touched = _read(spark, d, "supplier").select(F.col("s_suppkey").alias("user_id"))
-    return _read(spark, d, "events").join(changed, "user_id", "left_anti").join(touched, "user_id", "left_semi").select("event_id", "user_id")
+    changed = _read(spark, d, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("path"))
+    touched = _read(spark, d, "supplier").select(F.col("s_suppkey").alias("dst"))
+    imports = _read(spark, d, "events").withColumns({"path": F.col("user_id"), "dst": F.col("user_id")})
+    return summaries.importers_outside(imports, touched, changed).select("event_id", "user_id")
+
+
+@_query("""SELECT user_id, event_type, count(*) FILTER (value >= 5 AND (NOT inside OR event_type = 'error')) AS strong, count(*) FILTER (value < 5) AS weak
+FROM (SELECT *, user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5) AS inside FROM events) GROUP BY user_id, event_type""")
+def callers_that_notice(spark, d):
+    changed = _read(spark, d, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("user_id"), F.lit(True).alias("inside"))
+    hits = _read(spark, d, "events").join(changed, "user_id", "left").fillna({"inside": False})
+    tier = F.when(F.col("value") >= 20, 3).when(F.col("value") >= 5, 2).otherwise(1)
+    return summaries.notice(hits.withColumns({"tier": tier, "change": F.when(F.col("event_type") == "error", "removed").otherwise("body")}), ["user_id", "event_type"])
+
+
+@_query("""WITH c AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'removed' WHEN 'O' THEN 'signature' ELSE 'body' END AS change, o_orderpriority FROM orders)
+SELECT o_orderkey, change, row_number() OVER (ORDER BY CASE change WHEN 'removed' THEN 0 WHEN 'signature' THEN 1 ELSE 2 END, o_orderkey) <= 200 AS looked_up FROM c WHERE o_orderpriority NOT LIKE '1%'""")
+def lookup_budget(spark, d):
+    change = F.when(F.col("o_orderstatus") == "F", "removed").when(F.col("o_orderstatus") == "O", "signature").otherwise("body")
+    kind = F.when(F.startswith("o_orderpriority", F.lit("1")), "field").otherwise("method")
+    first, beyond = summaries.within_lookups(_read(spark, d, "orders").select("o_orderkey", change.alias("change"), kind.alias("kind")), ["o_orderkey"], 200)
+    flag = lambda rows, x: rows.select("o_orderkey", "change", F.lit(x).alias("looked_up"))
+    return flag(first, True).union(flag(beyond, False))
 
 
 @_query(f"""WITH {_PAIRS}, c AS (SELECT qn, min(change) AS change, count(*) AS weak, count(*) FILTER (ob = 'O') AS strong FROM pairs WHERE change IS NOT NULL GROUP BY qn)
@@ -511,7 +579,7 @@ def best_of_union(spark, d):
     e = _read(spark, d, "events")
     a = e.where("value > 10").select("event_id", F.lit(2).alias("tier"))
     b = e.where("value < 20").select("event_id", F.when(F.col("event_type") == "click", 3).otherwise(1).alias("tier"))
-    return a.unionByName(b).groupBy("event_id").agg(F.max("tier").alias("tier"))
+    return summaries.best_of_each(a.unionByName(b), ["event_id"])
 
 
 @_query("SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS repeat FROM events")

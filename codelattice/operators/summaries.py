@@ -94,4 +94,4 @@ def within_lookups(changes: DataFrame, order: list, most: int) -> tuple[DataFram
     asked = changes.where("change <> 'added' and kind <> 'field'")
     rank = F.when(F.col("change") == "removed", 0).when(F.col("change") == "signature", 1).otherwise(2)
     first = asked.orderBy(rank, *order).limit(most)
-    return first, asked.join(first.select(*order), order, "left_anti")
+    return first, asked.join(first.select(*order), order, "left_anti").select(*changes.columns)

@@ -242,6 +242,7 @@ def test_impact_counts_imports_of_removed_symbols(small):
     small.refresh()
     impact = small.diff_impact("HEAD~1", "HEAD")
     assert "[removed] p.b.Gone: 0 strong, 0 weak; still imported 1 times (p/a.py:2)" in impact
+    assert "files outside the diff that import a touched module: 2 (0 tests): p/a.py, p/c.py" in impact
     assert "[removed] p.b.Alone: 0 strong, 0 weak\n" in impact + "\n" and impact.index("p.b.Gone") < impact.index("p.b.Alone")
 
 
@@ -252,3 +253,36 @@ def test_cycles_of_a_module_and_bounded_word_hits(small):
     found = small.search_symbols("thing")
     assert found.startswith("200+ symbols match thing\n") and "of 200+ not listed" in found and "lists them all" not in found
     assert small.search_symbols("Gone").startswith("1 symbols match Gone\n")
+
+
+def test_close_scopes_branches_and_the_bound_on_lookups(small, monkeypatch):
+    from codelattice import api
+
+    write = lambda text: open(f"{small.root}/p/shopping.py", "w").write(text)  # noqa: E731, SIM115
+    write("class Cart:\n    total = 1\n    def add(self): pass\ndef pay(): pass\nCart().add()\n")
+    git(small.root, "add", "-A")
+    git(small.root, "commit", "-qm", "two")
+    git(small.root, "branch", "release-1")
+    git(small.root, "branch", "zebra")
+    write("class Cart:\n    total = 2\n    def add(self, n): pass\n")
+    git(small.root, "commit", "-qam", "three")
+    small.refresh()
+    assert small.search_symbols("x", path="p/shoping.py") == "nothing is indexed under p/shoping.py; similar names: shopping"
+    assert "branches: release-1, " in small.diff_impact("relaese-1") and "zebra" in small.diff_impact("relaese-1")
+    assert small.diff_impact("HEAD", "--all").startswith("not a commit")
+    impact = small.diff_impact("release-1", "HEAD")
+    assert "[removed] p.shopping.pay: 0 strong, 0 weak" in impact and "callers are looked up" not in impact
+    monkeypatch.setattr(api, "LOOKUPS", 1)
+    impact = small.diff_impact("release-1", "HEAD")
+    assert "callers are looked up for 1 changed symbols, not for 2 others" in impact
+    assert "[removed] p.shopping.pay: 0 strong" in impact and "[signature] p.shopping.Cart.add: callers not looked up" in impact
+
+
+def test_labels_of_cycles():
+    from codelattice.api import cycle_lines
+
+    row = lambda loop, size: {"loop": loop, "size": size}
+    long = [f"module_{i:03}" for i in range(60)]
+    assert cycle_lines([row(["a", "b", "a"], 2), row(["a", "b", "a"], 3)]) == ["cycle: a -> b -> a", "cycle among 3 modules, e.g. a -> b -> a"]
+    text = cycle_lines([row([*long, long[0]], 60)])[0]
+    assert text.startswith("cycle among 60 modules, e.g. module_000 -> ") and text.endswith("…")

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from codelattice.functions import text as X
-from codelattice.operators import graph, history, ranking, search, versions
+from codelattice.operators import graph, history, ranking, search, summaries, versions
 
 
 def column(spark, expr, values, kind="string"):
@@ -180,3 +180,49 @@ def test_a_budget_without_groups_needs_no_single_task(spark):
     assert sorted((r["k"], r["used"]) for r in got.collect()) == sorted(want)
     assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
     assert ranking.prefix_within(df.limit(0), "text", ["k"], 10).count() == 0
+
+
+def edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_close_names_against_brute_force(spark):
+    rng = random.Random(3)
+    names = sorted({"".join(rng.choice("abé") for _ in range(rng.randrange(0, 7))) for _ in range(250)})
+    words, known = names[::3], names[1::2]
+    asked = spark.createDataFrame([(w,) for w in [*words, *words[:5], None]], "word string")
+    held = spark.createDataFrame([(n, 1) for n in [*known, *known[:5], None]], "name string, word int")
+    for most in (0, 1, 2):
+        want = {(w, n, edits(w, n)) for w in words for n in known if edits(w, n) <= most}
+        got = [tuple(r) for r in search.close_names(asked, held, most).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    first = {}
+    for r in search.closest(asked, held, 2).collect():
+        first.setdefault(r["word"], []).append((r["place"], r["distance"], r["name"]))
+    for w in words:
+        best = sorted((edits(w, n), n) for n in known if edits(w, n) <= 2)[:2]
+        assert [x[1:] for x in sorted(first.get(w, []))] == best
+    assert search.close_names(asked.limit(0), held).count() == 0
+
+
+def test_lookups_go_by_kind_of_change(spark):
+    rows = [("body", "method", 1), ("removed", "class", 9), ("signature", "method", 5), ("added", "method", 0), ("removed", "field", 2), ("body", "function", 0), ("removed", "method", 9)]
+    df = spark.createDataFrame(rows, "change string, kind string, line int")
+    first, beyond = summaries.within_lookups(df, ["line", "kind", "change"], 3)
+    assert {tuple(r) for r in first.collect()} == {("removed", "class", 9), ("removed", "method", 9), ("signature", "method", 5)}
+    assert {tuple(r) for r in beyond.collect()} == {("body", "function", 0), ("body", "method", 1)}
+
+
+def test_naming_imports_count_once(spark):
+    gone = spark.createDataFrame([("java", "a.B.c", "a/B.java"), ("python", "a.B.c", "x.py")], "language string, qualified_name string, path string")
+    imports = spark.createDataFrame(
+        [("p.java", "java", 0, 1, "a.B", "c", True), ("p.java", "java", 1, 2, "a.B.c", "d", True), ("p.java", "java", 2, 3, "a.B.c", None, False), ("q.py", "python", 0, 1, "a.B", "c", False), ("q.py", "python", 1, 1, "a.B", None, False)],
+        "path string, language string, ordinal int, line int, module string, name string, is_static boolean",
+    )
+    got = summaries.naming_imports(gone, imports).collect()
+    assert sorted((r["path"], r["i_path"], r["i_ordinal"]) for r in got) == [("a/B.java", "p.java", 0), ("a/B.java", "p.java", 1), ("x.py", "q.py", 0)]

@@ -54,13 +54,16 @@ def _mask(t: str) -> str:
     return f"array_to_string(list_transform(list_filter(range(1, len({t}) + 1), lambda i: {t}[i].role = 'assistant'), lambda i: CAST({start} AS VARCHAR) || ':' || CAST({end} AS VARCHAR)), ' ')"
 
 
-PREFERENCES = f"""WITH c AS (SELECT conv_id, list(struct_pack(role := replace(coalesce(role, 'unknown'), '<|', '< |'), text := replace(coalesce(text, ''), '<|', '< |')) ORDER BY turn, replace(coalesce(role, 'unknown'), '<|', '< |'), replace(coalesce(text, ''), '<|', '< |')) AS t FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id),
+_TEXT = r"regexp_replace({}, '<(\\*)\|', '<\\\1|', 'g')"
+_ROLE = _TEXT.format(r"replace(replace(coalesce(role, 'unknown'), '\', '\\'), chr(10), '\n')")
+_SAID = _TEXT.format("coalesce(text, '')")
+PREFERENCES = f"""WITH c AS (SELECT conv_id, list(struct_pack(role := {_ROLE}, text := {_SAID}) ORDER BY turn, {_ROLE}, {_SAID}) AS t FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id),
 l AS (SELECT *, list_max(list_filter(range(1, len(t) + 1), lambda i: t[i].role = 'assistant')) AS last FROM c),
 p AS (SELECT a.conv_id, a.t AS a, list_concat(list_slice(a.t, 1, coalesce(a.last - 1, len(a.t))), CASE WHEN z.last IS NULL THEN [] ELSE [z.t[z.last]] END) AS b FROM l a LEFT JOIN l z ON z.conv_id = xor(a.conv_id, 1)),
 n AS (SELECT *, coalesce(list_filter(range(1, greatest(len(a), len(b)) + 1), lambda i: a[i] IS DISTINCT FROM b[i])[1] - 1, len(a)) AS k FROM p),
 q AS (SELECT conv_id, k, list_slice(a, 1, k) AS h, list_slice(a, k + 1, len(a)) AS a, list_slice(b, k + 1, len(b)) AS b FROM n)
 SELECT conv_id AS pair_id, CAST(k AS BIGINT) AS n_common, coalesce({_RENDER.format("h")}, '') AS prompt, coalesce({_RENDER.format("a")}, '') AS chosen, coalesce({_RENDER.format("b")}, '') AS rejected,
-  coalesce({_mask("a")}, '') AS chosen_mask, coalesce({_mask("b")}, '') AS rejected_mask FROM q"""
+  coalesce({_mask("a")}, '') AS chosen_mask, coalesce({_mask("b")}, '') AS rejected_mask, coalesce(len(a), 0) > 0 AND coalesce(len(b), 0) > 0 AS contrast FROM q"""
 
 _H = "('0x' || substr(sha256('42:' || CAST(doc_id AS VARCHAR)), {}, 8))::BIGINT"
 INFILLING = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+') AS u,

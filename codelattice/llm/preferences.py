@@ -10,12 +10,15 @@ conversation as it is, rejected is the same up to its last assistant turn, which
 (id with the lowest bit flipped) replaces. All of it is DataFrame expressions; a conversation is
 gathered by its id and is as long as its own turns.
 
-Marks inside roles and texts can't pass for real ones: each `<|` of theirs is rendered as `< |`.
+Marks inside roles and texts can't pass for real ones: between the `<` and `|` of theirs stands a backslash more than before, and
+line breaks and backslashes of roles are written as `\\n` and `\\\\`. Both can be undone (plain_text(), plain_role()), so different
+turns stay different.
 
 Defined results: a null role is `unknown`, a null text is empty; turns are ordered by turn, role and text,
 so ties have one order; repeated turns stay; a conversation without an assistant turn, or whose
-partner has none, has an empty rejected tail after their common turns; turns without a
-conversation id or a turn number are left out; an empty table gives an empty one.
+partner has none, has an empty rejected tail after their common turns, and no contrast (`contrast` is false where a side is
+empty, which is so for equal sides too: there is nothing to prefer); turns without a conversation id
+or a turn number are left out; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,16 +26,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: How every mark begins, and what stands for it inside roles and texts.
-MARK, NO_MARK = "<|", "< |"
+#: How marks begin, with any number of backslashes inside; what is written for them; and back.
+MARK, WRITTEN = r"<(\\*)\|", r"<\\$1|"
+OF_WRITTEN, PLAIN = r"<\\(\\*)\|", r"<$1|"
 OPEN, MIDDLE, CLOSE = "<|turn|>", "\n", "<|end|>\n"
 TRAINED = "assistant"
 
 
+def written_text(text: Column) -> Column:
+    """A text without marks of its own."""
+    return F.regexp_replace(text, MARK, WRITTEN)
+
+
+def written_role(role: Column) -> Column:
+    """A role in one line, without marks of its own."""
+    flat = F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    return written_text(flat)
+
+
+def plain_text(written: Column) -> Column:
+    """The text that written_text() was given."""
+    return F.regexp_replace(written, OF_WRITTEN, PLAIN)
+
+
+def plain_role(written: Column) -> Column:
+    """The role that written_role() was given."""
+    pairs = F.split(plain_text(written), r"\\\\", -1)  # at pairs of backslashes, from the left
+    return F.array_join(F.transform(pairs, lambda x: F.replace(x, F.lit("\\n"), F.lit("\n"))), "\\")
+
+
 def conversations(turns: DataFrame) -> DataFrame:
-    """(conv_id, turns): an array of (role, text) in order, from (conv_id, turn, role, text)."""
-    plain = lambda c, other: F.replace(F.coalesce(c, F.lit(other)), F.lit(MARK), F.lit(NO_MARK)).alias(c)
-    turn = F.struct("turn", plain("role", "unknown"), plain("text", ""))
+    """(conv_id, turns): an array of (role, text) in order, from (conv_id, turn, role, text), both as they are written."""
+    turn = F.struct("turn", written_role(F.coalesce("role", F.lit("unknown"))).alias("role"), written_text(F.coalesce("text", F.lit(""))).alias("text"))
     rows = turns.where("conv_id is not null and turn is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
     return rows.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
@@ -74,7 +99,7 @@ def _mask(turns: Column) -> Column:
 
 
 def format_preferences(pairs: DataFrame) -> DataFrame:
-    """(pair_id, n_common, prompt, chosen, rejected, chosen_mask, rejected_mask) of (pair_id, chosen, rejected)."""
+    """(pair_id, n_common, prompt, chosen, rejected, chosen_mask, rejected_mask, contrast) of (pair_id, chosen, rejected)."""
     rows = pairs.select("pair_id", F.col("chosen").alias("a"), F.col("rejected").alias("b")).withColumn("n", _common(F.col("a"), F.col("b")))
     tail = lambda c: F.slice(c, F.col("n") + 1, F.greatest(F.size(c) - F.col("n"), F.lit(0)))
     rows = rows.select("pair_id", "n", F.slice("a", F.lit(1), F.col("n")).alias("head"), tail("a").alias("a"), tail("b").alias("b"))
@@ -86,4 +111,5 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
         _rendered(F.col("b")).alias("rejected"),
         _mask(F.col("a")).alias("chosen_mask"),
         _mask(F.col("b")).alias("rejected_mask"),
+        ((F.size("a") > 0) & (F.size("b") > 0)).alias("contrast"),
     )

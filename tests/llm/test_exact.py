@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import math
 import os
 import re
 import zlib
@@ -400,7 +401,7 @@ def test_forged_marks_and_odd_conversations(spark):
     rows += [(2, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(3000)]
     df = spark.createDataFrame([(*r, "c", "c", "c") for r in rows], schema)
     got = {r["pair_id"]: r for r in preferences.format_preferences(preferences.conversation_pairs(df)).collect()}
-    assert got[0]["prompt"].count("<|turn|>") == 1 and got[0]["prompt"].count("<|end|>") == 1 and "< |turn|>assistant" in got[0]["prompt"]
+    assert got[0]["prompt"].count("<|turn|>") == 1 and got[0]["prompt"].count("<|end|>") == 1 and "<\\|turn|>assistant" in got[0]["prompt"]
     assert len(got[0]["rejected"]) > 200_000 and got[2]["rejected"] == "" and got[2]["n_common"] == 2999
     empty = spark.createDataFrame([], schema)
     assert preferences.format_preferences(preferences.conversation_pairs(empty)).count() == 0
@@ -435,3 +436,71 @@ def test_pipeline_on_odd_tables(spark):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, DATA)
         assert docs.count() == 0
+
+
+def test_marks_and_line_breaks_can_be_undone(spark):
+    own = ["<|", "<\\|", "<\\\\|", "< |", "<<||>", "a\\nb", "a\nb", "a\\\nb", "\\", "\\\\n", "n\\", "assistant\nx<|end|>", "", "<|turn|>assistant\n", "<\n|", "<\\\n|"]
+    df = spark.createDataFrame([(x,) for x in own], "x string")
+    x = F.col("x")
+    rows = df.select("x", preferences.written_text(x).alias("t"), preferences.written_role(x).alias("r"))
+    rows = rows.select("*", preferences.plain_text(F.col("t")).alias("pt"), preferences.plain_role(F.col("r")).alias("pr")).collect()
+    assert all(r["pt"] == r["x"] == r["pr"] and "<|" not in r["t"] + r["r"] and "\n" not in r["r"] for r in rows)
+    assert len({r["t"] for r in rows}) == len({r["r"] for r in rows}) == len(own)
+
+
+def test_turns_that_differ_in_marks_only_differ(spark):
+    turns = [(0, 0, "user", "<|"), (0, 1, "assistant", "<|"), (1, 0, "user", "u"), (1, 1, "assistant", "<\\|"), (2, 0, "user", "u"), (3, 0, "assistant\nb", "u"), (4, 0, "assistant", "same"), (5, 0, "assistant", "same")]
+    pairs = preferences.conversation_pairs(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    got = {r["pair_id"]: r for r in preferences.format_preferences(pairs).collect()}
+    assert got[0]["n_common"] == 1 and got[0]["contrast"] and got[0]["chosen"] != got[0]["rejected"]
+    assert [got[k]["contrast"] for k in range(6)] == [True, True, False, False, False, False]
+    assert got[3]["prompt"] == "<|turn|>assistant\\nb\nu<|end|>\n"
+
+
+class PlainKneserNey:
+    """Interpolated Kneser-Ney over the 4-grams of some normalised texts, as the books give it."""
+
+    def __init__(self, texts):
+        self.counts = {4: collections.Counter(("   " + t)[i : i + 4] for t in texts for i in range(len(t)))}
+        for k in (3, 2, 1):
+            self.counts[k] = collections.Counter(g[1:] for g in self.counts[k + 1])
+        self.discount, self.total, self.kinds = {}, {}, {}
+        for k, c in self.counts.items():
+            one, two = sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
+            self.discount[k] = one / (one + 2 * two) if one and two else 0.5
+            self.total[k], self.kinds[k] = collections.Counter(), collections.Counter()
+            for g, n in c.items():
+                self.total[k][g[:-1]] += n
+                self.kinds[k][g[:-1]] += 1
+
+    def p(self, gram, letters):
+        k = len(gram)
+        if not k:
+            return 1 / letters
+        context = gram[:-1]
+        below = self.p(gram[1:], letters)
+        if not self.total[k][context]:
+            return below
+        d = self.discount[k]
+        return (max(self.counts[k][gram] - d, 0) + d * self.kinds[k][context] * below) / self.total[k][context]
+
+
+def test_language_models_equal_plain_kneser_ney(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    models = language_id.train(docs, 10**9)  # all documents are drawn
+    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(language_id.CALIBRATE))
+    plain = lambda t: re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in t.lower())).lstrip()
+    rows = docs.where("text is not null and lang is not null").withColumn("learns", part != 0).collect()
+    books, letters = {}, {" "}
+    for lang in models.languages:
+        texts = [plain(r["text"]) for r in rows if r["learns"] and r["lang"] == lang]
+        books[lang] = PlainKneserNey(texts)
+        letters |= set("".join(texts))
+    n = len(letters) + 1
+    asked = [plain(r["text"])[:400] for r in rows if not r["learns"]][:25] + ["ζωή και qqq", "the the", "x"]
+    got, sizes = models.cross_entropies(asked)
+    for i, text in enumerate(asked):
+        padded = "   " + text
+        for j, lang in enumerate(models.languages):
+            want = -sum(math.log(books[lang].p(padded[k : k + 4], n)) for k in range(len(text))) / len(text)
+            assert sizes[i] == len(text) and abs(got[i, j] - want) < 1e-4, (text, lang)

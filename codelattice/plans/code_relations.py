@@ -180,3 +180,68 @@ def resolve_java(spark, d):
         receiver=f"case when {new} then null else element_at(array(null, 'this', 'super', {typed}, 'x'), int(o_orderkey % 5) + 1) end", arg_count="o_orderkey % 3", line="1", col="1",
     )
     return _answer(Resolver({"files": files, "symbols": _union(classes, makers, own), "imports": imports, "refs": refs}).resolve())
+
+
+# --- nested functions, classes as receivers, constructors, records and the ways to name a type ---------------------
+
+
+@_query("""WITH c AS (SELECT 'nest/n' || c_nationkey || '.py' AS path, 'nest.n' || c_nationkey || '.' AS home, c_custkey AS c FROM customer)
+SELECT path, c * 10 AS ref, home || 'outer' || c || '.helper' AS qualified_name, 'function' AS c_kind, 3 AS tier FROM c UNION ALL SELECT path, c * 10 + 1, home || 'K' || c || '.go', 'method', 3 FROM c
+UNION ALL SELECT path, c * 10 + 2, home || 'K' || c || '.go', 'method', 2 FROM c""")
+def resolve_python_nested(spark, d):
+    """Each customer: a function with a helper inside, a class with a method, and a class derived from it; a helper called from outside has no candidate."""
+    rows = _read(spark, d, "customer").select("c_custkey", "c_nationkey")
+    path, home, c = "concat('nest/n', c_nationkey, '.py')", "concat('nest.n', c_nationkey)", "c_custkey * 10"
+    one = lambda place, kind, name, qn, **more: _relation(rows, "symbols", path=path, ordinal=f"{c} + {place}", kind=f"'{kind}'", name=name, qualified_name=f"concat({home}, '.', {qn})", **more)
+    outer, k = "concat('outer', c_custkey)", "concat('K', c_custkey)"
+    symbols = _union(
+        one(0, "function", outer, outer), one(1, "function", "'helper'", f"concat({outer}, '.helper')", parent_ordinal=c), one(2, "class", k, k),
+        one(3, "method", "'go'", f"concat({k}, '.go')", parent_ordinal=f"{c} + 2"), one(4, "class", "concat('D', c_custkey)", "concat('D', c_custkey)", bases=f"array({k})"),
+    )
+    call = lambda place, name, **more: _relation(rows, "refs", path=path, ordinal=f"{c} + {place}", kind="'call'", name=name, arg_count="0", line="1", col="1", **more)
+    refs = _union(call(0, "'helper'", enclosing_ordinal=c), call(1, "'go'", receiver=k), call(2, "'go'", receiver="concat('D', c_custkey)"), call(3, "'helper'"))
+    files = _relation(_read(spark, d, "nation"), "files", path="concat('nest/n', n_nationkey, '.py')", language="'python'", module="concat('nest.n', n_nationkey)")
+    return _answer(Resolver({"files": files, "symbols": symbols, "imports": _relation(rows.limit(0), "imports"), "refs": refs}).resolve())
+
+
+@_query("""WITH s AS (SELECT a.s_suppkey AS s, 'mk/A' || a.s_suppkey || '.java' AS path, 'mk.n' || a.s_nationkey || '.A' || a.s_suppkey AS own, 'mk.n' || b.s_nationkey || '.A' || b.s_suppkey AS base FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey // 2)
+SELECT path, 1 AS ref, own || '.none' AS qualified_name, 'constructor' AS c_kind, 3 AS tier FROM s UNION ALL SELECT path, 2, base || '.some', 'constructor', 3 FROM s""")
+def resolve_java_constructors(spark, d):
+    """A class for each supplier, with the base of half its number: `this()` of one constructor, `super(...)` with the base's number of arguments of the other."""
+    suppliers = _read(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    base = suppliers.select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").alias("bk"))
+    path, home, name = "concat('mk/A', s_suppkey, '.java')", "concat('mk.n', s_nationkey, '.A', s_suppkey)", "concat('A', s_suppkey)"
+    files = _relation(suppliers, "files", path=path, language="'java'", module="concat('mk.n', s_nationkey)")
+    maker = lambda ordinal, last, params: _relation(suppliers, "symbols", path=path, ordinal=ordinal, parent_ordinal="0", kind="'constructor'", name=name, qualified_name=f"concat({home}, '.{last}')", param_count=params)
+    classes = _relation(suppliers, "symbols", path=path, ordinal="0", kind="'class'", name=name, qualified_name=home, bases="array(concat('A', s_suppkey div 2))")
+    imports = _relation(suppliers.join(base, F.expr("b = s_suppkey div 2 and b <> s_suppkey")), "imports", path=path, ordinal="0", module="concat('mk.n', bk)", name="concat('A', b)", line="1")
+    call = lambda ordinal, word, inside, args: _relation(suppliers, "refs", path=path, ordinal=ordinal, enclosing_ordinal=inside, kind="'constructor_call'", name=f"'{word}'", arg_count=args, line="1", col="1")
+    refs = _union(call("1", "this", "2", "0"), call("2", "super", "1", "1 + s_suppkey div 2 % 2"))
+    symbols = _union(classes, maker("1", "none", "0"), maker("2", "some", "1 + s_suppkey % 2"))
+    return _answer(Resolver({"files": files, "symbols": symbols, "imports": imports, "refs": refs}).resolve())
+
+
+@_query("""SELECT 'use/C' || c_custkey || '.java' AS path, c_custkey AS ref, 'rec.n' || s_nationkey || '.R' || s_suppkey || CASE c_custkey % 5 WHEN 4 THEN '.size' ELSE '.make' END AS qualified_name,
+  CASE c_custkey % 5 WHEN 4 THEN 'field' ELSE 'method' END AS c_kind, CASE c_custkey % 5 WHEN 4 THEN 2 ELSE 3 END AS tier FROM customer JOIN supplier ON s_suppkey = c_custkey % 10""")
+def resolve_java_names(spark, d):
+    """A record for each supplier and a call for each customer: by a static import of a name or of all, a type of an imported package, a type written in full, and a record's accessor."""
+    suppliers = _read(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    calls = _read(spark, d, "customer").select("c_custkey").join(suppliers, F.expr("s_suppkey = c_custkey % 10"))
+    record, package, use = "concat('R', s_suppkey)", "concat('rec.n', s_nationkey)", "concat('use/C', c_custkey, '.java')"
+    home, own = f"concat({package}, '.', {record})", "concat('rec/R', s_suppkey, '.java')"
+    files = _union(_relation(suppliers, "files", path=own, language="'java'", module=package), _relation(calls, "files", path=use, language="'java'", module="'use'"))
+    member = lambda ordinal, kind, name, signature, params: _relation(suppliers, "symbols", path=own, ordinal=ordinal, parent_ordinal="0", kind=f"'{kind}'", name=f"'{name}'", qualified_name=f"concat({home}, '.{name}')", signature=f"'{signature}'", param_count=params)
+    symbols = _union(
+        _relation(suppliers, "symbols", path=own, ordinal="0", kind="'record'", name=record, qualified_name=home), member("1", "method", "make", "public static void make()", "0"), member("2", "field", "size", "int size", "null"),
+        _relation(calls, "symbols", path=use, ordinal="0", kind="'class'", name="concat('C', c_custkey)", qualified_name="concat('use.C', c_custkey)"),
+    )
+    way = "int(c_custkey % 5) + 1"
+    imports = _relation(
+        calls.where("c_custkey % 5 <> 3"), "imports", path=use, ordinal="0", line="1", is_static="c_custkey % 5 < 2",
+        module=f"element_at(array({home}, {home}, {package}, null, {package}), {way})", name=f"element_at(array('make', '*', '*', null, {record}), {way})",
+    )
+    refs = _relation(
+        calls, "refs", path=use, ordinal="c_custkey", enclosing_ordinal="0", kind="'call'", arg_count="0", line="1", col="1", name="if(c_custkey % 5 = 4, 'size', 'make')",
+        receiver=f"element_at(array(null, null, {record}, {home}, 'x'), {way})",
+    )
+    return _answer(Resolver({"files": files, "symbols": symbols, "imports": imports, "refs": refs}).resolve())

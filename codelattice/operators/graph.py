@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 
+#: Edges of a graph whose labels, two for each at most, are broadcast.
+BROADCAST_EDGES = 100_000
+
 
 def edge_weights(imports: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     return imports.where(F.col(src) != F.col(dst)).groupBy(src, dst).agg(F.count("*").alias("n"))
@@ -36,17 +39,35 @@ def import_targets(imports: DataFrame, modules: DataFrame, types: DataFrame) ->
     return rows.withColumn("target", F.coalesce("__a", "__b", "__c")).drop("__full", "__a", "__b", "__c", "__q", "__t")
 
 
-def _extreme_labels(edges: DataFrame, nodes: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, label): the least node from which a path along a -> b leads to node; itself included."""
+def _by(df: DataFrame, edges: int, **names: str) -> DataFrame:
+    """Columns of a table with at most two rows an edge under new names, marked for broadcast if the edges are counted and few."""
+    out = df.select(*[F.col(old).alias(new) for new, old in names.items()])
+    return F.broadcast(out) if edges <= BROADCAST_EDGES else out
+
+
+def _trimmed(edges: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """The edges whose nodes all have an edge in and one out, and how many they are."""
+    while n:
+        ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("end")).select("end.*")
+        inner = ends.groupBy("node").agg(F.max("o").alias("o"), F.max("i").alias("i")).where("o = 1 and i = 1")
+        left = edges.join(_by(inner, n, src="node"), "src", "left_semi").join(_by(inner, n, dst="node"), "dst", "left_semi")
+        edges, was = cut(left.select("src", "dst")), n
+        n = edges.count()
+        if n == was:
+            break
+    return edges, n
+
+
+def _extreme_labels(edges: DataFrame, nodes: DataFrame, n: int, a: str, b: str) -> DataFrame:
+    """(node, label): the least node from which a path along a -> b leads to node; itself included. n: edges at most."""
     labels = nodes.select("node", F.col("node").alias("label"))
     while True:
-        reach = edges.join(labels.withColumnRenamed("node", a), a).groupBy(F.col(b).alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(reach, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
+        told = edges.join(_by(labels, n, **{a: "node", "near": "label"}), a).select(F.col(b).alias("node"), "near", F.lit(None).cast(labels.schema["label"].dataType).alias("was"))
+        step = told.union(labels.select("node", "label", "label")).groupBy("node").agg(F.min("near").alias("near"), F.max("was").alias("was"))
         # what leads to a node's label leads to the node: labels of labels double the length of the paths that are known
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        moved = cut(step.join(jump, "label").select("node", "was", F.least("label", "far").alias("label")))
+        moved = cut(step.join(_by(labels, n, near="node", far="label"), "near").select("node", "was", F.least("near", "far").alias("label")))
         labels = moved.select("node", "label")
-        if not moved.where("label <> was").limit(1).count():
+        if moved.where("label <> was").isEmpty():
             return labels
 
 
@@ -56,26 +77,21 @@ def strong_components(edges: DataFrame) -> DataFrame:
     Nodes without an edge in or out are trimmed again and again; of the rest, every node that is
     reached from and reaches the same least node belongs to that node's component. Found ones leave
     the graph, and so do edges between nodes of different colours, until no edge is left.
+    Labels are broadcast while at most BROADCAST_EDGES edges are left, and shuffled beyond.
     """
     edges = cut(edges.where("src <> dst").select("src", "dst").distinct())
     found, n = None, edges.count()
-    while n:
-        while True:  # trim
-            edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-            edges = cut(edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-            before, n = n, edges.count()
-            if n == before:
-                break
+    while True:
+        edges, n = _trimmed(edges, n)
         if not n:
             break
-        nodes = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
-        ahead = _extreme_labels(edges, nodes, "src", "dst")
-        colour = ahead.withColumnRenamed("label", "colour")
-        inner = cut(edges.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("__x")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("__y")), "dst").where("__x = __y").select("src", "dst"))
-        back = _extreme_labels(inner, nodes, "dst", "src").withColumnRenamed("label", "back")
-        own = cut(colour.join(back, "node").where("back = colour").select("node", F.col("colour").alias("component")))
+        nodes = cut(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+        colour = _extreme_labels(edges, nodes, n, "src", "dst")
+        inner = cut(edges.join(_by(colour, n, src="node", x="label"), "src").join(_by(colour, n, dst="node", y="label"), "dst").where("x = y").select("src", "dst"))
+        back = _extreme_labels(inner, nodes, n, "dst", "src")
+        own = cut(colour.join(_by(back, n, node="node", back="label"), "node").where("back = label").select("node", F.col("label").alias("component")))
         found = own if found is None else found.union(own)
-        edges = cut(inner.join(own.select(F.col("node").alias("src")), "src", "left_anti").join(own.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        edges = cut(inner.join(_by(own, n, src="node"), "src", "left_anti").join(_by(own, n, dst="node"), "dst", "left_anti").select("src", "dst"))
         n = edges.count()
     if found is None:
         found = edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)

@@ -2,8 +2,9 @@
 
 The standard library's parser reads whole files. It gives nothing for a file with a syntax error; in such a
 file, which is flagged, the line at fault is mended (a definition keeps its name, any other statement
-becomes a pass) until the rest can be read, and the calls of mended lines are found by a pattern. A file
-with more than MENDS such lines is scanned line by line, for definitions, imports and calls.
+becomes a pass) until the rest can be read, however many these are, and the calls of mended lines are found by
+a pattern. Statements of the top level that can be read are settled, so each mend reads on from the last of them.
+Only a file in which a mended line is still at fault is scanned line by line, for definitions, imports and calls.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ _DEF = re.compile(r"^(\s*)(?:async\s+)?(def|class)\s+(\w+)\s*(\(.*)?")
 _IMPORT = re.compile(r"^\s*import\s+(.+)$")
 _FROM = re.compile(r"^\s*from\s+(\.*[\w.]*)\s+import\s+\(?(.+?)\)?\s*$")
 _CALL = re.compile(r"(?:([\w.]+)\s*\.\s*)?\b(\w+)\s*\(")
-MENDS = 40
+#: Lines of the top level that do not begin a statement.
+_GOES_ON = re.compile(r"[\s#)\]}]|(?:else|elif|except|finally|case)\b|$")
 _KEYWORDS = frozenset("if elif while for return not and or in is lambda with assert del yield await print except def class import from raise".split())
 
 
@@ -173,20 +175,24 @@ def _type_checking(test: ast.expr) -> bool:
 
 
 def _mended(source: str) -> tuple[ast.Module, str, dict[int, str]] | None:
-    """(tree, source with mended lines, what stood in them) of a source with syntax errors; None if it has too many."""
-    lines, was = source.split("\n"), {}
-    for _ in range(MENDS):
+    """(tree, source with mended lines, what stood in them) of a source with syntax errors; None if mending a line twice leaves it at fault."""
+    lines, was, turns = source.split("\n"), {}, {}
+    done, settles = 0, True  # lines before done are whole statements of the top level
+    while True:
         try:
-            return ast.parse("\n".join(lines)), "\n".join(lines), was
+            tree = ast.parse("\n".join(lines[done:]))
+            if not done:
+                return tree, "\n".join(lines), was
+            done, settles = 0, False  # statements that can be read one by one are read together, or mended as one
         except SyntaxError as e:
-            at = min(max(e.lineno or 1, 1), len(lines))
+            at = min(max((e.lineno or 1) + done, 1), len(lines))
             while at > 1 and (not lines[at - 1].strip() or at in was):  # an error at the end of a block is that of a line before
                 at -= 1
             line = lines[at - 1]
             m = _DEF.match(line)
-            if at in was and not (m and line.rstrip().endswith(": pass")):
-                if m is None or line.strip() == "pass":
-                    return None
+            turns[at] = turns.get(at, 0) + 1
+            if turns[at] > 3 or (at in was and not (m and line.rstrip().endswith(": pass")) and (m is None or line.strip() == "pass")):
+                return None
             indent = line[: len(line) - len(line.lstrip())]
             was.setdefault(at, line)
             if m:
@@ -194,9 +200,23 @@ def _mended(source: str) -> tuple[ast.Module, str, dict[int, str]] | None:
                 lines[at - 1] = head if line != head else f"{head} pass"
             else:
                 lines[at - 1] = f"{indent}if 1:" if line.rstrip().endswith(":") and line != f"{indent}if 1:" else f"{indent}pass"
+            done = 0 if at <= done else _settled(lines, done, at) if settles else done
         except (ValueError, RecursionError, MemoryError):
             return None
-    return None
+
+
+def _settled(lines: list[str], done: int, at: int) -> int:
+    """The place, after done, of the last statement of the top level that begins before line `at`, if what stands before it can be read; else done."""
+    start = at - 2
+    while start > done and _GOES_ON.match(lines[start]):
+        start -= 1
+    try:
+        if start > done:
+            ast.parse("\n".join(lines[done:start]))
+            return start
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        pass
+    return done
 
 
 def _read_mended(source: str, module: str, is_package: bool) -> Found | None:

@@ -110,6 +110,17 @@ class A(Base):
     assert {(r["name"], r["arg_count"]) for r in got["refs"]} >= {("g", 2), ("h", 1), ("k", 2), ("broken", None)}
 
 
+def test_many_syntax_errors_leave_the_rest_whole():
+    source = "class A:\n" + "".join(f"    def f{i}(self, x):\n        print 'x', g{i}(x)\n        return h{i}(x)\n" for i in range(60))
+    source += "".join(f"def top{i}(a):\n    print a\n    k{i}()\n\n" for i in range(60)) + '"""\ntext\ndef no(\n"""\ndef last(a, *b):\n    z(\n        1)\n'
+    got = extract_python(source.encode(), "m", False)
+    by = {s["qualified_name"]: s for s in got["symbols"]}
+    assert got["has_errors"] and set(by) == {"m.A", "m.last"} | {f"m.A.f{i}" for i in range(60)} | {f"m.top{i}" for i in range(60)}
+    assert all((by[f"m.A.f{i}"]["kind"], by[f"m.A.f{i}"]["start_line"], by[f"m.A.f{i}"]["end_line"]) == ("method", 3 * i + 2, 3 * i + 4) for i in range(60))
+    assert (by["m.last"]["param_count"], by["m.last"]["is_varargs"]) == (2, True)
+    assert sorted((r["name"], r["arg_count"] is None) for r in got["refs"]) == sorted([(f"{x}{i}", x == "g") for x in "ghk" for i in range(60)] + [("z", False)])
+
+
 def test_long_headers_are_kept():
     source = "def f(" + ",\n".join(f"a{i}" for i in range(100)) + "):\n    return 1\n"
     assert extract_python(source.encode(), "m", False)["symbols"][0]["signature"].startswith("def f(a0, a1, a2")

@@ -58,9 +58,10 @@ def naive_components(edges):
     return {c for c in out if len(c) > 1}
 
 
-def test_components_and_loops_against_brute_force(spark):
+def test_components_and_loops_against_brute_force(spark, monkeypatch):
     rng = random.Random(7)
-    for n, m in ((6, 9), (9, 12)):
+    for n, m, few in ((6, 9, 100), (9, 12, 0)):  # labels are broadcast, and shuffled
+        monkeypatch.setattr(graph, "BROADCAST_EDGES", few)
         edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
         edges = {(a, b) for a, b in edges if a != b}
         df = spark.createDataFrame(sorted(edges), "src int, dst int")

@@ -8,11 +8,12 @@ is 8 at 0.85 (0.99993, and 0.999997 at 0.9) and 10 at 0.8 (0.99993).
 
 Equal sets become one class first, so that copies never meet each other again. In each table bucket a
 class is compared with the bucket's smallest one. Of the buckets whose other classes are then not yet one
-component, every pair that still lies in two components is compared on full sets, in parts of bounded
-size, so all pairs that share a table are settled, and no bucket has a limit. That last step costs
-comparisons with the square of a group only as far as the group falls into several components; its rows
-are as many as the group has, times the blocks of PART_SHINGLES that it fills. All aggregates combine
-before they shuffle; joins on hot keys are left to adaptive skew splitting.
+component, every pair that still lies in two components and can be a link is compared on full sets, in parts of
+bounded size, so all pairs that share a table are settled, and no bucket has a limit. A group beyond one part
+first loses the rows that share none of their rarest shingles with another component, which rules links out. What then
+still falls into several components costs comparisons with its square, and as many copies of a row as it
+fills blocks of PART_SHINGLES. All aggregates combine before they shuffle; joins on hot keys are left to
+adaptive skew splitting.
 
 In the comparisons with smallest classes, an odd sketch (the parity of the shingles that fall on each of
 ODD_BITS bits) comes before full sets: it differs in no more bits than the sets have shingles of their own,
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
@@ -215,15 +216,47 @@ def _links(part: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
 
+def _may_link(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The nodes of rows (node, label) that share one of their rarest shingles with another label; the others can't have a link to one.
+
+    Two linked sets have at least percent of each in common, so in any order of all shingles the first common one
+    is among the first n - ceil(percent * n / 100) + 1 of both. Rare ones come first here: pages of one template,
+    each with more text of its own than a link allows, share none of these.
+    """
+    each = stored(rows.join(sets.select("node", "n", "set"), "node").select("node", "label", "n", F.explode("set").alias("shingle")), "left-shingles")
+    # written out, so that the joins deal both sides anew and may split a shingle that very many sets share
+    times = stored(each.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1"), "left-times")
+    rarest = Window.partitionBy("node").orderBy(F.coalesce("times", F.lit(1)), "shingle")
+    firsts = each.join(times, "shingle", "left").withColumn("at", F.row_number().over(rarest)).where(100 * (F.col("n") - F.col("at") + 1) >= percent * F.col("n"))
+    firsts = stored(firsts.select("node", "label", "shingle"), "left-firsts")
+    mixed = stored(firsts.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle"), "left-mixed")
+    nodes = cut(firsts.join(mixed, "shingle", "left_semi").select("node").distinct())
+    drop_stored(each, times, firsts, mixed)
+    return nodes
+
+
+def _left_sizes(wide: DataFrame) -> DataFrame:
+    """(group, value, blocks) of the group values with rows of several labels."""
+    sizes = wide.groupBy("group", "value").agg(F.sum("n").alias("all"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return stored(sizes.where("lo <> hi").select("group", "value", F.ceil(F.col("all") / PART_SHINGLES).alias("blocks")), "group-sizes")
+
+
 def _links_left(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between labels of rows (node, n, label, sig): every pair of rows that shares a table is compared.
+    """Links (a, b) between labels of rows (node, n, label, sig): every pair of rows that shares a table and can be a link is compared.
 
     Such a pair shares a group of the first collection. The rows of each group value are dealt into blocks,
-    and each two blocks form a part; a row has as many copies as its group value has blocks, mostly one.
+    and each two blocks form a part; a row has as many copies as its group value has blocks, mostly one. Group
+    values of several blocks first lose the rows that can't have a link at all (_may_link), before any copy is made.
     """
     wide = stored(rows.select("node", "n", "label", "sig", F.posexplode(F.slice("sig", 1, F.size("sig") / 2)).alias("group", "value")), "groups-left")
-    sizes = wide.groupBy("group", "value").agg(F.sum("n").alias("all"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    sizes = stored(sizes.where("lo <> hi").select("group", "value", F.ceil(F.col("all") / PART_SHINGLES).alias("blocks")), "group-sizes")
+    sizes = _left_sizes(wide)
+    large = sizes.where("blocks > 1")
+    if not large.isEmpty():
+        may = _may_link(cut(wide.join(large, ["group", "value"]).select("node", "label").distinct()), sets, percent)
+        left = wide.join(sizes, ["group", "value"]).join(may.withColumn("may", F.lit(True)), "node", "left").where("blocks = 1 or may")
+        left = stored(left.select(*wide.columns), "groups-left")
+        drop_stored(wide, sizes)
+        wide, sizes = left, _left_sizes(left)
     dealt = wide.join(sizes, ["group", "value"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     dealt = dealt.select("group", "value", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "label", "sig")

@@ -294,6 +294,26 @@ def test_near_duplicates_in_a_large_group_of_spread_copies(spark, monkeypatch, s
         assert {r["doc_id"]: r["component_id"] for r in near_duplicates(df).collect()} == want
 
 
+def test_near_duplicate_pages_of_one_template(spark, monkeypatch):
+    """Pages that share most words but no link meet in many tables; beyond one part, only those that can have a link are copied."""
+    from codelattice.llm import minhash
+
+    common, rows = [f"w{j}" for j in range(240)], []
+    for i in range(300):
+        own = [f"own{i}x{j}" for j in range(90)]
+        rows.append((2 * i, " ".join([*common, *own])))
+        if i % 30 == 0:
+            rows.append((2 * i + 1, " ".join([*common, *own[:-4], "a", "b", "c", "d"])))
+    want = least_of_components(rows, 3, 85)
+    assert sum(i != x for i, x in want.items()) == 10
+    parts, may_link = [], minhash._may_link
+    monkeypatch.setattr(minhash, "PART_SHINGLES", 5_000)
+    monkeypatch.setattr(minhash, "_may_link", lambda *x: parts.append(may_link(*x)) or parts[-1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(df).collect()} == want
+    assert parts and parts[0].count() <= 20
+
+
 def test_near_duplicate_stage_against_brute_force(spark):
     """The pipeline's stage keeps the least of each component at 0.8, and few pairs at 0.8 meet in no table."""
     import corpus_pipeline as pipeline

@@ -1,10 +1,11 @@
 """Call sites to the symbols they may call, each with a tier: 3 exact, 2 likely, 1 possible.
 
-Resolution has two stages. Exact candidates are found by equality: what a call's receiver or bound name stands for, in full, is
-the qualified name, owner or module of the symbol, or both stand in one file. Call sites with an exact candidate are done; only
-the others are joined to all symbols of their name, which adaptive execution splits where a name is hot, and what
-comes out of that join goes straight into the ranking. One CASE gives the tier in both stages, and of each call site the
-best tier stays, with all its candidates. A null tier excludes a candidate.
+Of each call site the best tier stays, with all its candidates, so tiers are found one after the other, each among the call
+sites without a candidate of the tiers before. Exact and likely candidates are found by equality alone: what a receiver or a
+bound name stands for is the qualified name, owner or module of the symbol; the enclosing types or their bases own it; or the
+file can name its owner. Where that takes the names of a whole file, the shorter of two ways is chosen for each name: from its
+candidates, or from the names (`_met`). Only call sites without any of these meet all symbols of their name, and all of that join
+is result. Rows of call sites that are read again stand in Parquet tables; no list is copied to the call sites of a file.
 """
 
 from __future__ import annotations
@@ -12,17 +13,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import stored
 from ..functions.text import TYPE_KINDS, arity_fits, external_type, is_static, simple_name
 from ..sources.model import LABELS
 from .hierarchy import ancestors, around
-from .ranking import best_tier
 
 PY_CALLABLE = ("function", "method", "class")
 REF = ["path", "ref"]
+SITE = [*REF, "line", "col", "name", "receiver", "enclosing_ordinal"]
+#: What the tiers still ask of a candidate that was found.
+CANDIDATE = ["c_path", "c_ordinal", "c_kind", "c_qualified_name", "c_param_count", "c_is_varargs", "c_owner_kind"]
 _DOTTED = r"^(?U)[\w.]+$"
 
 
+def _way(how: str | Column, key: str | Column) -> Column:
+    """A key of candidates, and how it leads to them."""
+    return F.struct((F.lit(how) if isinstance(how, str) else how).alias("how"), (F.col(key) if isinstance(key, str) else key).alias("key"))
+
+
 class Resolver:
     """Facts of an index, and resolve() over its call sites. tables: files, symbols, imports, refs."""
 
@@ -32,7 +40,7 @@ class Resolver:
         f = self.files.select("path", "language", "module")
         s = tables["symbols"].join(f, "path")
         parents = tables["symbols"].select("path", F.col("ordinal").alias("parent_ordinal"), F.col("kind").alias("owner_kind"), F.col("name").alias("owner_name"), F.col("qualified_name").alias("owner_qn"), F.col("parent_ordinal").alias("owner_parent"))
-        self.symbols = cut(s.join(parents, ["path", "parent_ordinal"], "left"))
+        self.symbols = stored(s.join(parents, ["path", "parent_ordinal"], "left").drop("decorators", "doc", "name_words"), "symbols")
         self.refs = tables["refs"].withColumnRenamed("ordinal", "ref").join(f, "path")
         self.above = self._above(tables["symbols"])
         types = s.where(F.col("kind").isin(*TYPE_KINDS))
@@ -49,19 +57,20 @@ class Resolver:
         closure = ancestors(symbols, ["path"], "parent_ordinal", "ordinal").select("path", "node", "ancestor", "depth")
         own = symbols.select("path", F.col("ordinal").alias("node"), F.col("ordinal").alias("ancestor"), F.lit(0).cast("bigint").alias("depth"))
         kinds = symbols.select("path", F.col("ordinal").alias("ancestor"), *[F.col(c).alias(name) for name, c in known.items()])
-        return cut(closure.union(own).join(kinds, ["path", "ancestor"]))
+        return stored(closure.union(own).join(kinds, ["path", "ancestor"]), "above")
 
     # --- shared facts -----------------------------------------------------------------------
 
     def _enclosing(self, refs: DataFrame) -> DataFrame:
-        """refs with `chain` (all enclosing symbols) and `classes` (enclosing types, innermost first)."""
+        """refs with all enclosing symbols (chain), and of the enclosing types, innermost first, ordinals (ids), qualified names (around) and bases, those of the first one again (own_bases)."""
         is_type = F.col("kind").isin(*TYPE_KINDS)
-        item = F.struct("depth", F.col("ancestor").alias("id"), F.col("a_name").alias("name"), F.col("a_qn").alias("qn"), F.transform("a_bases", simple_name).alias("bases"))
-        near = self.above.groupBy("path", "node").agg(F.collect_set("ancestor").alias("chain"), F.sort_array(F.collect_list(F.when(is_type, item))).alias("classes"))
-        near = near.withColumnRenamed("node", "enclosing_ordinal")
-        empty = F.array().cast(near.schema["classes"].dataType)
-        rows = refs.join(near, ["path", "enclosing_ordinal"], "left")
-        return rows.withColumns({"chain": F.coalesce("chain", F.array().cast("array<int>")), "classes": F.coalesce("classes", empty)})
+        item = F.struct("depth", F.col("ancestor").alias("id"), F.col("a_qn").alias("qn"), F.transform("a_bases", simple_name).alias("bases"))
+        near = self.above.groupBy("path", F.col("node").alias("enclosing_ordinal")).agg(F.collect_set("ancestor").alias("chain"), F.sort_array(F.collect_list(F.when(is_type, item))).alias("__t"))
+        ids, qns = F.transform("__t", lambda c: c["id"]), F.transform("__t", lambda c: c["qn"])
+        bases = F.array_distinct(F.flatten(F.filter(F.transform("__t", lambda c: c["bases"]), lambda x: x.isNotNull())))
+        near = near.select("path", "enclosing_ordinal", "chain", ids.alias("ids"), qns.alias("around"), bases.alias("bases"), F.get("__t", F.lit(0))["bases"].alias("own_bases"))
+        rows = refs.where("enclosing_ordinal is not null").join(near, ["path", "enclosing_ordinal"], "left").unionByName(refs.where("enclosing_ordinal is null"), allowMissingColumns=True)
+        return rows.withColumns({c: F.coalesce(c, F.array().cast(near.schema[c].dataType)) for c in ("chain", "ids", "around", "bases", "own_bases")})
 
     def _named_symbols(self, kinds: tuple[str, ...] | None = None) -> DataFrame:
         """Symbols by (language, want), their name; all columns that the rules ask about start with c_."""
@@ -69,9 +78,26 @@ class Resolver:
         s = self.symbols if kinds is None else self.symbols.where(F.col("kind").isin(*kinds))
         return s.select(F.col("language"), F.col("name").alias("want"), *[F.col(c).alias(f"c_{c}") for c in keep])
 
-    def _candidates(self, refs: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
-        """refs joined to all symbols of the language named `want`."""
-        return refs.join(self._named_symbols(kinds), ["language", "want"])
+    @staticmethod
+    def _met(asks: DataFrame, scopes: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
+        """(on..., name, columns of known): candidates of a name that a scope of the asking place can name.
+
+        asks: (on..., name); scopes: (on..., how, key); known: (name, how, key, ...). Each name is looked up by its candidates
+        or by the scopes of its place, whichever are fewer.
+        """
+        key, columns = ["how", "key"], [c for c in known.columns if c not in ("how", "key")]
+        scopes = stored(scopes.distinct(), "scopes")
+        wide, many = scopes.groupBy(*on).agg(F.count("*").alias("__scopes")), known.groupBy("name").agg(F.count("*").alias("__known"))
+        asks = stored(asks.distinct().join(many, "name").join(wide, on), "asks")
+        by_name = asks.where("__known <= __scopes").join(known, "name").join(scopes, [*on, *key], "left_semi")
+        by_scope = asks.where("__known > __scopes").join(scopes, on).join(known, ["name", *key])
+        return by_name.select(*on, *columns).union(by_scope.select(*on, *columns)).distinct()
+
+    def _not_in(self, rows: DataFrame, *found: DataFrame) -> DataFrame:
+        """rows of call sites that have no candidate in found."""
+        for x in found:
+            rows = rows.join(x.select(*REF).distinct(), REF, "left_anti")
+        return rows
 
     def _type(self, rows: DataFrame, qn: str, language: str, prefix: str) -> DataFrame:
         """rows with prefix_path, _ordinal, _kind, _bases of the type named by column qn."""
@@ -103,76 +129,85 @@ class Resolver:
         return rows.join(got, dotted, "left")
 
     def python(self, refs: DataFrame) -> DataFrame:
-        refs = self._enclosing(refs.where("language = 'python'"))
-        b = cut(self.bindings())
-        refs = refs.join(b.select("path", F.col("local").alias("name"), F.col("target").alias("bound")), ["path", "name"], "left")
-        refs = refs.withColumn("bound", F.when(F.col("receiver").isNull(), F.col("bound")))
-        refs = self.followed(refs, "bound", "bound_to")
-        simple = F.col("receiver").rlike(_DOTTED)
-        head = F.when(simple, F.substring_index("receiver", ".", 1))
-        refs = refs.withColumn("__h", head).join(b.select("path", F.col("local").alias("__h"), F.col("target").alias("__t")), ["path", "__h"], "left")
-        rest = F.substring("receiver", F.length("__h") + 1, F.length("receiver"))
-        refs = refs.withColumn("target", F.when(F.col("__t").isNotNull(), F.concat("__t", rest))).drop("__h", "__t")
-        refs = self.followed(refs, "target", "target_to")
-        refs = self.followed(refs.withColumn("member", F.concat_ws(".", F.when(F.col("target").isNotNull(), F.col("target")), F.when(F.col("target").isNotNull(), F.col("name")))).withColumn("member", F.when(F.col("target").isNotNull(), F.col("member"))), "member", "member_to")
-        refs = self._type(refs, "target_to", "python", "tt")
-        modules = self.files.where("language = 'python'").select(F.col("module").alias("target_to")).distinct().withColumn("target_is_module", F.lit(True))
-        refs = cut(refs.join(modules, "target_to", "left"))
-        names = F.array_distinct(F.filter(F.array("name", F.substring_index("bound_to", ".", -1)), lambda x: x.isNotNull()))
-        refs = refs.withColumn("want", F.explode(names))
-        found = cut(self._out(self._python_tier(self._exact_python(refs)).where("tier = 3")))
-        rest = refs.join(found.select(*REF).distinct(), REF, "left_anti").join(self._named_in(b), "path", "left")
-        return found.unionByName(self._out(self._python_tier(self._candidates(rest, PY_CALLABLE))))
-
-    def _exact_python(self, refs: DataFrame) -> DataFrame:
-        """refs with every candidate that may be exact, by equality: its own name or that of its owner or module, or one of the same file."""
+        refs = refs.where("language = 'python'")
+        b = stored(self.followed(self.bindings(), "target", "to"), "bindings")
         s = self._named_symbols(PY_CALLABLE).where("language = 'python'").drop("language", "want")
-        none = F.lit(None).cast("array<string>")
-        refs = refs.withColumns({"named_here": none, "stars": none})
-        same_name = refs["name"] == s["c_name"]
-        whole = refs.join(s, F.col("bound_to") == F.col("c_qualified_name"))
-        module = refs.join(s, (F.col("target_to") == F.col("c_module")) & same_name)
-        member = refs.join(s, (F.col("member_to") == F.col("c_qualified_name")) & same_name)
-        owner = refs.join(s, (F.col("target_to") == F.col("c_owner_qn")) & same_name)
-        here = refs.join(s, (refs["path"] == s["c_path"]) & (F.col("want") == F.col("c_name")))
-        return whole.unionByName(module).unionByName(member).unionByName(owner).unionByName(here)
-
-    def _named_in(self, bindings: DataFrame) -> DataFrame:
-        """(path, named_here, stars): what the names of a Python file stand for, and the modules that it imports all of; as long as its imports."""
-        targets = self.followed(bindings, "target", "to").groupBy("path").agg(F.collect_set("to").alias("named_here"))
-        star = self.imports.where("name = '*'").groupBy("path").agg(F.collect_set("module").alias("stars"))
-        return targets.join(star, "path", "full_outer")
-
-    def _python_tier(self, rows: DataFrame) -> DataFrame:
-        """rows (refs with candidates, named_here and stars) with their tier."""
-        has = lambda array, x: F.coalesce(F.array_contains(array, x), F.lit(False))
+        inner = F.coalesce(F.col("c_owner_kind").isin("function", "method"), F.lit(False))
+        top, below = s.where("c_parent_ordinal is null"), s.where("c_parent_ordinal is not null")
+        stars = self.imports.where("name = '*'").select("path", F.col("module").alias("c_module")).distinct()
+        bare = self._python_bare(refs.where("receiver is null"), b, top, below.where(inner), stars)
+        return bare.unionByName(self._python_received(refs.where("receiver is not null"), b, top, below.where(~inner), stars))
+
+    def _python_bare(self, refs: DataFrame, b: DataFrame, top: DataFrame, nested: DataFrame, stars: DataFrame) -> DataFrame:
+        """Calls of a name alone: what it is bound to, functions of the functions around it; if it is not bound, what all names of a module bring, and any function at the top of a module."""
+        known = b.join(top.drop("c_name"), b["to"] == top["c_qualified_name"], "left").select("path", F.col("local").alias("name"), "to", F.lit(True).alias("bound"), *CANDIDATE)
+        rows = stored(refs.join(known, ["path", "name"], "left"), "bare")
+        bound = self._out(rows.where("c_path is not null"), 3)
+        inside = self._enclosing(rows.where("enclosing_ordinal is not null").select(*SITE, "to").distinct())
+        inside = inside.withColumn("want", F.explode(F.array_distinct(F.filter(F.array("name", F.substring_index("to", ".", -1)), lambda x: x.isNotNull()))))
+        inside = inside.withColumns({"c_path": F.col("path"), "c_parent_ordinal": F.explode("chain"), "c_name": F.col("want")})
+        inside = stored(self._out(inside.join(nested, ["c_path", "c_parent_ordinal", "c_name"]), 3), "nested")
+        free = rows.where("bound is null").select(*SITE)
+        free = free.where("enclosing_ordinal is null").unionByName(self._not_in(free.where("enclosing_ordinal is not null"), inside))
+        of_name = free["name"] == top["c_name"]
+        starred = stored(self._out(free.join(stars, "path").join(top.withColumnRenamed("c_name", "name"), ["c_module", "name"]), 2), "starred")
+        return bound.unionByName(inside).unionByName(starred).unionByName(self._out(self._not_in(free, starred).join(top, of_name), 1))
+
+    def _python_targets(self, refs: DataFrame, b: DataFrame) -> DataFrame:
+        """(path, receiver, what it stands for, followed; whether that is a type or a module, and the bases of the type) of receivers that begin with a bound name."""
+        asks = refs.select("path", "receiver").where(F.col("receiver").rlike(_DOTTED)).distinct().withColumn("local", F.substring_index("receiver", ".", 1))
+        rest = F.substring("receiver", F.length("local") + 1, F.length("receiver"))
+        rows = asks.join(b, ["path", "local"]).select("path", "receiver", F.concat("target", rest).alias("target"))
+        rows = self._type(self.followed(rows, "target", "target_to"), "target_to", "python", "tt")
+        modules = self.files.where("language = 'python'").select(F.col("module").alias("target_to")).distinct().withColumn("is_module", F.lit(True))
+        return stored(rows.join(modules, "target_to", "left").select("path", "receiver", "target", "target_to", F.col("tt_path").isNotNull().alias("is_type"), "tt_bases", "is_module"), "targets")
+
+    def _members(self, top: DataFrame, methods: DataFrame) -> DataFrame:
+        """(how, key, name, candidate): exact members of a target: of a module or class by its followed name, of anything by its full name, and what a module passes on."""
+        of = lambda rows, how, key: rows.select(F.lit(how).alias("how"), key.alias("key"), F.col("c_name").alias("name"), *CANDIDATE)
+        full = top.where(F.endswith("c_qualified_name", F.concat(F.lit("."), F.col("c_name"))))
+        prefix = F.expr("left(c_qualified_name, length(c_qualified_name) - length(c_name) - 1)")
+        py = self.files.where("language = 'python'").select("path", F.col("module").alias("__m"))
+        again = self.imports.where("name is not null and name <> '*'").join(py, "path").select("__m", F.coalesce("alias", "name").alias("__n"), F.concat_ws(".", "__m", F.coalesce("alias", "name")).alias("__d")).distinct()
+        again = self.followed(again, "__d", "__to").where("__to <> __d")
+        again = again.join(top, (again["__to"] == top["c_qualified_name"]) & (again["__n"] == top["c_name"]))
+        return of(top, "followed", F.col("c_module")).union(of(methods, "method", F.col("c_owner_qn"))).union(of(full, "full", prefix)).union(of(again, "full", F.col("__m")))
+
+    def _python_received(self, refs: DataFrame, b: DataFrame, top: DataFrame, methods: DataFrame, stars: DataFrame) -> DataFrame:
+        """Calls with a receiver: members of what it stands for, methods of the types around it and of their bases, methods that the file can name, and any method."""
+        own, super_ = F.col("receiver").isin("self", "cls"), F.startswith("receiver", F.lit("super("))
+        within = own | super_
+        rows = self._enclosing(refs.where(within)).drop("chain", "around").unionByName(refs.where(~within), allowMissingColumns=True)
+        rows = rows.join(self._python_targets(refs, b), ["path", "receiver"], "left")
+        rows = stored(rows.select(*SITE, "module", "ids", "bases", "own_bases", "target", "target_to", "is_type", "tt_bases", "is_module"), "received")
+        ways = F.array(_way("followed", "target_to"), _way("full", "target"), _way(F.when(~within, F.lit("method")), "target_to"))
+        members = rows.where("target is not null").select(*SITE, F.inline(ways)).join(self._members(top, methods), ["how", "key", "name"])
+        mine = rows.where(own).select(*SITE, F.col("path").alias("c_path"), F.explode("ids").alias("c_parent_ordinal"))
+        mine = mine.join(methods.withColumnRenamed("c_name", "name"), ["c_path", "c_parent_ordinal", "name"])
+        exact = stored(self._out(members, 3).unionByName(self._out(mine, 3)).distinct(), "exact")
+        may = own | F.col("target").isNotNull()
+        rows = rows.where(~may).unionByName(self._not_in(rows.where(may), exact))
+        open_ = ~within & ~F.coalesce("is_type", F.lit(False)) & F.col("is_module").isNull()
+        bases = F.when(own, F.col("bases")).when(super_, F.col("own_bases")).when(F.col("is_type"), F.col("tt_bases"))
+        of_base = rows.where(~open_).select(*SITE, F.explode(F.array_distinct(bases)).alias("c_owner_name"))
+        of_base = of_base.join(methods.withColumnRenamed("c_name", "name"), ["c_owner_name", "name"])
+        asking = rows.where(open_)
+        likely = stored(self._out(of_base, 2).unionByName(self._out(asking.select(*SITE).join(self._python_seen(asking, b, methods, stars), ["path", "name"]), 2)), "likely")
+        left = self._not_in(rows.where(within | open_).select(*SITE), likely)
+        return exact.unionByName(likely).unionByName(self._out(left.join(methods, left["name"] == methods["c_name"]), 1))
+
+    def _python_seen(self, asking: DataFrame, b: DataFrame, methods: DataFrame, stars: DataFrame) -> DataFrame:
+        """(path, name, candidate): methods whose class or module the calling file can name, or has all names of, or is itself."""
         parts = F.split("c_module", r"\.")
         prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
-        starred = has("stars", F.col("c_module"))
-        # whether the calling file can name the candidate's class or its module
-        visible = (F.col("module") == F.col("c_module")) | has("named_here", F.col("c_owner_qn")) | F.coalesce(F.arrays_overlap("named_here", prefixes), F.lit(False)) | starred
-        r = F.col("receiver")
-        same_file = F.col("c_path") == F.col("path")
-        top = (
-            F.when(r.isNull() & F.col("bound").isNotNull(), F.when(F.col("bound_to") == F.col("c_qualified_name"), 3))
-            .when(r.isNull(), F.when(starred, 2).otherwise(1))
-            .when((F.col("target_to") == F.col("c_module")) | (F.col("member_to") == F.col("c_qualified_name")), 3)
-        )
-        nested = F.when(r.isNull() & same_file & F.array_contains("chain", F.col("c_parent_ordinal")), 3)
-        in_classes = same_file & F.exists("classes", lambda c: c["id"] == F.col("c_parent_ordinal"))
-        base_of_any = F.exists("classes", lambda c: F.array_contains(c["bases"], F.col("c_owner_name")))
-        base_of_first = F.coalesce(F.array_contains(F.get("classes", F.lit(0))["bases"], F.col("c_owner_name")), F.lit(False))
-        method = (
-            F.when(r.isNull(), None)
-            .when(r.isin("self", "cls"), F.when(in_classes, 3).when(base_of_any, 2).otherwise(1))
-            .when(F.startswith(r, F.lit("super(")), F.when(base_of_first, 2).otherwise(1))
-            .when(F.col("target_to") == F.col("c_owner_qn"), 3)
-            .when(F.col("tt_path").isNotNull(), F.when(F.array_contains("tt_bases", F.col("c_owner_name")), 2))
-            .when(F.col("target_is_module"), None)
-            .otherwise(F.when(visible, 2).otherwise(1))
-        )
-        tier = F.when(F.col("c_parent_ordinal").isNull(), top).when(F.col("c_owner_kind").isin("function", "method"), nested).otherwise(method)
-        return rows.withColumn("tier", tier)
+        keys = F.array_distinct(F.filter(F.concat(F.array("c_owner_qn"), prefixes), lambda x: x.isNotNull()))
+        ways = F.concat(F.transform(keys, lambda k: _way("named", k)), F.array(_way("all", "c_module")))
+        known = methods.select(F.col("c_name").alias("name"), *CANDIDATE, F.inline(ways))
+        files = asking.select("path", "module").distinct()
+        scopes = b.select("path", F.lit("named").alias("how"), F.col("to").alias("key")).union(stars.select("path", F.lit("all"), "c_module")).join(files.select("path").distinct(), "path", "left_semi")
+        scopes = scopes.union(files.select("path", F.lit("all"), "module"))
+        known = known.join(scopes.select("how", "key").distinct(), ["how", "key"], "left_semi")
+        return self._met(asking.select("path", "name"), scopes, known, ["path"])
 
     # --- Java -----------------------------------------------------------------------------------
 
@@ -215,108 +250,117 @@ class Resolver:
         rows = rows.withColumns({"__w": written, "__c": classes})
         ask = rows.where("__w is not null").select("path", "module", F.col("__c").alias("classes"), F.col("__w").alias("written")).distinct()
         got = self.type_names(ask).select("path", F.col("classes").alias("__c"), F.col("written").alias("__w"), F.col("named").alias(out))
-        return rows.join(cut(got), ["path", "__c", "__w"], "left").drop("__w", "__c")
+        got = stored(got, "named")
+        return rows.where("__w is not null").join(got, ["path", "__c", "__w"], "left").unionByName(rows.where("__w is null"), allowMissingColumns=True).drop("__w", "__c")
 
     def java(self, refs: DataFrame) -> DataFrame:
-        refs = cut(self._enclosing(refs.where("language = 'java'")))
-        names = F.transform("classes", lambda c: c["qn"])
-        return self._java_calls(refs, names).unionByName(self._java_new(refs, names)).unionByName(self._java_constructors(refs, names))
+        refs = self._enclosing(refs.where("language = 'java'").withColumn("module", F.coalesce("module", F.lit("")))).drop("chain", "language")
+        refs = stored(refs, "java-refs")
+        return self._java_calls(refs).unionByName(self._java_new(refs)).unionByName(self._java_constructors(refs))
 
-    def _java_calls(self, refs: DataFrame, names: Column) -> DataFrame:
-        calls = refs.where(F.col("kind").isin("call", "method_ref"))
+    def _java_calls(self, refs: DataFrame) -> DataFrame:
         r = F.col("receiver")
-        super_ = (r == "super") | F.endswith(r, F.lit(".super"))
-        plain = r.isNull() | (r == "this")
-        calls = self._named(calls, F.when(~(plain | super_), r), names, "named")
-        calls = cut(self._type(calls, "named", "java", "nt"))
-        static = self.imports.where("is_static").select("path", F.col("module").alias("c_owner_qn"), F.col("name").alias("__n")).distinct()
-        exact = self._java_call_tier(self._exact_java(calls, static), static, names, exact=True).where("tier = 3")
-        found = cut(self._out(exact))
-        rest = calls.join(found.select(*REF).distinct(), REF, "left_anti")
-        rows = self._candidates(rest.withColumn("want", F.col("name")))
-        return found.unionByName(self._out(self._java_call_tier(rows, static, names, exact=False)))
-
-    def _exact_java(self, calls: DataFrame, static: DataFrame) -> DataFrame:
-        """calls with every candidate that may be exact, by equality: of a named owner, of the same file, or imported by its name."""
-        s = self._named_symbols(("method", "field")).where("language = 'java'").drop("language", "want")
-        same_name = calls["name"] == s["c_name"]
-        owner = calls.join(s, (F.col("named") == F.col("c_owner_qn")) & same_name)
-        here = calls.join(s, (calls["path"] == s["c_path"]) & same_name)
-        bare = calls.where("receiver is null").join(static.withColumnRenamed("c_owner_qn", "__owner"), "path").where("__n = '*' or __n = name")
-        imported = bare.join(s, (F.col("__owner") == F.col("c_owner_qn")) & (bare["name"] == s["c_name"])).drop("__owner", "__n")
-        return owner.unionByName(here).unionByName(imported)
-
-    def _java_call_tier(self, rows: DataFrame, static: DataFrame, names: Column, exact: bool) -> DataFrame:
-        """rows (calls with candidates) with their tier; what a file can see is not asked where only exact candidates count."""
-        r = F.col("receiver")
-        super_ = (r == "super") | F.endswith(r, F.lit(".super"))
         plain = r.isNull() | (r == "this")
+        super_ = ~plain & ((r == "super") | F.endswith(r, F.lit(".super")))
+        calls = refs.where(F.col("kind").isin("call", "method_ref"))
+        calls = self._type(self._named(calls, F.when(~(plain | super_), r), F.col("around"), "named"), "named", "java", "nt")
+        calls = stored(calls.select(*SITE, "arg_count", "module", "ids", "around", "bases", "own_bases", "named", "nt_bases"), "java-calls")
+        s = self._named_symbols(("method", "field")).where("language = 'java'").drop("language", "want").withColumnRenamed("c_name", "name")
+        s = s.where("c_kind = 'method' or c_owner_kind = 'record'").withColumn("c_static", F.coalesce((F.col("c_kind") == "method") & is_static(F.col("c_signature")), F.lit(False)))
+        owned, orphans = s.where("c_parent_ordinal is not null"), s.where("c_parent_ordinal is null")
+        site = [*SITE, "arg_count"]
+
+        # exact: of the type that the receiver names, of the types around, imported by name or with all of a type
+        named = calls.where("named is not null").select(*site, F.col("named").alias("c_owner_qn")).join(owned, ["c_owner_qn", "name"])
+        ids = F.when(r.isNull(), F.col("ids")).otherwise(F.slice("ids", 1, 1))
+        here = calls.where(plain).select(*site, F.col("path").alias("c_path"), F.explode(ids).alias("c_parent_ordinal")).join(owned, ["c_path", "c_parent_ordinal", "name"])
+        static = self.imports.where("is_static").select("path", "name", F.col("module").alias("c_owner_qn")).distinct()
+        bare = calls.where("receiver is null").select(*site)
+        imported = bare.join(static, ["path", "name"]).unionByName(bare.join(static.where("name = '*'").drop("name"), "path")).join(owned, ["c_owner_qn", "name"])
+        found = [self._java_fit(x, 3) for x in (named, here, imported)]
+        exact = stored(found[0].unionByName(found[1]).unionByName(found[2]).distinct(), "exact")
+
+        # likely: of a base of these types, or of a type that the file can name
+        rest = self._not_in(calls, exact)
+        open_ = ~plain & ~super_ & F.col("named").isNull() & ~external_type(r)
+        bases = F.when(plain, F.col("bases")).when(super_, F.col("own_bases")).when(F.col("named").isNotNull(), F.col("nt_bases"))
+        of_base = rest.where(~open_).select(*site, F.explode(F.array_distinct(bases)).alias("c_owner_name")).join(owned, ["c_owner_name", "name"])
+        asking = rest.where(open_)
+        seen = asking.select(*site, "around").join(self._java_seen(asking, owned.where(~F.col("c_static"))), ["path", "around", "name"])
+        likely = stored(self._java_fit(of_base, 2).unionByName(self._java_fit(seen, 2)), "likely")
+
+        # possible: any of the name; where the receiver is a type, only what has no owner
+        last = self._not_in(rest, likely)
+        any_ = last.where(plain | super_ | open_).select(*site).join(s, "name")
+        lost = last.where(~(plain | super_ | open_)).select(*site).join(orphans, "name")
+        return exact.unionByName(likely).unionByName(self._java_fit(any_, 1)).unionByName(self._java_fit(lost, 1))
+
+    def _java_fit(self, rows: DataFrame, tier: int) -> DataFrame:
+        """Of calls with candidates those that fit by their number of arguments; a field fits as the accessor of a record."""
         fits = arity_fits(F.col("arg_count"), F.col("c_param_count"), F.col("c_is_varargs"))
         accessor = (F.col("c_kind") == "field") & (F.coalesce("arg_count", F.lit(0)) == 0) & (F.col("c_owner_kind") == "record")
-        rows = rows.where(((F.col("c_kind") == "method") & fits) | accessor)
-        one = static.select("path", "c_owner_qn", F.col("__n").alias("name")).distinct().withColumn("__1", F.lit(True))
-        all_ = static.where("__n = '*'").select("path", "c_owner_qn").distinct().withColumn("__2", F.lit(True))
-        rows = rows.join(one, ["path", "c_owner_qn", "name"], "left").join(all_, ["path", "c_owner_qn"], "left")
-        rows = rows.withColumn("visible", F.lit(False)) if exact else self._java_visible(rows, names)
-        same_file = F.col("c_path") == F.col("path")
-        in_any = same_file & F.exists("classes", lambda c: c["id"] == F.col("c_parent_ordinal"))
-        in_first = same_file & F.coalesce(F.get("classes", F.lit(0))["id"] == F.col("c_parent_ordinal"), F.lit(False))
-        base_of_any = F.exists("classes", lambda c: F.array_contains(c["bases"], F.col("c_owner_name")))
-        base_of_first = F.coalesce(F.array_contains(F.get("classes", F.lit(0))["bases"], F.col("c_owner_name")), F.lit(False))
-        tier = (
-            F.when(F.col("c_parent_ordinal").isNull(), 1)
-            .when(r.isNull() & (F.col("__1").isNotNull() | F.col("__2").isNotNull()), 3)
-            .when(plain, F.when(F.when(r.isNull(), in_any).otherwise(in_first), 3).when(base_of_any, 2).otherwise(1))
-            .when(super_, F.when(base_of_first, 2).otherwise(1))
-            .when(F.col("named").isNotNull(), F.when(F.col("named") == F.col("c_owner_qn"), 3).when(F.coalesce(F.array_contains("nt_bases", F.col("c_owner_name")), F.lit(False)), 2))
-            .when(external_type(r), None)
-            .when((F.col("c_kind") == "method") & is_static(F.col("c_signature")), 1)
-            .otherwise(F.when(F.col("visible"), 2).otherwise(1))
-        )
-        return rows.withColumn("tier", tier)
-
-    def _java_visible(self, rows: DataFrame, names: Column) -> DataFrame:
-        """rows with `visible`: whether the owner, or a type around it, has its simple name there."""
-        outer = self.above.where(F.col("kind").isin(*TYPE_KINDS)).select(F.col("path").alias("c_path"), F.col("node").alias("c_parent_ordinal"), F.col("a_name"), F.col("a_qn"))
-        ask = rows.select("path", "module", names.alias("classes"), "c_path", "c_parent_ordinal").distinct()
-        each = ask.join(outer, ["c_path", "c_parent_ordinal"]).withColumn("written", F.col("a_name"))
-        got = self.type_names(each.select("path", "module", "classes", "written").distinct())
-        seen = each.join(got, ["path", "classes", "written"]).where("named = a_qn").select("path", F.col("classes").alias("__c"), "c_path", "c_parent_ordinal").distinct().withColumn("visible", F.lit(True))
-        return rows.withColumn("__c", names).join(seen, ["path", "__c", "c_path", "c_parent_ordinal"], "left").drop("__c").withColumn("visible", F.coalesce("visible", F.lit(False)))
-
-    def _java_new(self, refs: DataFrame, names: Column) -> DataFrame:
-        new = refs.where("kind = 'new'")
-        new = self._named(new, F.concat_ws(".", "receiver", "name"), names, "named")
-        rows = self._candidates(new.withColumn("want", F.col("name")), (*TYPE_KINDS, "constructor"))
+        return self._out(rows.where(((F.col("c_kind") == "method") & fits) | accessor), tier)
+
+    def _java_seen(self, asking: DataFrame, owned: DataFrame) -> DataFrame:
+        """(path, around, name, candidate): candidates whose owner, or a type around it, has its simple name there.
+
+        Each rule of type_names() brings a type by its qualified name ("type") or from what it stands in ("in"); what is found
+        so is put to type_names() itself, for rules may hide each other's types.
+        """
+        outer = self.above.where(F.col("kind").isin(*TYPE_KINDS)).select(F.col("path").alias("c_path"), F.col("node").alias("c_parent_ordinal"), "a_name", "a_qn")
+        a_name, a_qn = F.col("a_name"), F.col("a_qn")
+        home = F.when(a_qn == a_name, "").when(F.endswith(a_qn, F.concat(F.lit("."), a_name)), F.expr("left(a_qn, length(a_qn) - length(a_name) - 1)"))
+        known = owned.join(outer, ["c_path", "c_parent_ordinal"]).select("name", *CANDIDATE, "a_name", "a_qn", F.inline(F.array(_way("type", a_qn), _way("in", home)))).where("key is not null")
+        on = ["path", "module", "around"]
+        places = stored(asking.select(*on).distinct(), "places")
+        around = F.flatten(F.transform("around", lambda c: F.array(_way("type", c), _way("in", c))))
+        always = F.array(_way("in", "module"), _way("in", F.lit("")))
+        tops = self.symbols.where(F.col("kind").isin(*TYPE_KINDS)).where("language = 'java' and parent_ordinal is null").select("path", F.lit("type").alias("how"), F.col("qualified_name").alias("key"))
+        i = self.imports.where("not is_static").select("path", F.when(F.col("name") == "*", F.lit("in")).otherwise(F.lit("type")).alias("how"), F.when(F.col("name") == "*", F.coalesce("module", F.lit(""))).otherwise(F.concat("module", F.lit("."), "name")).alias("key"))
+        scopes = places.select(*on, F.inline(F.concat(around, always))).unionByName(places.join(tops.union(i), "path")).where("key is not null")
+        met = stored(self._met(asking.select(*on, "name"), scopes, known, on), "met")
+        got = self.type_names(met.select("path", "module", F.col("around").alias("classes"), F.col("a_name").alias("written")).distinct())
+        got = got.select("path", F.col("classes").alias("around"), F.col("written").alias("a_name"), F.col("named").alias("a_qn"))
+        return met.join(got, ["path", "around", "a_name", "a_qn"], "left_semi").select("path", "around", "name", *CANDIDATE).distinct()
+
+    def _java_new(self, refs: DataFrame) -> DataFrame:
+        new = self._named(refs.where("kind = 'new'"), F.concat_ws(".", "receiver", "name"), F.col("around"), "named").select(*SITE, "arg_count", "named")
         made = F.col("c_kind") == "constructor"
-        fits = arity_fits(F.col("arg_count"), F.col("c_param_count"), F.col("c_is_varargs"))
-        of = F.when(made, F.col("c_owner_qn")).otherwise(F.col("c_qualified_name"))
-        tier = F.when(made & ~fits, None).when(F.col("named").isNull(), 1).when(F.col("named") == of, 3)
-        return self._out(rows.withColumn("tier", tier))
-
-    def _java_constructors(self, refs: DataFrame, names: Column) -> DataFrame:
-        calls = refs.where("kind = 'constructor_call'").where(F.size("classes") > 0)
-        first = F.get("classes", F.lit(0))
-        own = calls.where("name = 'this'").withColumns({"o_path": F.col("path"), "o_ordinal": first["id"]})
-        base = calls.where("name <> 'this'").withColumn("__b", F.explode(first["bases"]))
-        base = self._named(base, F.col("__b"), F.slice(names, F.lit(2), F.greatest(F.size(names) - 1, F.lit(0))), "named")
+        s = self._named_symbols((*TYPE_KINDS, "constructor")).where("language = 'java'").drop("language", "want").withColumnRenamed("c_name", "name")
+        s = s.withColumn("of", F.when(made, F.col("c_owner_qn")).otherwise(F.col("c_qualified_name")))
+        fits = ~made | arity_fits(F.col("arg_count"), F.col("c_param_count"), F.col("c_is_varargs"))
+        exact = new.where("named is not null").withColumnRenamed("named", "of").join(s, ["of", "name"]).where(fits)
+        unknown = new.where("named is null").join(s, "name").where(fits)
+        return self._out(exact, 3).unionByName(self._out(unknown, 1))
+
+    def _java_constructors(self, refs: DataFrame) -> DataFrame:
+        calls = refs.where("kind = 'constructor_call'").where(F.size("ids") > 0)
+        own = calls.where("name = 'this'").withColumns({"o_path": F.col("path"), "o_ordinal": F.get("ids", F.lit(0))})
+        base = calls.where("name <> 'this'").withColumn("__b", F.explode("own_bases"))
+        base = self._named(base, F.col("__b"), F.slice("around", F.lit(2), F.greatest(F.size("around") - 1, F.lit(0))), "named")
         base = self._type(base, "named", "java", "o").where("o_kind = 'class'")
         both = own.select(*refs.columns, "o_path", "o_ordinal").unionByName(base.select(*refs.columns, "o_path", "o_ordinal"))
         makers = self.symbols.where("kind = 'constructor'").select(F.col("path").alias("o_path"), F.col("parent_ordinal").alias("o_ordinal"), *[F.col(c).alias(f"c_{c}") for c in ("path", "ordinal", "qualified_name", "kind", "param_count", "is_varargs")])
         rows = both.join(makers, ["o_path", "o_ordinal"]).where(arity_fits(F.col("arg_count"), F.col("c_param_count"), F.col("c_is_varargs")))
-        return self._out(rows.withColumn("tier", F.lit(3)))
+        return self._out(rows, 3).distinct()
 
     # --- results -----------------------------------------------------------------------------------
 
     @staticmethod
-    def _out(rows: DataFrame) -> DataFrame:
-        return rows.where("tier is not null").select("path", "ref", "line", "col", "name", "receiver", "enclosing_ordinal", "c_path", "c_ordinal", F.col("c_qualified_name").alias("qualified_name"), F.col("c_kind"), F.col("tier").cast("int").alias("tier")).distinct()
+    def _out(rows: DataFrame, tier: int) -> DataFrame:
+        return rows.select(*SITE, "c_path", "c_ordinal", F.col("c_qualified_name").alias("qualified_name"), "c_kind", F.lit(tier).alias("tier"))
 
     def resolve(self, refs: DataFrame | None = None) -> DataFrame:
-        """(path, ref, line, col, name, receiver, enclosing_ordinal, c_path, c_ordinal, qualified_name, c_kind, tier)."""
-        refs = self.refs if refs is None else refs
-        refs = cut(refs)
-        return cut(best_tier(self.python(refs).unionByName(self.java(refs)), REF))
+        """(path, ref, line, col, name, receiver, enclosing_ordinal, c_path, c_ordinal, qualified_name, c_kind, tier).
+
+        Each candidate of a call site comes once, as call sites have keys of their own; rows that come twice in refs stay so.
+        """
+        refs = stored(self.refs if refs is None else refs, "refs")
+        have = {r["language"] for r in refs.select("language").distinct().collect()}  # a row a language
+        if have == {"java"}:
+            return self.java(refs)
+        found = self.python(refs)
+        return found.unionByName(self.java(refs)) if "java" in have else found
 
     def references(self, target: DataFrame) -> DataFrame:
         """Call sites of the symbols (path, ordinal) in target, best tier first.

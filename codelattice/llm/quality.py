@@ -98,18 +98,20 @@ def counts(docs: DataFrame, words_of: list[str], id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = F.filter(F.split("text", rf"[{SPACE}]+"), lambda w: w != "")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(rf"[^{SPACE}]"))
-    without = lambda pattern: (F.length("text") - F.length(F.regexp_replace("text", pattern, ""))).cast("long")
+    without = lambda text, pattern: (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
+    # digits, stops and symbols are counted in what is left of a text without ASCII letters and white space, a small part of it
+    rows = rows.select("*", F.regexp_replace("text", rf"[a-zA-Z{SPACE}]+", "").alias("marks"))
     rows = rows.select(
-        "doc_id", "lang", "text", words.alias("words"), lines.alias("lines"), without(rf"[{SPACE}]+").alias("blank"), without(r"[#*$%&|<>]+").alias("n_symbols"),
+        "doc_id", "lang", "text", words.alias("words"), lines.alias("lines"), without("marks", r"[#*$%&|<>]+").alias("n_symbols"),
         plain_words(F.col("text")).alias("plain"),
-        *[without(p).alias(f"c_{c}") for c, p in CLASSES.items()],
+        *[without("text" if c in ("upper", "vowel") else "marks", p).alias(f"c_{c}") for c, p in CLASSES.items()],
     )
     n = F.size("words")
     common = F.sort_array(F.filter("plain", lambda w: w.isin(*words_of))) if words_of else F.slice("plain", 1, 0)
     rows = rows.select("*", common.alias("common"))
     others = F.struct(F.lit(len(words_of)).alias("i"), (F.size("plain") - F.size("common")).cast("bigint").alias("k"))
     histogram = F.concat(sparse_counts(F.col("common"), words_of), F.array(others)) if words_of else F.array(others)
-    word_chars = F.length("text").cast("long") - F.col("blank")
+    word_chars = F.length(F.array_join("words", "")).cast("long")
     rest = word_chars - sum((F.col(f"c_{c}") for c in CLASSES), F.lit(0))
     return rows.select(
         "doc_id", "lang", n.cast("long").alias("n_words"), word_chars.alias("word_chars"), "n_symbols",

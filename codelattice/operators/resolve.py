@@ -5,7 +5,8 @@ sites without a candidate of the tiers before. Exact and likely candidates are f
 bound name stands for is the qualified name, owner or module of the symbol; the enclosing types or their bases own it; or the
 file can name its owner. Where that takes the names of a whole file, the shorter of two ways is chosen for each name: from its
 candidates, or from the names (`_met`). Only call sites without any of these meet all symbols of their name, and all of that join
-is result. Rows of call sites that are read again stand in Parquet tables; no list is copied to the call sites of a file.
+is result. Rows of call sites that are read again stand in Parquet tables; no list is copied to the call sites of a file. Joins deal
+symbols, imports, bindings and call sites by keys; what is broadcast has been counted (`beside`).
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import stored
+from ..functions.lineage import apart, beside, few, stored
 from ..functions.text import TYPE_KINDS, arity_fits, external_type, is_static, simple_name
 from ..sources.model import LABELS
 from .hierarchy import ancestors, around
@@ -35,14 +36,15 @@ class Resolver:
     """Facts of an index, and resolve() over its call sites. tables: files, symbols, imports, refs."""
 
     def __init__(self, tables: dict[str, DataFrame]):
-        self.files = tables["files"]
-        self.imports = tables["imports"]
-        f = self.files.select("path", "language", "module")
-        s = tables["symbols"].join(f, "path")
-        parents = tables["symbols"].select("path", F.col("ordinal").alias("parent_ordinal"), F.col("kind").alias("owner_kind"), F.col("name").alias("owner_name"), F.col("qualified_name").alias("owner_qn"), F.col("parent_ordinal").alias("owner_parent"))
-        self.symbols = stored(s.join(parents, ["path", "parent_ordinal"], "left").drop("decorators", "doc", "name_words"), "symbols")
+        self.files = beside(tables["files"].select("path", "language", "module"), "files")
+        self.imports, symbols = apart(tables["imports"]), apart(tables["symbols"])
+        f = self.files
+        s = symbols.join(f, "path")
+        parents = symbols.select("path", F.col("ordinal").alias("parent_ordinal"), F.col("kind").alias("owner_kind"), F.col("name").alias("owner_name"), F.col("qualified_name").alias("owner_qn"), F.col("parent_ordinal").alias("owner_parent"))
+        owned = s.where("parent_ordinal is not null").join(parents, ["path", "parent_ordinal"], "left")
+        self.symbols = stored(owned.unionByName(s.where("parent_ordinal is null"), allowMissingColumns=True).drop("decorators", "doc", "name_words"), "symbols")
         self.refs = tables["refs"].withColumnRenamed("ordinal", "ref").join(f, "path")
-        self.above = self._above(tables["symbols"])
+        self.above = self._above(symbols)
         types = s.where(F.col("kind").isin(*TYPE_KINDS))
         self.types = types.groupBy("language", F.col("qualified_name").alias("t_qn")).agg(
             F.min_by(F.struct("path", "ordinal", "kind", "name", F.transform("bases", simple_name).alias("bases")), F.struct("path", "ordinal")).alias("t")
@@ -86,8 +88,12 @@ class Resolver:
         or by the scopes of its place, whichever are fewer.
         """
         key, columns = ["how", "key"], [c for c in known.columns if c not in ("how", "key")]
-        scopes = stored(scopes.distinct(), "scopes")
-        wide, many = scopes.groupBy(*on).agg(F.count("*").alias("__scopes")), known.groupBy("name").agg(F.count("*").alias("__known"))
+        keys = stored(known.select(*key).distinct(), "keys")
+        if few(keys):
+            scopes = scopes.join(F.broadcast(keys), key, "left_semi")
+        scopes = beside(scopes.distinct(), "scopes")
+        known = apart(known.join(scopes.select(*key).distinct(), key, "left_semi"))
+        wide, many = beside(scopes.groupBy(*on).agg(F.count("*").alias("__scopes")), "wide"), beside(known.groupBy("name").agg(F.count("*").alias("__known")), "many")
         asks = stored(asks.distinct().join(many, "name").join(wide, on), "asks")
         by_name = asks.where("__known <= __scopes").join(known, "name").join(scopes, [*on, *key], "left_semi")
         by_scope = asks.where("__known > __scopes").join(scopes, on).join(known, ["name", *key])
@@ -121,12 +127,13 @@ class Resolver:
         """rows with `out`: what column dotted re-exports, one level deep; itself if it is a symbol or module."""
         ask = rows.select(F.col(dotted).alias("__d")).where("__d is not null").distinct()
         known = self.symbols.where("language = 'python'").select(F.col("qualified_name").alias("__d")).union(self.files.where("language = 'python'").select("module")).distinct().withColumn("__known", F.lit(True))
+        known = apart(known)
         py = self.files.where("language = 'python'").select("path", F.col("module").alias("__m"))
         i = self.imports.where("name is not null and name <> '*'").join(py, "path").select("__m", F.coalesce("alias", "name").alias("__n"), F.concat_ws(".", "module", "name").alias("__to"), "path", "ordinal")
-        i = i.groupBy("__m", "__n").agg(F.min_by("__to", F.struct("path", "ordinal")).alias("__to"))
+        i = apart(i.groupBy("__m", "__n").agg(F.min_by("__to", F.struct("path", "ordinal")).alias("__to")))
         got = ask.join(known, "__d", "left").withColumns({"__m": F.when(F.instr("__d", ".") > 0, F.regexp_replace("__d", r"\.[^.]*$", "")).otherwise(""), "__n": F.substring_index("__d", ".", -1)})
         got = got.join(i, ["__m", "__n"], "left").select(F.col("__d").alias(dotted), F.when(F.col("__known").isNull() & F.col("__to").isNotNull(), F.col("__to")).otherwise(F.col("__d")).alias(out))
-        return rows.join(got, dotted, "left")
+        return rows.join(apart(got), dotted, "left")
 
     def python(self, refs: DataFrame) -> DataFrame:
         refs = refs.where("language = 'python'")
@@ -134,7 +141,7 @@ class Resolver:
         s = self._named_symbols(PY_CALLABLE).where("language = 'python'").drop("language", "want")
         inner = F.coalesce(F.col("c_owner_kind").isin("function", "method"), F.lit(False))
         top, below = s.where("c_parent_ordinal is null"), s.where("c_parent_ordinal is not null")
-        stars = self.imports.where("name = '*'").select("path", F.col("module").alias("c_module")).distinct()
+        stars = beside(self.imports.where("name = '*'").select("path", F.col("module").alias("c_module")).distinct(), "stars")
         bare = self._python_bare(refs.where("receiver is null"), b, top, below.where(inner), stars)
         return bare.unionByName(self._python_received(refs.where("receiver is not null"), b, top, below.where(~inner), stars))
 
@@ -155,12 +162,12 @@ class Resolver:
 
     def _python_targets(self, refs: DataFrame, b: DataFrame) -> DataFrame:
         """(path, receiver, what it stands for, followed; whether that is a type or a module, and the bases of the type) of receivers that begin with a bound name."""
-        asks = refs.select("path", "receiver").where(F.col("receiver").rlike(_DOTTED)).distinct().withColumn("local", F.substring_index("receiver", ".", 1))
+        asks = beside(refs.select("path", "receiver").where(F.col("receiver").rlike(_DOTTED)).distinct(), "receivers").withColumn("local", F.substring_index("receiver", ".", 1))
         rest = F.substring("receiver", F.length("local") + 1, F.length("receiver"))
         rows = asks.join(b, ["path", "local"]).select("path", "receiver", F.concat("target", rest).alias("target"))
         rows = self._type(self.followed(rows, "target", "target_to"), "target_to", "python", "tt")
         modules = self.files.where("language = 'python'").select(F.col("module").alias("target_to")).distinct().withColumn("is_module", F.lit(True))
-        return stored(rows.join(modules, "target_to", "left").select("path", "receiver", "target", "target_to", F.col("tt_path").isNotNull().alias("is_type"), "tt_bases", "is_module"), "targets")
+        return beside(rows.join(modules, "target_to", "left").select("path", "receiver", "target", "target_to", F.col("tt_path").isNotNull().alias("is_type"), "tt_bases", "is_module"), "targets")
 
     def _members(self, top: DataFrame, methods: DataFrame) -> DataFrame:
         """(how, key, name, candidate): exact members of a target: of a module or class by its followed name, of anything by its full name, and what a module passes on."""
@@ -192,7 +199,7 @@ class Resolver:
         of_base = rows.where(~open_).select(*SITE, F.explode(F.array_distinct(bases)).alias("c_owner_name"))
         of_base = of_base.join(methods.withColumnRenamed("c_name", "name"), ["c_owner_name", "name"])
         asking = rows.where(open_)
-        likely = stored(self._out(of_base, 2).unionByName(self._out(asking.select(*SITE).join(self._python_seen(asking, b, methods, stars), ["path", "name"]), 2)), "likely")
+        likely = stored(self._out(of_base, 2).unionByName(self._out(asking.select(*SITE).join(apart(self._python_seen(asking, b, methods, stars)), ["path", "name"]), 2)), "likely")
         left = self._not_in(rows.where(within | open_).select(*SITE), likely)
         return exact.unionByName(likely).unionByName(self._out(left.join(methods, left["name"] == methods["c_name"]), 1))
 
@@ -203,10 +210,9 @@ class Resolver:
         keys = F.array_distinct(F.filter(F.concat(F.array("c_owner_qn"), prefixes), lambda x: x.isNotNull()))
         ways = F.concat(F.transform(keys, lambda k: _way("named", k)), F.array(_way("all", "c_module")))
         known = methods.select(F.col("c_name").alias("name"), *CANDIDATE, F.inline(ways))
-        files = asking.select("path", "module").distinct()
+        files = beside(asking.select("path", "module").distinct(), "asking")
         scopes = b.select("path", F.lit("named").alias("how"), F.col("to").alias("key")).union(stars.select("path", F.lit("all"), "c_module")).join(files.select("path").distinct(), "path", "left_semi")
         scopes = scopes.union(files.select("path", F.lit("all"), "module"))
-        known = known.join(scopes.select("how", "key").distinct(), ["how", "key"], "left_semi")
         return self._met(asking.select("path", "name"), scopes, known, ["path"])
 
     # --- Java -----------------------------------------------------------------------------------
@@ -250,7 +256,7 @@ class Resolver:
         rows = rows.withColumns({"__w": written, "__c": classes})
         ask = rows.where("__w is not null").select("path", "module", F.col("__c").alias("classes"), F.col("__w").alias("written")).distinct()
         got = self.type_names(ask).select("path", F.col("classes").alias("__c"), F.col("written").alias("__w"), F.col("named").alias(out))
-        got = stored(got, "named")
+        got = beside(got, "named")
         return rows.where("__w is not null").join(got, ["path", "__c", "__w"], "left").unionByName(rows.where("__w is null"), allowMissingColumns=True).drop("__w", "__c")
 
     def java(self, refs: DataFrame) -> DataFrame:
@@ -274,7 +280,7 @@ class Resolver:
         named = calls.where("named is not null").select(*site, F.col("named").alias("c_owner_qn")).join(owned, ["c_owner_qn", "name"])
         ids = F.when(r.isNull(), F.col("ids")).otherwise(F.slice("ids", 1, 1))
         here = calls.where(plain).select(*site, F.col("path").alias("c_path"), F.explode(ids).alias("c_parent_ordinal")).join(owned, ["c_path", "c_parent_ordinal", "name"])
-        static = self.imports.where("is_static").select("path", "name", F.col("module").alias("c_owner_qn")).distinct()
+        static = beside(self.imports.where("is_static").select("path", "name", F.col("module").alias("c_owner_qn")).distinct(), "static")
         bare = calls.where("receiver is null").select(*site)
         imported = bare.join(static, ["path", "name"]).unionByName(bare.join(static.where("name = '*'").drop("name"), "path")).join(owned, ["c_owner_qn", "name"])
         found = [self._java_fit(x, 3) for x in (named, here, imported)]
@@ -321,7 +327,7 @@ class Resolver:
         met = stored(self._met(asking.select(*on, "name"), scopes, known, on), "met")
         got = self.type_names(met.select("path", "module", F.col("around").alias("classes"), F.col("a_name").alias("written")).distinct())
         got = got.select("path", F.col("classes").alias("around"), F.col("written").alias("a_name"), F.col("named").alias("a_qn"))
-        return met.join(got, ["path", "around", "a_name", "a_qn"], "left_semi").select("path", "around", "name", *CANDIDATE).distinct()
+        return met.join(apart(got), ["path", "around", "a_name", "a_qn"], "left_semi").select("path", "around", "name", *CANDIDATE).distinct()
 
     def _java_new(self, refs: DataFrame) -> DataFrame:
         new = self._named(refs.where("kind = 'new'"), F.concat_ws(".", "receiver", "name"), F.col("around"), "named").select(*SITE, "arg_count", "named")
@@ -367,11 +373,12 @@ class Resolver:
 
         Call sites are narrowed by name before they are resolved, candidates are not: the best tier is decided among all.
         """
-        t = self.symbols.join(target.select("path", "ordinal"), ["path", "ordinal"], "left_semi")
+        target = beside(target.select("path", "ordinal"), "wanted")
+        t = self.symbols.join(target, ["path", "ordinal"], "left_semi")
         names = t.select("language", "name")
         py = self.files.where("language = 'python'").select("path")
         aliases = self.imports.where("alias is not null").join(py, "path").join(t.where("language = 'python'").select("name").distinct(), "name").select(F.lit("python"), "alias")
-        names = names.union(aliases).distinct()
+        names = beside(names.union(aliases).distinct(), "wanted-names")
         refs = self.refs.join(names, ["language", "name"], "left_semi")
         maker = t.where("kind = 'constructor'").select("language").distinct()
         more = self.refs.where("kind = 'constructor_call'").join(maker, "language", "left_semi").join(names, ["language", "name"], "left_anti")

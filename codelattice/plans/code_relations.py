@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import apart
 from ..operators import graph
 from ..operators.resolve import Resolver
 from ..sources.model import LABELS, TABLES
@@ -77,7 +78,7 @@ def python_functions(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     files = _relation(nations, "files", path="concat('pkg/n', n_nationkey, '.py')", language="'python'", module="concat('pkg.n', n_nationkey)")
     name, home = "concat('f', p_partkey div 8)", "concat('pkg.n', p_partkey % 25)"
     symbols = _relation(parts, "symbols", path="concat('pkg/n', p_partkey % 25, '.py')", ordinal="p_partkey", kind="'function'", name=name, qualified_name=f"concat({home}, '.', {name})", signature=f"concat('def ', {name}, '()')", param_count="0")
-    named = _read(spark, d, "customer").join(parts, F.col("c_custkey") == F.col("p_partkey"), "left_semi")
+    named = _read(spark, d, "customer").join(apart(parts), F.col("c_custkey") == F.col("p_partkey"), "left_semi")
     one = _relation(named, "imports", path="concat('pkg/n', c_nationkey, '.py')", ordinal="c_custkey", module="concat('pkg.n', c_custkey % 25)", name="concat('f', c_custkey div 8)", alias="case when c_custkey % 3 = 0 then concat('g', c_custkey div 8) end", line="1")
     every = _relation(nations.where("n_nationkey % 5 = 0"), "imports", path="concat('pkg/n', n_nationkey, '.py')", ordinal="-2", module="concat('pkg.n', (n_nationkey + 1) % 25)", name="'*'", line="1")
     module = _relation(nations, "imports", path="concat('pkg/n', n_nationkey, '.py')", ordinal="-1", module="concat('pkg.n', (n_nationkey + 2) % 25)", alias="'near'", line="1")
@@ -128,8 +129,9 @@ _SELF = f"""WITH {_METHODS}, cand AS (SELECT 'shop/n' || c.k || '.py' AS path, o
 def _shops(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(suppliers, parts with the supplier whose class has them as a method, orders with the method that makes the call)."""
     suppliers = _read(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    methods = _read(spark, d, "part").join(suppliers, F.expr("s_suppkey = p_partkey % 10 + 1"))
-    return suppliers, methods, _read(spark, d, "orders").join(methods, F.col("o_custkey") == F.col("p_partkey"))
+    ten = F.broadcast(suppliers.where("s_suppkey between -8 and 10"))  # what p_partkey % 10 + 1 can be
+    methods = _read(spark, d, "part").join(ten, F.expr("s_suppkey = p_partkey % 10 + 1"))
+    return suppliers, methods, _read(spark, d, "orders").join(apart(methods), F.col("o_custkey") == F.col("p_partkey"))
 
 
 _CALLED = "concat('m', (o_custkey + o_orderkey % 24) div 8)"
@@ -172,7 +174,7 @@ def resolve_java(spark, d):
         signature="case when p_partkey % 2 = 1 then 'public static void m()' else 'public void m()' end", param_count="p_size % 3", is_varargs="p_size % 7 = 0",
     )
     other = suppliers.select(F.col("s_suppkey").alias("t"), F.col("s_nationkey").alias("tk"))
-    imports = _relation(suppliers.join(other, F.expr("t = s_suppkey * 3 % 10 + 1")), "imports", path=path, ordinal="0", module="concat('n', tk)", name="concat('Shop', t)", line="1")
+    imports = _relation(suppliers.join(F.broadcast(other.where("t between -8 and 10")), F.expr("t = s_suppkey * 3 % 10 + 1")), "imports", path=path, ordinal="0", module="concat('n', tk)", name="concat('Shop', t)", line="1")
     new = "o_orderkey % 7 = 0"
     typed = "concat('Shop', o_custkey % 10 + 1)"
     refs = _relation(
@@ -214,7 +216,7 @@ def resolve_java_constructors(spark, d):
     files = _relation(suppliers, "files", path=path, language="'java'", module="concat('mk.n', s_nationkey)")
     maker = lambda ordinal, last, params: _relation(suppliers, "symbols", path=path, ordinal=ordinal, parent_ordinal="0", kind="'constructor'", name=name, qualified_name=f"concat({home}, '.{last}')", param_count=params)
     classes = _relation(suppliers, "symbols", path=path, ordinal="0", kind="'class'", name=name, qualified_name=home, bases="array(concat('A', s_suppkey div 2))")
-    imports = _relation(suppliers.join(base, F.expr("b = s_suppkey div 2 and b <> s_suppkey")), "imports", path=path, ordinal="0", module="concat('mk.n', bk)", name="concat('A', b)", line="1")
+    imports = _relation(suppliers.join(apart(base), F.expr("b = s_suppkey div 2 and b <> s_suppkey")), "imports", path=path, ordinal="0", module="concat('mk.n', bk)", name="concat('A', b)", line="1")
     call = lambda ordinal, word, inside, args: _relation(suppliers, "refs", path=path, ordinal=ordinal, enclosing_ordinal=inside, kind="'constructor_call'", name=f"'{word}'", arg_count=args, line="1", col="1")
     refs = _union(call("1", "this", "2", "0"), call("2", "super", "1", "1 + s_suppkey div 2 % 2"))
     symbols = _union(classes, maker("1", "none", "0"), maker("2", "some", "1 + s_suppkey % 2"))
@@ -226,7 +228,8 @@ def resolve_java_constructors(spark, d):
 def resolve_java_names(spark, d):
     """A record for each supplier and a call for each customer: by a static import of a name or of all, a type of an imported package, a type written in full, and a record's accessor."""
     suppliers = _read(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    calls = _read(spark, d, "customer").select("c_custkey").join(suppliers, F.expr("s_suppkey = c_custkey % 10"))
+    ten = F.broadcast(suppliers.where("s_suppkey between -9 and 9"))  # what c_custkey % 10 can be
+    calls = _read(spark, d, "customer").select("c_custkey").join(ten, F.expr("s_suppkey = c_custkey % 10"))
     record, package, use = "concat('R', s_suppkey)", "concat('rec.n', s_nationkey)", "concat('use/C', c_custkey, '.java')"
     home, own = f"concat({package}, '.', {record})", "concat('rec/R', s_suppkey, '.java')"
     files = _union(_relation(suppliers, "files", path=own, language="'java'", module=package), _relation(calls, "files", path=use, language="'java'", module="'use'"))

@@ -2,7 +2,9 @@
 
 import pytest
 
+from codelattice.functions import lineage
 from codelattice.operators.resolve import Resolver
+from codelattice.plans import code_relations
 from codelattice.sources.model import LABELS, TABLES
 
 
@@ -77,3 +79,38 @@ def test_each_way_of_a_tier(spark):
         ("u.py", 0, "p.m.A.go", 2), ("v.py", 0, "q.B.go", 2), ("w.py", 0, "p.m.A.go", 1), ("w.py", 0, "q.B.go", 1), ("q.py", 0, "q.B.go", 3), ("q.py", 1, "p.m.A.go", 2),
         ("u.py", 1, "u.f.go", 3), ("q.py", 2, "p.m.A.go", 1), ("q.py", 2, "q.B.go", 1),
     }
+
+
+def broadcast_rows(spark, run):
+    """Rows of each broadcast that run() makes."""
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def each():
+        return [store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())]
+
+    before = set(each())
+    run()
+    rows = []
+    for i in set(each()) - before:
+        nodes, told = store.planGraph(i).allNodes(), store.executionMetrics(i)
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if node.name().startswith("BroadcastExchange"):
+                metrics = [node.metrics().apply(k) for k in range(node.metrics().size())]
+                counts = [told.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+                rows += [int(c.get().replace(",", "")) for c in counts if c.isDefined()]
+    return rows
+
+
+@pytest.mark.parametrize("name", ["resolve_python_functions", "resolve_python_methods", "resolve_java"])
+def test_what_is_broadcast_is_counted(spark, monkeypatch, name):
+    """Symbols, imports, bindings, parts and call sites are beyond the bound, and small as files; the run's own sizes of shuffles stay out of it."""
+    monkeypatch.setattr(lineage, "BROADCAST_ROWS", 50, raising=False)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "16k", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = broadcast_rows(spark, lambda: code_relations.QUERIES[name](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save())
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert all(n <= 50 for n in rows), rows
